@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import sliced
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 700_000
 SPACE, LETTER, NUMBER, SIGN = 0, 1, 2, 3
 #: White space by the Unicode property, fixed.
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -161,7 +161,7 @@ class Vocabulary:
         self.first = np.array([self.ids[x] for x in letters])
         self.last = np.array([self.ids[x + self.end] for x in letters])
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Vocabulary:
@@ -247,17 +247,15 @@ class Vocabulary:
         live = alive[:total]
         return sym[:total][live], np.concatenate([[0], np.cumsum(np.bincount(word[live], minlength=len(words)))]).astype(np.int64)
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each distinct word; what is not yet known is merged in one go."""
-        new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > WORDS_KEPT:
-                self.known.clear()
-                new = words
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each distinct word as little-endian 32-bit integers; what is not yet known is merged in one go."""
+
+        def merged(new: list[bytes]) -> list[bytes]:
             ids, off = self.merge(new)
-            ids = ids.astype(np.uint32)
-            self.known.update(zip(new, np.split(ids, off[1:-1]), strict=True))
-        return [self.known[w] for w in words]
+            raw, off = ids.astype("<u4").tobytes(), (4 * off).tolist()
+            return [raw[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+
+        return remembered(self.known, words, merged)
 
     def prepare(self, text: str) -> str:
         if self.normal and not text.isascii() and not unicodedata.is_normalized("NFC", text):
@@ -271,6 +269,17 @@ class Vocabulary:
         return encode_with(texts, self.special, self.cut, self.prepare, self.spaced, self.words)
 
 
+def remembered(known: dict[bytes, bytes], words: list[bytes], merged) -> list[bytes]:
+    """The ids of each word, of which those not in `known` come from merged() and are kept up to WORDS_KEPT."""
+    new = [w for w in words if w not in known]
+    if new:
+        if len(known) + len(new) > WORDS_KEPT:
+            known.clear()
+            new = words
+        known.update(zip(new, merged(new), strict=True))
+    return [known[w] for w in words]
+
+
 def encode_with(texts, special, cut, prepare, spaced, encode_words) -> tuple[np.ndarray, np.ndarray]:
     """The frame of encoding: special tokens, pieces, distinct words, ids."""
     parts, owner, marks = [], [], []  # marks: (part, id of the special token after it)
@@ -288,9 +297,9 @@ def encode_with(texts, special, cut, prepare, spaced, encode_words) -> tuple[np.
         owner.append(i)
     pieces = Pieces(parts, spaced)
     of = encode_words(pieces.words.to_pylist())
-    size = np.array([len(x) for x in of], dtype=np.int64)
+    size = np.array([len(x) for x in of], dtype=np.int64) // 4
     start = np.cumsum(size) - size
-    values = np.concatenate(of) if of else np.zeros(0, np.uint32)
+    values = np.frombuffer(b"".join(of), "<u4")
     n = size[pieces.codes]
     ends = np.cumsum(n)
     ids = values[np.repeat(start[pieces.codes] - (ends - n), n) + np.arange(n.sum())] if len(n) else values[:0]

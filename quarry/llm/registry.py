@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid
+from . import bpe, langid, shard, tokenfile
 
 QUERIES = {
     "op1_language_id": langid.op1,
+    "op3_two_pass_shuffle": shard.op3,
+    "op6_ranked_ids": tokenfile.op6,
     "op9_bpe": bpe.op9,
 }
 
