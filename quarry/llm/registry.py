@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, langid, shard, tokenfile
+from . import bpe, decontam, jaccard, langid, shard, tokenfile, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -10,7 +10,8 @@ QUERIES = {
     "op5_string_tiling": decontam.op5,
     "op6_ranked_ids": tokenfile.op6,
     "op7_chosen_path_join": jaccard.op7,
+    "op8_warc": warc.op8,
     "op9_bpe": bpe.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_warc": warc.OP8_SQL}
