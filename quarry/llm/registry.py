@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, langid, shard, tokenfile, warc
+from . import ann, bpe, decontam, jaccard, langid, shard, tokenfile, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op3_two_pass_shuffle": shard.op3,
+    "op4_prefix_forest": ann.op4,
     "op5_string_tiling": decontam.op5,
     "op6_ranked_ids": tokenfile.op6,
     "op7_chosen_path_join": jaccard.op7,
