@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontam, jaccard, langid, shard, tokenfile, warc
+from . import ann, bpe, decontam, jaccard, langid, secrets, shard, tokenfile, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
+    "op2_secret_scan": secrets.op2,
     "op3_two_pass_shuffle": shard.op3,
     "op4_prefix_forest": ann.op4,
     "op5_string_tiling": decontam.op5,
