@@ -30,9 +30,11 @@ AGAINST = "example sample dummy placeholder commit sha sha1 md5 checksum hash uu
 DICTIONARY = "example sample dummy test user name file path home main src lib bin data page site index image photo video build version release config setting default module package class method function value field table report summary article chapter section number order invoice customer product service server client socket thread process system network windows linux python java script style color width height title header footer button window docs readme license the and for with from this that your http https www com org net".split()
 PREFIXES = "AKIA ASIA ghp_ gho_ ghs_ glpat- sk_live_ rk_live_ xoxb- xoxp- AIza SG. eyJ".split()
 
-CANDIDATE = rf"(?<![A-Za-z0-9_/+.-])(?=[A-Za-z0-9_/+.-]{{0,{MAX_LENGTH}}}[0-9])[A-Za-z0-9][A-Za-z0-9_/+.-]{{{MIN_LENGTH - 2},{MAX_LENGTH - 2}}}[A-Za-z0-9](?![A-Za-z0-9_/+@])"
+#: Services' keys can lack a digit; their prefix is enough.
+KNOWN = "|".join(p.replace(".", "[.]") for p in PREFIXES)
+CANDIDATE = rf"(?<![A-Za-z0-9_/+.-])(?=[A-Za-z0-9_/+.-]{{0,{MAX_LENGTH}}}[0-9]|{KNOWN})[A-Za-z0-9][A-Za-z0-9_/+.-]{{{MIN_LENGTH - 2},{MAX_LENGTH - 2}}}[A-Za-z0-9](?![A-Za-z0-9_/+@])"
 #: A cheap test that every text with a candidate passes.
-HINT = r"[0-9]"
+HINT = rf"[0-9]|{KNOWN}"
 
 
 def _any(words: list[str]) -> str:
