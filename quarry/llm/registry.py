@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontam, jaccard, langid, secrets, shard, tokenfile, warc
+from . import ann, bpe, decontam, jaccard, langid, passages, secrets, shard, tokenfile, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chosen_path_join": jaccard.op7,
     "op8_warc": warc.op8,
     "op9_bpe": bpe.op9,
+    "op10_compact_windows": passages.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_warc": warc.OP8_SQL}
