@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import sliced
 
-WORDS_KEPT = 700_000
+WORDS_KEPT = 400_000
 SPACE, LETTER, NUMBER, SIGN = 0, 1, 2, 3
 #: White space by the Unicode property, fixed.
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
