@@ -1,6 +1,6 @@
-"""Registry of the engine's own queries and of the SQL that checks them."""
+"""The catalogue of the engine's own queries and of the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import filtering, vectors  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
