@@ -118,11 +118,11 @@ def tiled(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
             items = Items(*block.value)
             for chunk in sliced(batches, text):
                 found = items.find(*word_hashes(chunk.column(text)), coverage)
-                at = chunk.schema.get_field_index(into)
-                kind = chunk.schema.field(into).type
+                field = chunk.schema.field(into)
                 if any(found):
                     old = chunk.column(into).to_pylist()
-                    chunk = chunk.set_column(at, into, pa.array([a + b for a, b in zip(old, found, strict=True)], kind))
+                    both = pa.array([a + b for a, b in zip(old, found, strict=True)], field.type)
+                    chunk = chunk.set_column(chunk.schema.get_field_index(into), field, both)
                 yield from chunk.combine_chunks().to_batches()
 
         out = out.mapInArrow(run, schema)
