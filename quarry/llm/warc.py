@@ -9,7 +9,7 @@ done again and replaces its files by equal ones.
 
 Of records with equal payloads of at least MIN_REVISIT bytes the one with the smallest key is a response and
 the others are revisits that refer to it. Copies meet by a partial aggregation over digests; only digests that occur twice
-are joined back, and AQE splits a digest with very many copies.
+are joined back, without payloads, and AQE splits a digest with very many copies. Payloads are shuffled once.
 
 Defined results: a null payload is empty; null urls become urn:page:<key>; rows that repeat the smallest key are
 responses each; a row with a null key is a response unless its payload has a row with a key; ties are sorted by url and digest.
@@ -28,19 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import range_id, shared_dir, total_bytes
+from .common import kept, range_id, shared_dir, total_bytes
 
 ROLL_BYTES, RANGE_BYTES, MIN_REVISIT, DATE = 64 << 20, 64 << 20, 100, "2024-01-01T00:00:00Z"
 #: Characters of a url that stay as they are, fixed.
 PLAIN = ":/?#[]@!$&'()*+,;=%~-._"
 
 
-def with_revisits(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """df with _payload, _digest and _refers (null for responses)."""
-    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    df = df.withColumn("_payload", body).withColumn("_digest", F.sha2("_payload", 256))
-    first = df.where(F.length("_payload") >= MIN_REVISIT).groupBy("_digest").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return df.join(first, "_digest", "left").withColumn("_refers", F.when(F.col("_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("_first")), F.col("_first"))).drop("_first")
+def with_revisits(df: DataFrame, key: str) -> DataFrame:
+    """(key, _tie, _digest, _part, _refers) of the rows (key, _tie, _digest, _part, _size) that revisit another one; no payloads."""
+    first = df.where(F.col("_size") >= MIN_REVISIT).groupBy("_digest").agg(F.min(key).alias("_refers"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return df.join(first, "_digest").where(F.col("_refers").isNotNull() & ~F.col(key).eqNullSafe(F.col("_refers"))).select(key, "_tie", "_digest", "_part", "_refers").distinct()
 
 
 def record(key: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
@@ -67,13 +65,18 @@ def _files(uri: str):
 def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES) -> None:
     """The rows of df as WARC files in folder, which must be visible to all executors (any file system that pyarrow opens)."""
     parts = max(1, -(-total_bytes(df, payload) // range_bytes), min(df.sparkSession.sparkContext.defaultParallelism, 64))
-    rows = with_revisits(df.select(key, url, payload), key, payload)
-    rows = rows.withColumn("_part", range_id(df, key, parts, F.xxhash64(url, "_digest"))).drop(payload)
-    rows = rows.repartitionById(parts, "_part").sortWithinPartitions("_part", F.asc_nulls_first(key), F.xxhash64(url, "_digest"), url, "_digest")
+    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    rows = df.select(key, url, body.alias("_payload")).withColumn("_digest", F.sha2("_payload", 256)).withColumn("_tie", F.xxhash64(url, "_digest"))
+    rows = rows.withColumn("_part", range_id(df, key, parts, F.col("_tie")))
+    # which rows are revisits is found without payloads; such marks then travel with the payloads and stand before their rows
+    marks = with_revisits(kept(rows.select(key, "_tie", "_digest", "_part", F.length("_payload").alias("_size")), "digests"), key)
+    marks = marks.select(key, F.lit(None).cast(df.schema[url].dataType).alias(url), F.lit(None).cast("binary").alias("_payload"), "_digest", "_tie", "_part", "_refers")
+    rows = rows.withColumn("_refers", F.lit(None).cast(df.schema[key].dataType)).unionByName(marks)
+    rows = rows.repartitionById(parts, "_part").sortWithinPartitions("_part", F.asc_nulls_first(key), "_tie", "_digest", F.desc_nulls_last("_refers"), url)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _files(folder)
-        out, size, number, count, crc, part = None, 0, 0, 0, 0, 0
+        out, size, number, count, crc, part, mark, whose = None, 0, 0, 0, 0, 0, None, None
 
         def roll() -> pa.RecordBatch:
             nonlocal out, number
@@ -84,7 +87,11 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
             return pa.RecordBatch.from_pydict({"file": pa.array([name]), "part": pa.array([part], pa.int32()), "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64()), "crc32": pa.array([crc], pa.int64())})
 
         for b in batches:
-            for part, k, u, x, d, r in zip(*(b.column(c).to_pylist() for c in ("_part", key, url, "_payload", "_digest", "_refers")), strict=True):
+            for part, k, u, x, d, tie, r in zip(*(b.column(c).to_pylist() for c in ("_part", key, url, "_payload", "_digest", "_tie", "_refers")), strict=True):
+                if x is None:
+                    mark, whose = (k, tie, d), r
+                    continue
+                r = whose if mark == (k, tie, d) else None
                 if out is None:
                     temporary, size, count, crc = f"{base}/.tmp-{uuid.uuid4().hex}", 0, 0, 0
                     out = files.open_output_stream(temporary)
