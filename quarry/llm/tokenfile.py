@@ -41,6 +41,8 @@ from .common import kept, range_id, shared_dir, sliced
 HEADER, MAGIC = "<4sIQQQ", b"QTK1"
 #: Ids in a block, and bytes of a part file, about.
 BLOCK_IDS, PART_BYTES = 1 << 20, 32 << 20
+#: Pieces in a list that the tokenizers library is called with.
+CALL = 4096
 #: Lengths of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
@@ -80,6 +82,7 @@ class Library:
         self.spec = Vocabulary(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # pieces hold none; Vocabulary.cut finds them in the texts
+        self.lengths = np.array([len(x) for x in self.spec.strings])
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -91,7 +94,17 @@ class Library:
 
     def pieces(self, words: list[bytes]) -> list[bytes]:
         def merged(new: list[bytes]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            # thousands of pieces to a call; a byte-level token's length in bytes tells where the next piece begins
+            texts = [w.decode() for w in new]
+            found = self.tokenizer.encode_batch_fast([texts[k : k + CALL] for k in range(0, len(texts), CALL)], is_pretokenized=True, add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, "<u4") for x in found])
+            ends = np.cumsum([0, *map(len, new)])
+            at = np.append(0, np.cumsum(self.lengths[ids]))
+            off = np.searchsorted(at, ends)
+            if at[-1] != ends[-1] or (at[off] != ends).any():
+                raise ValueError("tokens run over the ends of pieces")
+            raw, off = ids.tobytes(), (4 * off).tolist()
+            return [raw[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
 
         return remembered(self.known, words, merged)
 
