@@ -15,7 +15,7 @@ SENSITIVE = ["query", "message", "content", "text", "prompt", "response", "passw
 def expand(value: Column) -> Column:
     """A string as words, then phrases: at most ten search terms."""
     s = F.substring(F.lower(F.trim(value)), 1, MAX_CHARS)
-    parts = F.filter(F.transform(F.split(F.translate(s, ";|/", ",,,"), ","), F.trim), lambda x: F.length(x) >= MIN_TOKEN)
+    parts = F.filter(F.transform(F.split(F.translate(s, ";|/", ",,,"), ","), lambda x: F.trim(x)), lambda x: F.length(x) >= MIN_TOKEN)
     tokens = F.split(F.regexp_replace(F.translate(s, ";|/,", "    "), "[ \\t\\n\\r\\f]+", " "), " ")
     tokens = F.filter(F.transform(tokens, lambda x: F.regexp_replace(x, "^[().'\"]+|[().'\"]+$", "")), lambda x: F.length(x) >= MIN_TOKEN)
     year = F.regexp_extract(s, r"\b(1[89]\d{2}|20\d{2})\b", 1)
