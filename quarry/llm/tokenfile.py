@@ -41,6 +41,8 @@ from .common import kept, range_id, shared_dir, sliced
 HEADER, MAGIC = "<4sIQQQ", b"QTK1"
 #: Ids in a block, and bytes of a part file, about.
 BLOCK_IDS, PART_BYTES = 1 << 20, 32 << 20
+#: Bytes of text that are encoded at a time: the more, the fewer times a piece is looked up.
+ENCODED_BYTES = 4 << 20
 #: Pieces in a list that the tokenizers library is called with.
 CALL = 4096
 #: Lengths of the four ids of each control byte.
@@ -117,7 +119,7 @@ def encoded(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: st
     """(key, tie, raw): the ids of each whole text and end_id, as little-endian integers of 16 bits where all ids fit, else 32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in sliced(batches, text, 1 << 20):
+        for chunk in sliced(batches, text, ENCODED_BYTES):
             library = Library.of(path)
             kind = "<u2" if library.spec.size <= 0xFFFF else "<u4"
             ids, off = library.encode(chunk.column(text).to_pylist())
