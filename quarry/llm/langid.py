@@ -8,7 +8,7 @@ and the training text's length (a phrase costs the logarithm of the number of
 places it can point to), and the language with the smallest cost wins.
 
 The training sample is bounded: at most `train_chars` characters from at most
-`train_docs` rows of each language, chosen by a hash of the text. Prediction
+`train_docs` different texts of each language, chosen by a hash of the text. Prediction
 covers every whole text: long texts are parsed in blocks of BLOCK symbols,
 whose phrases are added up, so that many blocks are parsed in lockstep.
 
@@ -141,14 +141,13 @@ def _letter_points() -> np.ndarray:
 
 
 def sample(df: DataFrame, text: str = "text", lang: str = "lang", train_chars: int = TRAIN_CHARS, train_docs: int = TRAIN_DOCS) -> dict[str, str]:
-    """The bounded training sample: per language the rows smallest by hash, up to train_chars characters."""
-    from pyspark.sql import Window
-
+    """The bounded training sample: the text smallest by hash in each of train_docs bins per language, up to train_chars characters. Copies count once."""
     rows = df.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
-    rows = rows.withColumn("h", F.xxhash64("t")).select("l", "h", F.substring("t", 1, train_chars).alias("t"))
-    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= train_docs)
+    rows = rows.withColumn("h", F.xxhash64("t")).withColumn("b", F.pmod(F.xxhash64("h"), F.lit(train_docs)))
+    least = rows.groupBy("l", "b").agg(F.min("h").alias("h"))  # train_docs rows of each language at most, whatever the input
+    top = rows.join(F.broadcast(least), ["l", "b", "h"]).groupBy("l", "h").agg(F.min(F.substring("t", 1, train_chars)).alias("t"))
     out: dict[str, str] = {}
-    for r in top.orderBy("l", "r").toLocalIterator():
+    for r in top.orderBy("l", "h", "t").toLocalIterator():
         if len(out.get(r.l, "")) < train_chars:
             out[r.l] = (out.get(r.l, "") + " " + r.t)[:train_chars]
     return out
