@@ -14,7 +14,7 @@ WORDS_KEPT remembered pieces per worker.
 
 Defined results: a null or empty text has no tokens; texts of any length are
 taken whole; the strings of special tokens in a text become their ids; other
-columns are passed through, whatever their names.
+columns are passed through, but for those with the names of the new ones, which give way.
 """
 
 from __future__ import annotations
@@ -341,6 +341,7 @@ class Decoder:
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with ids array<int>: the tokens of each whole text."""
+    df = df.drop("ids")
     schema = df.select("*", F.array(F.lit(0)).alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,6 +354,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """df with the text that the ids stand for; null ids give an empty text."""
+    df = df.drop(into)
     schema = df.select("*", F.lit("").alias(into)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,6 +369,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with n_tokens, ids_sha256 and decoded_sha256 in place of the text: encoded and decoded again in one pass."""
+    df = df.drop("n_tokens", "ids_sha256", "decoded_sha256")
     rest = [c for c in df.columns if c != text]
     schema = df.select(*rest, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 

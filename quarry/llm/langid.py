@@ -14,7 +14,7 @@ whose phrases are added up, so that many blocks are parsed in lockstep.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
 ties go to the smaller language name; no labelled row at all gives `und`
-everywhere; other columns, clashing names included, are passed through.
+everywhere; other columns are passed through, but for those with the names of the new ones, which give way.
 """
 
 from __future__ import annotations
@@ -155,6 +155,7 @@ def sample(df: DataFrame, text: str = "text", lang: str = "lang", train_chars: i
 
 def identify(df: DataFrame, samples: dict[str, str], text: str = "text", block: int = BLOCK) -> DataFrame:
     """df with lang_pred, score and cost (bits per symbol of the best language). No shuffle: one pass over the partitions."""
+    df = df.drop("lang_pred", "score", "cost")
     schema = df.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cost")).schema
     schema["lang_pred"].nullable = schema["score"].nullable = schema["cost"].nullable = True
 

@@ -1,0 +1,37 @@
+import public_tokenizers
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from quarry.llm import common
+
+from .test_jaccard import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, frames = docs.columns, []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = common.kept(stage(spark, docs, SF), name)
+        frames.append(docs)
+        assert i == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+    start = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    language, near, clean, masked, tokens = ({r.doc_id: r for r in f.collect()} for f in frames)
+    assert set(language) == {k for k, t in start.items() if t and any(c.isalpha() for c in t)}
+    classes = brute([(k, r.text) for k, r in language.items()])
+    assert set(near) == {c for c, _, _ in classes.values()}
+    assert set(clean) <= set(near) and len(near) - len(clean) < 0.2 * len(near)
+    assert set(masked) == set(clean) == set(tokens)
+    assert all(r.text == clean[k].text or "[SECRET]" in r.text for k, r in masked.items())
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for k, r in tokens.items():
+        assert list(r.ids) == library.encode(masked[k].text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+    assert {(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect()} == {(k, r.n_tokens) for k, r in tokens.items()}
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.kept(stage(spark, docs, SF), f"{name}-empty")
+        assert docs.count() == 0
