@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import filtering, relational, texts, vectors  # noqa: F401
+from . import filtering, formats, relational, streams, texts, vectors  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -13,7 +13,7 @@ from .registry import query
 from .texts import PARTS
 
 SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
-DAY = F.expr("cast(ts as date)")
+DAY = "cast(ts as date)"
 
 
 @query("documents", "pages", sql="""SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN 'side-' || d.doc_id END, p.url, CASE WHEN d.doc_id % 2 = 0 THEN 'front-' || d.doc_id END) AS source_url
@@ -209,7 +209,7 @@ def crawl_progress(orders):
 @query("events", sql="""SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS used, row_number() OVER w <= 3 AS admitted, CAST(greatest(0, 3 - row_number() OVER w) AS INTEGER) AS remaining
 FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)""")
 def quota_daily(events):
-    rows = progress.quota(events.withColumn("day", DAY), ["user_id", "day"], ["ts", "event_id"], 3)
+    rows = progress.quota(events.withColumn("day", F.expr(DAY)), ["user_id", "day"], ["ts", "event_id"], 3)
     return rows.select("event_id", "used", "admitted", "remaining")
 
 
@@ -217,7 +217,7 @@ def quota_daily(events):
 g AS (SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM u WHERE mine <= 3)
 SELECT u.event_id, coalesce(g.k <= 100, false) AS admitted FROM u LEFT JOIN g USING (event_id)""")
 def quota_coupled(events):
-    return progress.coupled_quota(events.withColumn("day", DAY), "user_id", "day", ["ts", "event_id"], 3, 100).select("event_id", "admitted")
+    return progress.coupled_quota(events.withColumn("day", F.expr(DAY)), "user_id", "day", ["ts", "event_id"], 3, 100).select("event_id", "admitted")
 
 
 @query("pages", sql="""WITH RECURSIVE g AS (SELECT page_id AS src, (page_id * 7 + 3) % 250 AS dst FROM pages UNION SELECT page_id, (page_id * 3 + 1) % 400 FROM pages),
