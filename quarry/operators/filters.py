@@ -67,7 +67,7 @@ def names_only(expr: dict, keys: Iterable[str]) -> bool:
 
 
 def compiled(expr: dict | None, schema: StructType, metadata: str | None = None, first_only: bool = False) -> Column:
-    """The filter as a predicate that is never null; no filter is true."""
+    """The filter as a predicate for where(), plain enough to reach the scan: null counts as false; no filter is true."""
     if not expr:
         return F.lit(True)
     out = _node(expr, lambda key: _field(key, schema, metadata), first_only)
@@ -101,11 +101,13 @@ def _node(expr: dict, field: Callable, first_only: bool) -> Column | None:
 def _leaf(c: Column, kind: DataType, op: str, operand: object) -> Column:
     if op == "$exists":
         return c.isNotNull() if operand else c.isNull()
+    many = isinstance(kind, ArrayType)
     if op in ("$ne", "$nin"):
-        return ~_leaf(c, kind, "$eq" if op == "$ne" else "$in", operand)
-    element = kind.elementType if isinstance(kind, ArrayType) else kind
+        same = _leaf(c, kind, "$eq" if op == "$ne" else "$in", operand)
+        return c.isNull() | ~(F.coalesce(same, F.lit(False)) if many else same)
+    element = kind.elementType if many else kind
     test = _test(op, operand, isinstance(element, StringType))
-    return F.coalesce(F.exists(c, test) if isinstance(kind, ArrayType) else test(c), F.lit(False))
+    return F.exists(c, test) if many else test(c)
 
 
 def _test(op: str, operand: object, text: bool) -> Callable[[Column], Column]:
