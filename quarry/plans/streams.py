@@ -11,8 +11,8 @@ from .registry import ORACLE_SQL, QUERIES
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    return jobs.files(spark, path, table(spark, sf_dir, "events").schema)
+    # as a pattern, the path may be a folder or one file
+    return jobs.files(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema)
 
 
 def _complete(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -24,7 +24,9 @@ def _complete(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by five minutes and type."""
-    return _complete(spark, jobs.counted(_events(spark, sf_dir), "ts", ["event_type"], "5 minutes"), "tumbling").drop("end")
+    events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))  # event time must be an instant
+    counts = _complete(spark, jobs.counted(events, "ts", ["event_type"], "5 minutes"), "tumbling")
+    return counts.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 def stream_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
