@@ -1,6 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. Built-in functions only.
 
-A candidate is a run of MIN_LENGTH to MAX_LENGTH token characters with a digit in it. Its features are its
+A candidate is a whole run of MIN_LENGTH token characters or more, however long, with a digit in it or a known prefix; behind an
+assignment to a secret's name ("password=", "token: ") a run of MIN_ASSIGNED characters or more, with or without a digit.
+Local parts of mail addresses are none, passwords in URLs (scheme://user:password@host) are. Its features are its
 length, the changes between character classes, the part that dictionary words cover, the
 path of its document and the words next to it. A random forest trained on labelled findings
 (candidate, path, before, lead, after, label) decides; the trees are written out as SQL
@@ -22,7 +24,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MIN_LENGTH, MAX_LENGTH, TRAIN_ROWS, TREES, DEPTH, THRESHOLD, MASK = 14, 128, 20_000, 15, 6, 0.5, "[SECRET]"
+MIN_LENGTH, MIN_ASSIGNED, TRAIN_ROWS, TREES, DEPTH, THRESHOLD, MASK = 14, 4, 20_000, 15, 6, 0.5, "[SECRET]"
 
 #: Words that speak for a secret, words that speak against one, and common parts of names.
 FOR = "password passwd pwd secret token apikey api_key key auth credential credentials bearer private access_key".split()
@@ -32,15 +34,23 @@ PREFIXES = "AKIA ASIA ghp_ gho_ ghs_ glpat- sk_live_ rk_live_ xoxb- xoxp- AIza S
 
 #: Services' keys can lack a digit; their prefix is enough.
 KNOWN = "|".join(p.replace(".", "[.]") for p in PREFIXES)
-CANDIDATE = rf"(?<![A-Za-z0-9_/+.-])(?=[A-Za-z0-9_/+.-]{{0,{MAX_LENGTH}}}[0-9]|{KNOWN})[A-Za-z0-9][A-Za-z0-9_/+.-]{{{MIN_LENGTH - 2},{MAX_LENGTH - 2}}}[A-Za-z0-9](?![A-Za-z0-9_/+@])"
-#: A cheap test that every text with a candidate passes.
-HINT = rf"[0-9]|{KNOWN}"
-
-
 def _any(words: list[str]) -> str:
     return "(" + "|".join(re.escape(w).replace("\\-", "-").replace("\\_", "_") for w in sorted(words, key=len, reverse=True)) + ")"
 
 
+TOKEN = "[A-Za-z0-9_/+.-]"
+#: The local part of a mail address; the same form behind scheme://user: is a password.
+MAIL = rf"(?:(?!{TOKEN}+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{{2}})|(?<=://[^\s/:@]{{0,255}}:))"
+RUN = lambda least: rf"[A-Za-z0-9]{TOKEN}{{{least - 2},}}[A-Za-z0-9_/+](?![A-Za-z0-9_/+]|{TOKEN}*[A-Za-z0-9])"
+CANDIDATE = rf"(?<!{TOKEN})(?={TOKEN}*[0-9]|{KNOWN}){MAIL}{RUN(MIN_LENGTH)}"
+#: What assigns to a secret's name, and shorter runs behind it: in one word, or at the start of a word.
+ASSIGNS = rf"(?i:{_any(FOR)})[^A-Za-z0-9]{{0,3}}[=:][^A-Za-z0-9]{{0,3}}"
+ASSIGNED = rf"(?<!{TOKEN})(?<={ASSIGNS}){MAIL}{RUN(MIN_ASSIGNED)}"
+STARTS = rf"(?<!{TOKEN})(?<=^[^A-Za-z0-9]{{0,3}}){MAIL}{RUN(MIN_ASSIGNED)}"
+#: A cheap test that every text with a candidate passes.
+HINT = rf"[0-9]|{KNOWN}|(?i:{_any(FOR)})[^A-Za-z0-9]{{0,3}}[=:]"
+
+
 def _q(s: str) -> str:
     return "r'" + s + "'"
 
@@ -68,10 +78,15 @@ FEATURES = {
 def candidates(text: str = "text", path: str | None = None) -> str:
     """SQL: the array of candidates of a text with the words next to them. `_words` must hold the text's words."""
     where = f"lower(coalesce(cast(`{path}` as string), ''))" if path else "''"
-    long_words = f"filter(transform(_words, (w, i) -> struct(w, i)), x -> length(x.w) >= {MIN_LENGTH} and x.w rlike {_q(CANDIDATE)})"
+    # each word with its place and the two words before it: looking them up in _words for every word could split the text again each time
+    two = "zip_with(zip_with(_words, concat(array(''), _words), (w, p) -> struct(w, p)), concat(array('', ''), _words), (z, q) -> struct(z.w as w, z.p as p, q))"
+    behind = f"(right(x.p, 1) in ('=', ':') and concat(x.q, ' ', x.p) rlike {_q(ASSIGNS + '$')})"
+    inside = f"((instr(x.w, '=') > 1 or instr(x.w, ':') > 1) and x.w rlike {_q(ASSIGNED)})"
+    long_words = f"filter(transform({two}, (z, i) -> struct(z.w as w, z.p as p, z.q as q, i)), x -> x.w is not null and ((length(x.w) >= {MIN_LENGTH} and x.w rlike {_q(CANDIDATE)}) or {inside} or ({behind} and x.w rlike {_q(STARTS)})))"
+    runs = f"regexp_extract_all(x.w, if({behind}, {_q(f'({CANDIDATE}|{ASSIGNED}|{STARTS})')}, {_q(f'({CANDIDATE}|{ASSIGNED})')}), 1)"
     near = lambda start, size: f"lower(array_join(transform(slice(_words, {start}, {size}), y -> right(y, 60)), ' '))"
     one = f"named_struct('candidate', t, 'word', x.i, 'path', {where}, 'before', {near('greatest(1, x.i - 2)', 'least(3, x.i)')}, 'lead', lower(right(substring_index(x.w, t, 1), 60)), 'after', {near('x.i + 2', '3')})"
-    return f"flatten(transform({long_words}, x -> transform(regexp_extract_all(x.w, {_q('(' + CANDIDATE + ')')}, 1), t -> {one})))"
+    return f"flatten(transform({long_words}, x -> transform({runs}, t -> {one})))"
 
 
 def findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
@@ -100,6 +115,11 @@ def findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
         (f"concat('test_', {word}, '_token_', id % 100)", "'in the test'", "'token='", 0),
         (f"concat({word}, '.', id % 90, '@mail', id % 9, '.example.com')", "'write to'", "''", 0),
         (f"concat(substr({h('i')}, 1, 3), '-', translate(substr({h('i')}, 4, 3), 'abcdef', '123456'), '-', translate(substr({h('i')}, 7, 9), 'abcdef', '123456'))", "'phone number'", "'tel:'", 0),
+        (f"concat('eyJ', left({base}, 33), '.eyJ', {base}, left({h('j')}, cast(id % 40 as int)), '.', {base})", "'send the header'", "''", 1),
+        (f"left({base}, cast(12 + id % 9 as int))", "'connect to'", "'postgres://app:'", 1),
+        (f"left({base}, cast(7 + id % 7 as int))", "'then set'", "'password='", 1),
+        (f"left(translate({base}, '0123456789', 'ghjkmnpqrs'), cast(12 + id % 12 as int))", "'our secret ='", "'\\''", 1),
+        (word, "'the token: '", "''", 0),
         (f"concat('xxxxxxxx', '0000', 'xxxxxxxx', id % 10)", "'replace the'", "'password='", 0),
     ]
     pick = lambda n: "case " + " ".join(f"when id % {len(kinds)} = {k} then {row[n]}" for k, row in enumerate(kinds)) + " end"
@@ -146,8 +166,9 @@ def scanned(df: DataFrame, forest: str, text: str = "text", path: str | None = N
 
 
 def masked(df: DataFrame, text: str = "text") -> DataFrame:
-    """scanned() rows with each secret in the text replaced by MASK; the column secrets goes."""
-    return df.withColumn(text, F.expr(f"aggregate(filter(secrets, s -> s.secret), `{text}`, (t, s) -> replace(t, s.candidate, '{MASK}'))")).drop("secrets")
+    """scanned() rows with each secret in the text replaced by MASK, longer ones first, short ones only where they stand alone; the column secrets goes."""
+    alone = f"regexp_replace(t, concat({_q(f'(?<!{TOKEN})')}, replace(replace(s.candidate, '.', '[.]'), '+', '[+]'), '(?![A-Za-z0-9_/+])'), '{MASK}')"
+    return df.withColumn(text, F.expr(f"aggregate(array_sort(filter(secrets, s -> s.secret), (a, b) -> length(b.candidate) - length(a.candidate)), `{text}`, (t, s) -> if(length(s.candidate) >= {MIN_LENGTH}, replace(t, s.candidate, '{MASK}'), {alone}))")).drop("secrets")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

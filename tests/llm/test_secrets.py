@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from quarry.llm import secrets
@@ -36,3 +37,21 @@ def test_edges_and_masking(spark, forest):
     hidden = {r.doc_id: r.text for r in secrets.masked(secrets.scanned(df, forest)).collect()}
     assert hidden[1] is None and hidden[2] == "" and hidden[3] == "x [SECRET] y [SECRET]" and hidden[4].endswith(" [SECRET]")
     assert secrets.scanned(df.limit(0), forest).count() == 0
+
+
+def test_long_url_and_assigned_secrets_are_masked_whole(spark, forest):
+    rng = np.random.default_rng(4)
+    sign = lambda n, of="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789": "".join(rng.choice(list(of), n))
+    jwt = f"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJ{sign(71)}.{sign(43)}"
+    keys = [jwt, "q7" + sign(198), "S3cr3tPassw0rd99", "Xk29vQz", "QwzRtpLkvBnmXcdF", "mZ4qTr8v"]
+    texts = [f"send the header {jwt} now", f"the secret: {keys[1]} here", f"at postgres://app:{keys[2]}@db.host.com/x", f"then password={keys[3]} here", f"api_key = '{keys[4]}' there", f"set the password: {keys[5]} now"]
+    df = spark.createDataFrame([(i, t, "src/app.py") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = secrets.scanned(df, forest, path="source").collect()
+    assert {r.doc_id: [s.candidate for s in r.secrets if s.candidate in keys] for r in rows} == {i: [k] for i, k in enumerate(keys)}
+    hidden = {r.doc_id: r.text for r in secrets.masked(secrets.scanned(df, forest, path="source")).collect()}
+    assert hidden == {i: t.replace(k, "[SECRET]") for i, (t, k) in enumerate(zip(texts, keys, strict=True))}
+
+
+def test_mail_addresses_are_no_candidates(spark, forest):
+    got = scan(spark, forest, ["write to first.last.of.1990@example.com", "mailto:first.last.of.1990@mail.example.com"])
+    assert not any("first" in s.candidate for x in got.values() for s in x)
