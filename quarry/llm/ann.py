@@ -1,28 +1,30 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Each tree gives every vector a bit string: the sides of random projections that halve a
-sample. Sorted by it, the vectors that share a prefix stand together. A query
-descends to its longest prefix in every tree and then goes up in all trees at the same
-time, a bit a step, until the prefixes hold `reach` x rows candidates together; these are
-compared by exact Euclidean distance.
-
-The forest is fitted on a bounded sample of SAMPLE vectors: projections' medians, and the
-smallest reach whose recall against brute force there is RECALL at least (neighbours are
-farther apart in a sample than in the whole, so this errs on the safe side). Every row is
-indexed. The sorted arrays are cut by prefix into blocks of BLOCK vectors about, and blocks that
-are larger by far into several by hash; queries go to the blocks of their prefixes.
-Only each block's best leave it, so no pair is emitted.
+Each tree gives every vector a string of BITS bits: the sides of random projections that halve a
+sample. Sorted by it, the vectors that share a prefix stand together: a tree is a sorted array, cut by range into
+blocks. A query finds its place in each tree's array by bisection and its longest prefixes there, and then goes up in all trees at the same
+time, a bit a step, until the prefixes hold M candidates together; these are
+compared by exact Euclidean distance, and only each block's best leave it.
+
+M is measured on the index itself: for FIT_QUERIES of its vectors the true neighbours are found among all rows (a pass, in which
+tasks keep k rows a query), and M is the smallest number whose recall for them is `recall` at least. It is a small constant where vectors have
+neighbours that are much nearer than the rest, and a share of all rows where they have none, as for evenly spread vectors of many dimensions.
+
+The projections' medians come from a bounded sample of SAMPLE vectors. Every row is indexed. Vectors are shuffled once for each tree,
+queries to the blocks that their prefixes touch; a block with very many queries is
+copied for each QUERIES of them. The table of blocks (MAX_BLOCKS rows about, whatever the number of vectors) is all that is broadcast beside the projections.
 
 Equal vectors: no query needs more than the k + 1 smallest ids of a vector, so the index keeps these (exact), and
 equal queries are searched once.
 
 Defined results: vectors that are null, zero, hold null or non-finite components or have another length than most take no
-part; ties go to the smaller id; a query finds all candidates if there are fewer than k; rows with a null id take no part.
+part; ties go to the smaller id; a query finds all candidates if there are fewer than k; rows with a null id take no part; equal rows count once.
+Only the result's columns are returned, whatever other columns df has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,54 +33,47 @@ from pyspark.sql import functions as F
 
 from .common import kept
 
-TREES, SAMPLE, RECALL, BLOCK, QUERIES, SEED = 10, 4096, 0.95, 4096, 4096, 7
+TREES, BITS, SAMPLE, RECALL, BLOCK, MAX_BLOCKS, QUERIES, FIT_QUERIES, SEED = 10, 63, 4096, 0.95, 8192, 65_536, 50_000, 64, 7
+#: The bits behind a prefix, by its length.
+FREE = np.array([(1 << (BITS - d)) - 1 for d in range(BITS + 1)], np.int64)
+ROWS = "tree int, block int, part int, kind int, code long, id long, level int, v array<double>"
 
 
 class Forest:
-    """Projections, medians, and how far to go up."""
+    """Projections and medians."""
 
-    def __init__(self, sample: np.ndarray, k: int, trees: int = TREES, recall: float = RECALL, seed: int = SEED):
-        self.trees, self.depth = trees, 16
-        rng = np.random.default_rng(seed)
+    def __init__(self, sample: np.ndarray, trees: int = TREES, seed: int = SEED):
+        self.trees = trees
         dim = sample.shape[1] if sample.size else 1
-        self.planes = rng.standard_normal((dim, trees * self.depth))
-        self.middle = np.median(sample @ self.planes, axis=0) if sample.size else np.zeros(trees * self.depth)
-        self.reach = self._fit(sample, k, recall)
+        self.planes = np.random.default_rng(seed).standard_normal((dim, trees * BITS))
+        self.middle = np.median(sample @ self.planes, axis=0) if sample.size else np.zeros(trees * BITS)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """A code of `depth` bits per row and tree."""
-        bits = (x @ self.planes > self.middle).reshape(len(x), self.trees, self.depth)
-        return bits @ (1 << np.arange(self.depth - 1, -1, -1))
-
-    def histogram(self, codes: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(codes[:, t], minlength=1 << self.depth) for t in range(self.trees)])
-
-    def levels(self, codes: np.ndarray, histogram: np.ndarray, least: float) -> np.ndarray:
-        """Prefix length of each query: the longest whose prefixes hold `least` rows over all trees."""
-        out = np.zeros(len(codes), np.int64)
-        for d in range(1, self.depth + 1):
-            at = histogram.reshape(self.trees, 1 << d, -1).sum(2)
-            total = at[np.arange(self.trees), codes >> (self.depth - d)].sum(1)
-            out[total >= least] = d
-        return out  # counts fall with d, so the last level that suffices stands
-
-    def _fit(self, sample: np.ndarray, k: int, recall: float) -> float:
-        n = len(sample)
-        queries = np.arange(min(n, 200))
-        if n <= k + 1:
-            return float(self.trees)
-        codes = self.codes(sample)
-        far = ((sample[queries] ** 2).sum(1)[:, None] + (sample**2).sum(1) - 2 * sample[queries] @ sample.T)
-        far[queries, queries] = np.inf
-        true = np.argpartition(far, k, axis=1)[:, :k]
-        counts = self.histogram(codes)
-        for reach in 2.0 ** np.arange(-8, 3.1, 0.5):
-            d = self.levels(codes[queries], counts, reach * n)
-            shift = (self.depth - d)[:, None, None]
-            hit = ((codes[true] >> shift) == (codes[queries][:, None] >> shift)).any(2)
-            if hit.mean() >= recall:
-                return float(reach)
-        return float(self.trees)
+        """A code of BITS bits per row and tree."""
+        bits = (x @ self.planes > self.middle).reshape(len(x), self.trees, BITS)
+        return bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+
+
+class Blocks:
+    """First and last code and number of vectors of the blocks of each tree, in order."""
+
+    def __init__(self, rows: list, trees: int):
+        rows = sorted(rows, key=lambda r: (r.tree, r.low, r.block))
+        self.of = [[r for r in rows if r.tree == t] for t in range(trees)]
+        self.number = [np.array([r.block for r in x], np.int64) for x in self.of]
+        self.low = [np.array([r.low for r in x], np.int64) for x in self.of]
+        self.high = [np.array([r.high for r in x], np.int64) for x in self.of]
+        self.before = [np.append(0, np.cumsum([r.n for r in x])) for x in self.of]
+
+    def touched(self, tree: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first block and the one behind the last that hold codes from low to high."""
+        return np.searchsorted(self.high[tree], low), np.searchsorted(self.low[tree], high, side="right")
+
+
+def prefix(codes: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest code with the same first `level` bits."""
+    free = FREE[level]
+    return codes & ~free, codes | free
 
 
 def usable(v: Column) -> Column:
@@ -92,7 +87,35 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, seed: int = SEED) -> DataFrame:
+def met(rows: DataFrame, queries: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """work(tree, block's rows, queries) for the rows of each block, in the order of their codes, and batches of the queries that come to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, table = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy() for c in ("tree", "block", "part", "kind")], 1)
+            edge = np.append(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key))
+            start = 0
+            for end in edge.tolist():
+                group, kind, some = tuple(key[start, :3].tolist()), key[start, 3], b.slice(start, end - start)
+                start = end
+                if group != at:
+                    at, held, table = group, [], None
+                if kind == 0:
+                    held.append(some)
+                elif held:
+                    table = table or pa.Table.from_batches(held).combine_chunks()
+                    out = work(group[0], group[1], table, some)
+                    if out.num_rows:
+                        yield out
+
+    both = rows.unionByName(queries).repartition("tree", "block", "part")
+    return both.sortWithinPartitions("tree", "block", "part", "kind", "code", "id").mapInArrow(run, schema)
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of df for each row of queries, of which its own id is none."""
     clean = lambda d: d.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double") + 0.0).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows, asked = clean(df), clean(queries)
@@ -102,108 +125,139 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     by_vector = Window.partitionBy("v").orderBy("id")
     index = kept(rows.distinct().withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1).drop("r"), "vectors")
     # the queries with one vector are searched as the smallest of them
-    same = kept(asked.distinct().withColumn("ask", F.xxhash64("v")), "queries")
-    ask = same.groupBy("ask", "v").agg(F.min("id").alias("q"))
-    sample = [r.v for r in index.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("v").limit(SAMPLE).toLocalIterator()]
-    forest = Forest(np.array(sample, dtype=np.float64).reshape(len(sample), dim or 1), k, trees, seed=seed)
-    n, asks = index.count(), ask.count()
-    send = df.sparkSession.sparkContext.broadcast(forest)  # planes and medians: trees x depth x dimensions
+    same = kept(asked.distinct(), "queries")
+    ask = kept(same.groupBy("v").agg(F.min("id").alias("id")), "asked")
+    by_hash = index.orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    sample = [r.v for r in by_hash.select("v").limit(SAMPLE).toLocalIterator()]
+    spark, n = df.sparkSession, index.count()
+    send = spark.sparkContext.broadcast(Forest(np.array(sample, dtype=np.float64).reshape(len(sample), dim or 1), trees, seed))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = send.value.codes(_matrix(b.column("v"))) if b.num_rows else np.zeros((0, send.value.trees), np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(c.ravel().astype(np.int64)), send.value.trees).cast(pa.list_(pa.int64()))], names=[*b.schema.names, "codes"])
-
-    index = index.mapInArrow(coded, "id long, v array<double>, codes array<long>")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((send.value.trees, 1 << send.value.depth), np.int64)
         for b in batches:
             if b.num_rows:
-                total += send.value.histogram(_matrix(b.column("codes")).astype(np.int64))
-        t, c = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"t": pa.array(t, pa.int32()), "c": pa.array(c, pa.int64()), "n": total[t, c]})
-
-    # trees x 2**depth counts at most, whatever the number of rows
-    histogram = np.zeros((forest.trees, 1 << forest.depth), np.int64)
-    for r in index.select("codes").mapInArrow(counted, "t int, c long, n long").groupBy("t", "c").agg(F.sum("n").alias("n")).toLocalIterator():
-        histogram[r.t, r.c] = r.n
-    counts = df.sparkSession.sparkContext.broadcast(histogram)
-    bits = int(min(forest.depth, max(0, np.ceil(np.log2(max(1, n) / BLOCK)))))
-    splits = np.maximum(1, -(-histogram.reshape(forest.trees, 1 << bits, -1).sum(2) // (2 * BLOCK)))
-    parts = df.sparkSession.sparkContext.broadcast(splits)
-    chunks = max(1, -(-asks // QUERIES))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The blocks of each vector."""
-        f, s = send.value, parts.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            codes, ids = _matrix(b.column("codes")).astype(np.int64), b.column("id").to_numpy()
-            block = codes >> (f.depth - bits)
-            for t in range(f.trees):
-                part = (ids * 2654435761 >> 7) % s[t, block[:, t]]
-                for c in range(chunks):
-                    yield _placed(ids, b.column("v"), codes[:, t], np.full(len(ids), f.depth), t, block[:, t], part, c)
+                codes = send.value.codes(_matrix(b.column("v")))
+                for t in range(send.value.trees):
+                    yield _rows(t, 0, codes[:, t], b.column("id"), 0, b.column("v"), kind=0)
+
+    # the sorted arrays: a range of (tree, code, id) in each partition, so that even equal codes are cut into blocks of even size
+    parts = int(max(1, min(MAX_BLOCKS, -(-n * trees // BLOCK))))
+    arrays = index.mapInArrow(coded, ROWS).repartitionByRange(parts, "tree", "code", "id").sortWithinPartitions("tree", "code", "id")
+    arrays = kept(arrays.withColumn("block", F.spark_partition_id()), "forest")
+    blocks = Blocks(arrays.groupBy("tree", "block").agg(F.min("code").alias("low"), F.max("code").alias("high"), F.count("*").alias("n")).collect(), trees)
+    known = spark.sparkContext.broadcast(blocks)
+
+    def counts(some: DataFrame) -> DataFrame:
+        """(id, counts): the candidates of each query over all trees, for prefixes of 0 to BITS bits."""
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                codes = send.value.codes(_matrix(b.column("v"))) if b.num_rows else np.zeros((0, trees), np.int64)
+                for t in range(trees if b.num_rows else 0):
+                    at = np.maximum(np.searchsorted(known.value.low[t], codes[:, t], side="right") - 1, 0)
+                    yield _rows(t, known.value.number[t][at], codes[:, t], b.column("id"), 0, None)
+
+        def bisected(tree: int, block: int, table: pa.Table, some: pa.RecordBatch) -> pa.RecordBatch:
+            x, c, of = table.column("code").to_numpy(), some.column("code").to_numpy(), known.value
+            own, out = int(np.flatnonzero(of.number[tree] == block)[0]), np.zeros((len(c), BITS + 1), np.int64)
+            for d in range(BITS + 1):
+                low, high = prefix(c, d)
+                out[:, d] = np.searchsorted(x, high, side="right") - np.searchsorted(x, low)
+                first, end = of.touched(tree, low, high)  # other blocks that the prefix touches count as a whole
+                out[:, d] += of.before[tree][end] - of.before[tree][first] - np.where((first <= own) & (own < end), len(x), 0)
+            return pa.RecordBatch.from_arrays([some.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * (BITS + 1), pa.int32()), pa.array(out.ravel()))], names=["id", "counts"])
+
+        each = met(arrays.withColumn("v", F.lit(None).cast("array<double>")), some.mapInArrow(placed, ROWS), bisected, "id long, counts array<long>")
+        return each.groupBy("id").agg(F.array(*(F.sum(F.col("counts")[d]) for d in range(BITS + 1))).alias("counts"))
+
+    candidates = fitted(index, by_hash.limit(FIT_QUERIES), counts, send, k, recall)
+    level = F.greatest(F.size(F.filter("counts", lambda c: c >= candidates)) - 1, F.lit(0)).cast("int")
+    levels = kept(ask.join(counts(ask).select("id", level.alias("level")), "id"), "levels")
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The blocks that each query goes to."""
-        f, s = send.value, parts.value
         for b in batches:
             if not b.num_rows:
                 continue
-            codes, ids = _matrix(b.column("codes")).astype(np.int64), b.column("id").to_numpy()
-            level = f.levels(codes, counts.value, f.reach * n)
-            wide = np.maximum(bits - level, 0)
-            for t in range(f.trees):
-                first = (codes[:, t] >> (f.depth - bits)) >> wide << wide
-                rows = np.repeat(np.arange(len(ids)), 1 << wide)
-                block = first[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(1 << wide) - (1 << wide), 1 << wide)
-                of = s[t, block]
-                rows, block, part = np.repeat(rows, of), np.repeat(block, of), np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of)
-                for a in range(0, len(rows), 4096):
-                    r = rows[a : a + 4096]
-                    yield _placed(ids[r], b.column("v").take(pa.array(r)), codes[r, t], level[r], t, block[a : a + 4096], part[a : a + 4096], (ids[r] * 40503 >> 3) % chunks)
-
-    def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            codes, at = send.value.codes(_matrix(b.column("v"))), b.column("level").to_numpy().astype(np.int64)
+            for t in range(trees):
+                first, end = known.value.touched(t, *prefix(codes[:, t], at))
+                row = np.repeat(np.arange(len(at)), end - first)
+                block = known.value.number[t][np.repeat(first - np.cumsum(end - first) + (end - first), end - first) + np.arange(len(row))]
+                for a in range(0, len(row), 4096):
+                    r = pa.array(row[a : a + 4096])
+                    yield _rows(t, block[a : a + 4096], codes[row[a : a + 4096], t], b.column("id").take(r), at[row[a : a + 4096]], b.column("v").take(r))
+
+    def best(tree: int, block: int, table: pa.Table, some: pa.RecordBatch) -> pa.RecordBatch:
         """The k + 1 nearest rows of a block for each query that comes to it."""
-        asks_, ids_, far_ = [], [], []
-        if left.num_rows and right.num_rows:
-            x, ids, code = _matrix(left.column("v")), left.column("id").to_numpy(), left.column("code").to_numpy()
-            for q, y, c, d in zip(right.column("id").to_numpy(), _matrix(right.column("v")), right.column("code").to_numpy(), right.column("level").to_numpy(), strict=True):
-                near = np.flatnonzero(code >> (forest_depth - d) == c >> (forest_depth - d))
-                if not len(near):
-                    continue
-                far = np.sqrt(((x[near] - y) ** 2).sum(1))
-                order = np.lexsort((ids[near], far))[: k + 1] if len(near) <= 4 * k else _smallest(far, ids[near], k + 1)
-                asks_.append(np.full(len(order), q))
-                ids_.append(ids[near][order])
-                far_.append(far[order])
-        return pa.table({"q": pa.array(np.concatenate(asks_) if asks_ else [], pa.int64()), "id": pa.array(np.concatenate(ids_) if ids_ else [], pa.int64()), "score": pa.array(np.concatenate(far_) if far_ else [], pa.float64())})
-
-    forest_depth = forest.depth
-    place = "id long, v array<double>, code long, level long, tree int, block long, part long, chunk long"
-    of = ["tree", "block", "part", "chunk"]
-    left = index.mapInArrow(placed, place)
-    right = ask.select(F.col("q").alias("id"), "v").mapInArrow(coded, "id long, v array<double>, codes array<long>").mapInArrow(sent, place)
-    found = left.groupBy(*of).cogroup(right.groupBy(*of)).applyInArrow(best, "q long, id long, score double").distinct()
+        x, ids, code = _matrix(table.column("v")), table.column("id").to_numpy(), table.column("code").to_numpy()
+        norms, out = (x**2).sum(1), []
+        y, c = _matrix(some.column("v")), some.column("code").to_numpy()
+        low, high = prefix(c, some.column("level").to_numpy())
+        for q, z, a, b in zip(some.column("id").to_pylist(), y, np.searchsorted(code, low), np.searchsorted(code, high, side="right"), strict=True):
+            if b > a:
+                far = norms[a:b] - 2 * (x[a:b] @ z)
+                bound = np.partition(far, k)[k] + 1e-9 * (norms[a:b].max() + z @ z) if b - a > k + 1 else np.inf
+                near = a + np.flatnonzero(far <= bound)
+                score = np.sqrt(((x[near] - z) ** 2).sum(1))  # the measure itself, for all that rounding could have hidden
+                order = np.lexsort((ids[near], score))[: k + 1]
+                out.append((np.full(len(order), q), ids[near][order], score[order]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]) if out else [], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["q", "id", "score"])
+
+    routed = kept(levels.select("id", "v", "level").mapInArrow(sent, ROWS), "routed")
+    busy = routed.groupBy("tree", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")).where("parts > 1")
+    busy = kept(busy, "busy")
+    split = lambda d, part: d.drop("part").join(busy, ["tree", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part).drop("parts")
+    found = met(split(arrays, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), split(routed, F.pmod(F.xxhash64("id"), "parts").cast("int")), best, "q long, id long, score double").distinct()
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("r") <= k + 1).drop("r")
-    whole = top.join(ask.select("q", "ask", "v"), "q").select("ask", "v", F.col("id").alias("vec_id"), "score").join(same.select("ask", "v", F.col("id").alias("query_id")), ["ask", "v"])
+    whole = top.join(ask.select(F.col("id").alias("q"), "v"), "q").select("v", F.col("id").alias("vec_id"), "score").join(same.select("v", F.col("id").alias("query_id")), "v")
     ranked = whole.where("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _smallest(far: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest, ties to smaller ids."""
-    bound = np.partition(far, k - 1)[k - 1]
-    near = np.flatnonzero(far <= bound)
-    return near[np.lexsort((ids[near], far[near]))[:k]]
-
+def fitted(index: DataFrame, some: DataFrame, counts: Callable, send, k: int, recall: float) -> int:
+    """The candidates a query needs, from the true neighbours of `some` rows among all of the index."""
+    asked = some.collect()  # FIT_QUERIES rows at most
+    if not asked:
+        return 1
+    q, y = np.array([r.id for r in asked]), np.array([r.v for r in asked], dtype=np.float64)
+    trees = send.value.trees
+    mine = send.value.codes(y)
 
-def _placed(ids, v, code, level, tree, block, part, chunk) -> pa.RecordBatch:
-    n = len(ids)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), v, pa.array(code, pa.int64()), pa.array(level, pa.int64()), pa.array(np.full(n, tree), pa.int32()), pa.array(block, pa.int64()), pa.array(part, pa.int64()), pa.array(np.broadcast_to(chunk, n), pa.int64())], names=["id", "v", "code", "level", "tree", "block", "part", "chunk"])
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, far, shared = [np.zeros(0, np.int64)] * len(q), [np.zeros(0)] * len(q), [np.zeros(0, np.int64)] * len(q)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, own = _matrix(b.column("v")), b.column("id").to_numpy()
+            d = (x**2).sum(1) - 2 * y @ x.T
+            for i in range(len(q)):
+                at = np.flatnonzero(own != q[i])
+                at = at[np.argsort(d[i, at], kind="stable")[:k]]
+                both = send.value.codes(x[at]) ^ mine[i]
+                longest = BITS - np.frexp(both.astype(np.float64))[1].min(1) if len(at) else np.zeros(0, np.int64)
+                ids[i], far[i], shared[i] = np.append(ids[i], own[at]), np.append(far[i], d[i, at]), np.append(shared[i], longest)
+                keep = np.argsort(far[i], kind="stable")[:k]
+                ids[i], far[i], shared[i] = ids[i][keep], far[i][keep], shared[i][keep]
+        who = np.repeat(q, [len(x) for x in ids])
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(ids)), pa.array(np.concatenate(far)), pa.array(np.concatenate(shared))], names=["q", "id", "far", "longest"])
+
+    by_query = Window.partitionBy("q").orderBy("far", "id")
+    true = index.mapInArrow(nearest, "q long, id long, far double, longest long").withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= k).select("q", "longest").collect()
+    total = {r.id: np.array(r.counts) for r in counts(some.select("id", "v")).collect()}
+    longest = {i: np.array([r.longest for r in true if r.q == i]) for i in total}
+    most = max(int(c[0]) for c in total.values())
+    for m in sorted({int(2 ** (e / 4)) for e in range(4 * 3, 4 * int(np.ceil(np.log2(most + 1))) + 1)} | {most}):
+        hit = [x >= max(int((total[i] >= m).sum()) - 1, 0) for i, x in longest.items() if len(x)]
+        if not hit or np.concatenate(hit).mean() >= recall:
+            return m
+    return most
+
+
+def _rows(tree: int, block, code: np.ndarray, ids: pa.Array, level, v: pa.Array | None, kind: int = 1) -> pa.RecordBatch:
+    n = len(code)
+    fill = lambda x: pa.array(np.broadcast_to(np.asarray(x), n).astype(np.int32))
+    v = pa.nulls(n, pa.list_(pa.float64())) if v is None else v
+    return pa.RecordBatch.from_arrays([fill(tree), fill(block), fill(0), fill(kind), pa.array(code), ids, fill(level), v], names=["tree", "block", "part", "kind", "code", "id", "level", "v"])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

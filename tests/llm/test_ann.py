@@ -44,3 +44,29 @@ def test_many_copies_of_one_vector(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(400 + i, [float(i), 1.0, 0.5]) for i in range(200)], "vec_id long, embedding array<double>")
     out = ann.search(df, df.where("vec_id = 300")).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in out] == [(i, 0.0) for i in range(10)]
+
+
+def test_recall_on_clustered_vectors_over_many_blocks(spark):
+    """20,000 vectors in dense clusters of very different size: every query of the contract against brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((300, 24))
+    of = np.minimum((rng.random(20_000) ** 3 * 300).astype(int), 299)
+    x = centres[of] + 0.15 * rng.standard_normal((20_000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 100):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(got[q] & set(np.argsort(far, kind="stable")[:10].tolist()))
+    assert hits / 2000 >= 0.9
+
+
+def test_prefixes_are_ranges_of_the_sorted_codes():
+    codes = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000))
+    for d in (0, 1, 5, 9, 40, 63):
+        low, high = ann.prefix(codes[[10, 500]], d)
+        for c, a, b in zip(codes[[10, 500]], low, high):
+            assert ((codes >= a) & (codes <= b)).tolist() == (codes >> (63 - d) == c >> (63 - d) if d else codes >= 0).tolist()
