@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bytes of text that a task works on at a time.
 CHUNK_BYTES = 2 << 20
+#: Rows that are sampled for the bounds of ranges, about, for up to a quarter as many ranges.
+RANGE_SAMPLE = 2_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INNER = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -139,21 +142,31 @@ def shingle_hashes(off: np.ndarray, words: np.ndarray, width: int = SHINGLE, sho
     return out_off, out
 
 
-def range_id(df: DataFrame, key: str, parts: int, tie: Column) -> Column:
-    """An id from 0 to parts - 1 that rises with the integer key (nulls first).
+def range_id(df: DataFrame, key: str, tie: str, parts: int) -> Column:
+    """An id from 0 to parts - 1 that rises with (integer key, 64-bit tie), nulls first; the same for the same rows, however they are dealt over partitions.
 
-    The bounds are approximate quantiles of the key column alone, so the scan
-    is all that runs. A key that spans several bounds is dealt over them by
-    `tie`, a 64-bit hash, so that one key with a third of all rows does not land in one task.
+    The bounds are quantiles of a sample that a hash of key and tie chooses (equal rows count once and by their number): about 64 rows a part,
+    fewer beyond RANGE_SAMPLE rows in all. They are looked up by bisection in whole integers.
     """
-    qs = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    if not qs:
+    n = df.count() if parts > 1 else 0
+    each = max(4, min(64, RANGE_SAMPLE // parts))
+    some = df.where(F.pmod(F.xxhash64(F.lit(17), key, tie), F.lit(max(1, n // (parts * each)))) == 0) if n else df.limit(0)
+    rows = some.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("k"), F.col(tie).alias("t")).count().toPandas().sort_values(["k", "t"])
+    if not len(rows):
         return F.lit(0)
-    x = F.col(key).cast("double")
-    bounds = F.array(*[F.lit(float(q)) for q in qs])
-    below, upto = (F.size(F.filter(bounds, lambda b: f(b))) for f in (lambda b: b < x, lambda b: b <= x))
-    share = (tie.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    return F.when(x.isNull(), 0).otherwise(F.least(below + F.floor(share * (upto - below + F.when(upto > below, 1).otherwise(0))), F.lit(parts - 1))).cast("int")
+    upto = rows["count"].cumsum().to_numpy()
+    at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts, side="right"))
+    keys, ties = (rows[c].to_numpy(np.int64)[at[at < len(rows)]] for c in ("k", "t"))
+
+    @F.pandas_udf("int")
+    def place(k: pd.Series, t: pd.Series) -> pd.Series:
+        k, t = k.to_numpy(np.int64), t.to_numpy(np.int64)
+        out, upto = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
+        for i in np.flatnonzero(upto > out):  # few: the key is a bound itself
+            out[i] += np.searchsorted(ties[out[i] : upto[i]], t[i], side="right")
+        return pd.Series(out.astype(np.int32))
+
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(place(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.coalesce(F.col(tie), F.lit(0))))
 
 
 def total_bytes(df: DataFrame, column: str) -> int:

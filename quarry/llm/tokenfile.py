@@ -19,7 +19,8 @@ table in the shared folder as 16-bit or 32-bit integers, so nothing is encoded t
 and a lost executor costs its own tasks only. Writers use temporary names and rename; what they
 write is the same in each attempt.
 
-Defined results: a null or empty text is encoded as the end id alone; texts are taken whole.
+Defined results: a null or empty text is encoded as the end id alone; texts are taken whole; rows with one id and one text follow each
+other; the order of rows with one id and equal hashes is the order of the table. Other columns of df are not written, whatever their names.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id
     spark.createDataFrame(list(enumerate(ranked)), "rank long, id long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/ids")
     size = table.agg(F.sum(F.length("raw"))).first()[0] or 0
     parts = max(1, -(-int(size) // PART_BYTES))
-    dealt = table.withColumn("part", range_id(table, key, parts, F.col("tie"))).repartitionById(parts, "part").sortWithinPartitions("part", F.asc_nulls_first(key), "tie")
+    dealt = table.withColumn("part", range_id(table, key, "tie", parts)).repartitionById(parts, "part").sortWithinPartitions("part", F.asc_nulls_first(key), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
@@ -208,7 +209,8 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id", digest: bool = F
     parts = spark.read.parquet(f"{folder}/manifest")
     n = max(1, parts.count())
     # a row per file: a manifest is small however many documents there are
-    starts = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
+    in_order = Window.orderBy("part")
+    starts = parts.select("part", (F.sum("ids").over(in_order) - F.col("ids")).alias("before"), (F.row_number().over(in_order) - 1).alias("slot"))
     table = spark.read.parquet(f"{folder}/ids")
     ids = np.array([r.id for r in table.orderBy("rank").toLocalIterator()], dtype=np.uint32)  # a vocabulary at most
     last = "ids_crc32 long" if digest else "ids array<long>"
@@ -233,7 +235,7 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id", digest: bool = F
                         yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(at + ends - sizes), pa.array(sizes), value], names=[key, "start", "n_tokens", last.split()[0]])
                         at += count
 
-    return starts.repartitionById(n, F.col("part")).mapInArrow(run, f"{key} long, start long, n_tokens long, {last}")
+    return starts.repartitionById(n, F.col("slot")).mapInArrow(run, f"{key} long, start long, n_tokens long, {last}")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ the others are revisits that refer to it. Copies meet by a partial aggregation o
 are joined back, without payloads, and AQE splits a digest with very many copies. Payloads are shuffled once.
 
 Defined results: a null payload is empty; null urls become urn:page:<key>; rows that repeat the smallest key are
-responses each; a row with a null key is a response unless its payload has a row with a key; ties are sorted by url and digest.
+responses each; a row with a null key is a response unless its payload has a row with a key; ties are sorted by url and digest. Payloads of any
+length are written whole. Other columns of df are not written, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,15 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import kept, range_id, shared_dir, total_bytes
 
-ROLL_BYTES, RANGE_BYTES, MIN_REVISIT, DATE = 64 << 20, 64 << 20, 100, "2024-01-01T00:00:00Z"
+#: A range holds RANGE_BYTES of payload about, its files ROLL_BYTES each after compression.
+ROLL_BYTES, RANGE_BYTES, MIN_REVISIT, DATE = 16 << 20, 256 << 20, 100, "2024-01-01T00:00:00Z"
 #: Characters of a url that stay as they are, fixed.
 PLAIN = ":/?#[]@!$&'()*+,;=%~-._"
 
 
 def with_revisits(df: DataFrame, key: str) -> DataFrame:
-    """(key, _tie, _digest, _part, _refers) of the rows (key, _tie, _digest, _part, _size) that revisit another one; no payloads."""
+    """(key, _tie, _digest, _refers) of the rows (key, _tie, _digest, _size) that revisit another one; no payloads."""
     first = df.where(F.col("_size") >= MIN_REVISIT).groupBy("_digest").agg(F.min(key).alias("_refers"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return df.join(first, "_digest").where(F.col("_refers").isNotNull() & ~F.col(key).eqNullSafe(F.col("_refers"))).select(key, "_tie", "_digest", "_part", "_refers").distinct()
+    return df.join(first, "_digest").where(F.col("_refers").isNotNull() & ~F.col(key).eqNullSafe(F.col("_refers"))).select(key, "_tie", "_digest", "_refers").distinct()
 
 
 def record(key: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
@@ -67,11 +69,11 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
     parts = max(1, -(-total_bytes(df, payload) // range_bytes), min(df.sparkSession.sparkContext.defaultParallelism, 64))
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = df.select(key, url, body.alias("_payload")).withColumn("_digest", F.sha2("_payload", 256)).withColumn("_tie", F.xxhash64(url, "_digest"))
-    rows = rows.withColumn("_part", range_id(df, key, parts, F.col("_tie")))
     # which rows are revisits is found without payloads; such marks then travel with the payloads and stand before their rows
-    marks = with_revisits(kept(rows.select(key, "_tie", "_digest", "_part", F.length("_payload").alias("_size")), "digests"), key)
-    marks = marks.select(key, F.lit(None).cast(df.schema[url].dataType).alias(url), F.lit(None).cast("binary").alias("_payload"), "_digest", "_tie", "_part", "_refers")
-    rows = rows.withColumn("_refers", F.lit(None).cast(df.schema[key].dataType)).unionByName(marks)
+    heads = kept(rows.select(key, "_tie", "_digest", F.length("_payload").alias("_size")), "digests")
+    marks = with_revisits(heads, key)
+    marks = marks.select(key, F.lit(None).cast(df.schema[url].dataType).alias(url), F.lit(None).cast("binary").alias("_payload"), "_digest", "_tie", "_refers")
+    rows = rows.withColumn("_refers", F.lit(None).cast(df.schema[key].dataType)).unionByName(marks).withColumn("_part", range_id(heads, key, "_tie", parts))
     rows = rows.repartitionById(parts, "_part").sortWithinPartitions("_part", F.asc_nulls_first(key), "_tie", "_digest", F.desc_nulls_last("_refers"), url)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,3 +69,17 @@ def test_token_file_edges(spark, tmp_path):
         assert len(back) == n
         if n:
             assert [r.doc_id for r in back] == [None, 1, 1, 2] and back[3].ids == [2]
+
+
+def test_token_file_keeps_the_order_of_very_large_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "PART_BYTES", 2000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = np.random.default_rng(8)
+    rows = [(int(k), f"text {k} {i}") for i, k in enumerate(rng.permutation(3000) + 2**60)] + [(2**60 + 7, f"again {i}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    folder = "file://" + str(tmp_path / "t")
+    tokenfile.write(df, folder, path, 2)
+    assert spark.read.parquet(f"{folder}/manifest").count() > 20
+    back = tokenfile.read(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in back] == sorted(k for k, _ in rows)
+    assert [r.start for r in back] == np.cumsum([0, *[r.n_tokens for r in back]])[:-1].tolist()

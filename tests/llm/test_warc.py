@@ -31,3 +31,18 @@ def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(df, "file://" + str(tmp_path / "w"))
     assert warc.read(spark, "file://" + str(tmp_path / "w")).count() == 0
+
+
+def test_files_roll_and_follow_very_large_ids_whatever_the_partitions(spark, tmp_path):
+    rows = [(2**60 + k, f"http://h/{k}", f"<p>{hashlib.sha256(str(k).encode()).hexdigest() * 20}") for k in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = []
+    for n in (2, 9):
+        folder = "file://" + str(tmp_path / str(n))
+        warc.write(df.orderBy("html").repartition(n), folder, roll_bytes=4000, range_bytes=100_000)
+        got.append({f.name: f.read_bytes() for f in Path(tmp_path / str(n)).glob("*.warc.gz")})
+    assert got[0] == got[1]
+    keys = [int(line[7:]) for name in sorted(got[0]) for line in gzip.decompress(got[0][name]).decode().split("\r\n") if line.startswith("X-Key: ")]
+    assert keys == sorted(k for k, _, _ in rows)  # over all files in the order of their names
+    by_range = [name[:11] for name in got[0]]
+    assert len(set(by_range)) > 3 and len(by_range) > 2 * len(set(by_range))  # each range rolls several files
