@@ -5,12 +5,13 @@ parsed against each of them into phrases, each phrase being the longest match
 that starts where the one before it ended; few phrases mean that the document
 looks like the language. The phrase count is normalised by the text's length
 and the training text's length (a phrase costs the logarithm of the number of
-places it can point to), and the language with the smallest cost wins.
+places it can point to, and POINT_BITS more for a letter the training text lacks), and the language with the smallest cost wins.
 
 The training sample is bounded: at most `train_chars` characters from at most
-`train_docs` different texts of each language, chosen by a hash of the text. Prediction
-covers every whole text: long texts are parsed in blocks of BLOCK symbols,
-whose phrases are added up, so that many blocks are parsed in lockstep.
+`train_docs` different texts of each language, chosen by a hash of the text, with equal shares for all of them. Prediction
+covers every whole text: long texts are parsed in blocks of BLOCK symbols in lockstep, whose
+phrases are joined to those of one parse of the whole text. All letters of the samples are symbols; transitions lie
+in hash tables of three entries a training character at most, whatever the number of letters and languages.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
 ties go to the smaller language name; no labelled row at all gives `und`
@@ -33,63 +34,90 @@ from .common import sliced
 TRAIN_CHARS, TRAIN_DOCS, BLOCK, UNKNOWN = 40_000, 400, 1024, "und"
 #: Symbols: 0 is never matched, 1 stands for any run of characters other than letters.
 OTHER, GAP, LETTERS = 0, 1, 2
-
-
-class Automaton:
-    """The suffix automaton of a symbol string as a dense table: row = state, column = symbol, 0 = no transition."""
-
-    def __init__(self, symbols: np.ndarray, width: int):
-        size = 2 * len(symbols) + 1
-        table = np.zeros((size, width), np.int32)
-        length, link = [0] * size, [-1] * size
-        states, last = 1, 0
-        for c in symbols.tolist():
-            new, states = states, states + 1
-            length[new] = length[last] + 1
-            p = last
-            while p >= 0 and not table[p, c]:
-                table[p, c] = new
-                p = link[p]
-            if p < 0:
-                link[new] = 0
+#: What a letter that a language's sample lacks costs beside its phrase: the bits of a code point.
+POINT_BITS = 21
+
+
+def automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """The suffix automaton of a symbol string: the transitions of each state; state 0 is the root."""
+    to, length, link, last = [{}], [0], [-1], 0
+    for c in symbols.tolist():
+        new = len(to)
+        to.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in to[p]:
+            to[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = to[p][c]
+            if length[p] + 1 == length[q]:
+                link[new] = q
             else:
-                q = int(table[p, c])
-                if length[p] + 1 == length[q]:
-                    link[new] = q
-                else:
-                    copy, states = states, states + 1
-                    length[copy], link[copy] = length[p] + 1, link[q]
-                    table[copy] = table[q]
-                    while p >= 0 and table[p, c] == q:
-                        table[p, c] = copy
-                        p = link[p]
-                    link[q] = link[new] = copy
-            last = new
-        self.table = table[:states]
+                copy = len(to)
+                to.append(dict(to[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and to[p].get(c) == q:
+                    to[p][c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    return to
+
+
+class Transitions:
+    """A hash table with open addressing from keys (state x width + symbol) to states; 0 for what is not there."""
+
+    def __init__(self, keys: np.ndarray, states: np.ndarray):
+        self.bits = max(4, int(len(keys) * 2.5).bit_length())
+        self.keys, self.states = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, rest = self._slot(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[slot[rest]] < 0]
+            put = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[put]], self.states[slot[put]] = keys[put], states[put]
+            rest = rest[self.keys[slot[rest]] != keys[rest]]
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        have = self.keys[slot]
+        out = np.where(have == keys, self.states[slot], 0)
+        more = np.flatnonzero((have != keys) & (have >= 0))
+        while len(more):
+            slot[more] = (slot[more] + 1) & ((1 << self.bits) - 1)
+            have = self.keys[slot[more]]
+            hit = have == keys[more]
+            out[more[hit]] = self.states[slot[more[hit]]]
+            more = more[~hit & (have >= 0)]
+        return out
 
 
 class Model:
-    """The automata of all languages in one table; built once per worker from the sample."""
+    """The automata of all languages; built once per worker from the sample. Every letter of the samples is a symbol of its own."""
 
     _built: dict = {}
 
     def __init__(self, samples: dict[str, str], block: int = BLOCK):
         self.languages, self.block = sorted(samples), block
         points = np.unique(np.concatenate([_points(t) for t in samples.values()] or [np.zeros(0, np.uint32)]))
-        letters = [int(p) for p in points if chr(p).isalpha()][: 255 - LETTERS]
-        self.lut = np.full(0x110000, GAP, np.uint8)
+        letters = [int(p) for p in points if chr(p).isalpha()]
+        self.lut = np.full(0x110000, GAP, np.int32)
         self.lut[_letter_points()] = OTHER
         self.lut[letters] = np.arange(len(letters)) + LETTERS
-        self.width = len(letters) + LETTERS
-        tables, base, self.roots, self.bits = [], 0, [], []
+        self.width, self.tables, self.bits = len(letters) + LETTERS, [], []
         for name in self.languages:
             symbols = self.symbols(samples[name])
-            table = Automaton(symbols, self.width).table
-            tables.append(np.where(table > 0, (table + base) * self.width, 0))
-            self.roots.append(base * self.width)
-            base += len(table)
+            states = automaton(symbols)
+            keys = np.fromiter((s * self.width + c for s, to in enumerate(states) for c in to), np.int64)
+            table = Transitions(keys, np.fromiter((x for to in states for x in to.values()), np.int32))
+            self.tables.append((table, table.find(np.arange(self.width))))
             self.bits.append(np.log2(max(2, len(symbols))))
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
 
     @classmethod
     def of(cls, samples: dict[str, str], block: int) -> Model:
@@ -106,29 +134,67 @@ class Model:
         return s[keep]
 
     def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each row in each language."""
-        row = np.concatenate([np.full((len(s) + self.block - 1) // self.block, i) for i, s in enumerate(rows)] or [np.zeros(0, int)])
-        lanes = [s[k : k + self.block] for s in rows for k in range(0, len(s), self.block)]
+        """Phrases of each row in each language.
+
+        Blocks of a row are parsed side by side, each as if a phrase began with it. What follows a phrase's start hangs on nothing before it, so the parse of the block
+        before is carried on into the next one until both begin a phrase at one place: from there on they are one. Rows where they do
+        not meet within a block are parsed once more in one piece.
+        """
+        return np.stack([self._parsed(rows, k, self.block) for k in range(len(self.languages))], 1)
+
+    def foreign(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Symbols of each row that each language's sample lacks."""
+        every, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(s) for s in rows])
+        return np.stack([np.bincount(row[root[every] == 0], minlength=len(rows)) for _, root in self.tables], 1)
+
+    def _parsed(self, rows: list[np.ndarray], k: int, block: int) -> np.ndarray:
+        table, root = self.tables[k]
+        row = np.concatenate([np.full((len(s) + block - 1) // block, i) for i, s in enumerate(rows)] or [np.zeros(0, int)])
+        lanes = [s[a : a + block] for s in rows for a in range(0, len(s), block)]
         n = np.array([len(x) for x in lanes], dtype=np.int64)
         order = np.argsort(-n, kind="stable")
-        n, steps = n[order], int(n.max(initial=0))
-        grid = np.zeros((steps, len(lanes)), np.int32)
-        for k, i in enumerate(order):
-            grid[: n[k], k] = lanes[i]
-        active = np.searchsorted(-n, -np.arange(1, steps + 1), side="right")
-        out = np.zeros((len(rows), len(self.languages)), np.int64)
-        for k, root in enumerate(self.roots):
-            state, count = np.full(len(lanes), root, np.int32), np.ones(len(lanes), np.int32)
+        at = np.empty(len(n), np.int64)
+        at[order] = np.arange(len(n))  # where a lane stands in the grid
+        steps = int(n.max(initial=0))
+        grid, misses = np.zeros((steps, len(lanes)), np.int32), np.zeros((steps, len(lanes)), bool)
+        for place, i in enumerate(order):
+            grid[: n[i], place] = lanes[i]
+        active = np.searchsorted(-n[order], -np.arange(1, steps + 1), side="right")
+        state = np.zeros(len(lanes), np.int64)
+        for t in range(steps):
+            a = active[t]
+            to = table.find(state[:a] * self.width + grid[t, :a])
+            misses[t, :a] = to == 0
+            state[:a] = np.where(to == 0, root[grid[t, :a]], to)
+        count = misses.sum(0)[at]
+        first = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
+        count[first] += 1
+        # lanes that follow another one of their row, with the state in which that one ended
+        lane = np.flatnonzero(~first)
+        if len(lane):
+            here, s, extra, before = at[lane], state[at[lane - 1]], np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
+            open_, met = np.arange(len(lane)), np.zeros(len(lane), bool)
             for t in range(steps):
-                a = active[t]
-                c = grid[t, :a]
-                to = self.table[state[:a] + c]
+                open_ = open_[n[lane[open_]] > t]
+                if not len(open_):
+                    break
+                c = grid[t, here[open_]]
+                to = table.find(s[open_] * self.width + c)
                 miss = to == 0
-                count[:a] += miss
-                again = self.table[root + c]
-                state[:a] = np.where(miss, np.where(again == 0, root, again), to)
-            np.add.at(out[:, k], row[order], count)
-        return out
+                s[open_] = np.where(miss, root[c], to)
+                extra[open_] += miss
+                before[open_] += misses[t, here[open_]]
+                both = miss & (misses[t, here[open_]] | (t == 0))
+                met[open_[both]] = True
+                open_ = open_[~both]
+            count[lane] += extra - before
+        total = np.bincount(row, count, minlength=len(rows)).astype(np.int64)
+        if len(lane):
+            last = np.append(first[1:], True)[lane]
+            for i in np.unique(row[lane[~met & ~last]]):
+                total[i] = self._parsed([rows[i]], k, len(rows[i]))[0]
+        total[[not len(s) for s in rows]] = 0
+        return total
 
 
 def _points(text: str) -> np.ndarray:
@@ -146,10 +212,16 @@ def sample(df: DataFrame, text: str = "text", lang: str = "lang", train_chars: i
     rows = rows.withColumn("h", F.xxhash64("t")).withColumn("b", F.pmod(F.xxhash64("h"), F.lit(train_docs)))
     least = rows.groupBy("l", "b").agg(F.min("h").alias("h"))  # train_docs rows of each language at most, whatever the input
     top = rows.join(F.broadcast(least), ["l", "b", "h"]).groupBy("l", "h").agg(F.min(F.substring("t", 1, train_chars)).alias("t"))
-    out: dict[str, str] = {}
+    parts: dict[str, list[str]] = {}
     for r in top.orderBy("l", "h", "t").toLocalIterator():
-        if len(out.get(r.l, "")) < train_chars:
-            out[r.l] = (out.get(r.l, "") + " " + r.t)[:train_chars]
+        parts.setdefault(r.l, []).append(r.t)
+    out: dict[str, str] = {}
+    for name, texts in parts.items():
+        share, rest = [""] * len(texts), train_chars
+        for left, i in zip(range(len(texts), 0, -1), sorted(range(len(texts)), key=lambda i: len(texts[i])), strict=True):
+            share[i] = texts[i][: max(1, rest // left)]  # what short texts leave goes to the longer ones
+            rest -= len(share[i]) + 1
+        out[name] = " ".join(share)[:train_chars]
     return out
 
 
@@ -167,7 +239,7 @@ def identify(df: DataFrame, samples: dict[str, str], text: str = "text", block:
             n = np.array([len(s) for s in rows])
             letters = np.array([bool((s != GAP).any()) for s in rows])
             if model.languages:
-                cost = model.phrases(rows) * np.array(model.bits) / np.maximum(n, 1)[:, None]
+                cost = (model.phrases(rows) * np.array(model.bits) + model.foreign(rows) * POINT_BITS) / np.maximum(n, 1)[:, None]
                 best = cost.argmin(1)
                 two = np.sort(cost, 1)
                 low = two[:, 0]

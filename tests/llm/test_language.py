@@ -22,8 +22,8 @@ def test_phrases_equal_plain_search(seed):
     rng = np.random.default_rng(seed)
     make = lambda n: "".join(rng.choice(list("abc "), n)).strip() or "a"
     samples = {"x": make(60), "y": make(60)}
-    model = langid.Model(samples, block=1 << 20)
-    texts = [make(n) for n in (1, 5, 40, 120)]
+    model = langid.Model(samples, block=(1 << 20, 16, 7, 40, 1)[seed])  # blocks change nothing
+    texts = [make(n) for n in (1, 5, 40, 120, 300)] + [samples["x"] * 3, "ab" * 80]
     got = model.phrases([model.symbols(t) for t in texts])
     one_blank = lambda s: " ".join(s.split(" ")) if "  " not in s else " ".join(w for w in s.split(" ") if w)
     for row, t in zip(got, texts, strict=True):
@@ -53,3 +53,24 @@ def test_edges(spark):
     assert langid.identify(df.limit(0), samples).count() == 0
     copies = spark.createDataFrame([("la la la", "fr")] * 50 + [("le chien", "fr")], "text string, lang string")
     assert sorted(langid.sample(copies)["fr"].split()) == ["chien", "la", "la", "la", "le"]
+
+
+def test_scores_and_winners_equal_a_plain_model(spark):
+    samples = {"a": "the cat sat on the mat and the dog ran", "b": "le chat est sur la table et le chien court", "c": "\u732b\u5728\u684c\u5b50\u4e0a \u72d7\u5728\u8dd1"}
+    texts = ["the dog sat", "le chien est la", "\u732b\u5728\u8dd1", "zzz", "the chat", "\u72d7"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, samples).collect()}
+    for i, t in enumerate(texts):
+        cost = sorted(((naive_phrases(t, s) * np.log2(len(s)) + 21 * sum(c not in s for c in t)) / len(t), k) for k, s in samples.items())
+        assert got[i][0] == cost[0][1] and abs(got[i][1] - (1 - cost[0][0] / cost[1][0])) < 1e-9
+
+
+def test_large_scripts_are_learned_whole(spark):
+    """Two languages of 3,000 letters each, apart but for a few: every letter counts."""
+    rng = np.random.default_rng(6)
+    han = [chr(0x4E00 + i) for i in range(6000)]
+    words = lambda lo, hi, n: " ".join("".join(rng.choice(han[lo:hi], 3)) for _ in range(n))
+    samples = {"x": words(0, 3000, 8000), "y": words(2900, 6000, 8000), "z": "plain latin words " * 50}
+    rows = [(i, words(0, 2900, 200) if i % 2 else words(3000, 6000, 200)) for i in range(40)] + [(99, "latin words")]
+    out = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), samples).collect()}
+    assert out == {i: "x" if i % 2 else "y" for i in range(40)} | {99: "z"}
