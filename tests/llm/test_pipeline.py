@@ -19,7 +19,7 @@ def test_stages(spark):
     start = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     language, near, clean, masked, tokens = ({r.doc_id: r for r in f.collect()} for f in frames)
     assert set(language) == {k for k, t in start.items() if t and any(c.isalpha() for c in t)}
-    classes = brute([(k, r.text) for k, r in language.items()])
+    classes, _ = brute([(k, r.text) for k, r in language.items()])
     assert set(near) == {c for c, _, _ in classes.values()}
     assert set(clean) <= set(near) and len(near) - len(clean) < 0.2 * len(near)
     assert set(masked) == set(clean) == set(tokens)
