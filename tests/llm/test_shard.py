@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 from quarry.llm import shard
@@ -8,6 +9,8 @@ SF = "/root/testdata/sf0.01"
 def test_law_of_rows(spark):
     rows = shard.op3(spark, SF).collect()
     assert len(rows) == 1000 and {r.law for r in rows} == {"rows"}
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all((r.size, r.text_crc32, r.grown_shard) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]), None) for r in rows)
     counts = Counter(r.shard for r in rows)
     assert set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
     for s in counts:
@@ -28,6 +31,8 @@ def test_hot_key_and_edges(spark):
     sizes = [r["count"] for r in table.groupBy("_bucket").count().collect()]
     assert sum(sizes) == 1000 and max(sizes) < 300
     assert shard.dealt(table).count() == 1000
+    again = shard.shuffled(df.repartition(9), bucket_bytes=5000)
+    assert sorted(map(tuple, table.collect()), key=repr) == sorted(map(tuple, again.collect()), key=repr)
     assert shard.dealt(shard.shuffled(df.limit(0))).count() == 0
 
 
@@ -36,3 +41,15 @@ def test_written_shards(spark, tmp_path):
     shard.write_shards(df, str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted(r.doc_id for r in back.collect()) == list(range(50)) and back.select("shard").distinct().count() == 4
+
+
+def test_rows_without_bytes_other_columns_and_long_texts(spark):
+    rows = [(i, None, "y" * (i % 50), i) for i in range(3000)] + [(9999, "long " * 400_000, "z", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _slot string, shard int")
+    table = shard.shuffled(df, bucket_bytes=20_000, bucket_rows=500)
+    assert table.select("_bucket").distinct().count() > 5 and table.groupBy("_bucket").count().agg({"count": "max"}).first()[0] < 900
+    placed = shard.dealt(table)
+    assert placed.columns == ["doc_id", "text", "shard", "slot"] and placed.count() == 3001
+    assert max(len(r.text or "") for r in placed.collect()) == 2_000_000
+    wide = spark.createDataFrame([(i, "t", "y" * 100) for i in range(1000)], "doc_id long, text string, note string")
+    assert shard.shuffled(wide, bucket_bytes=20_000).select("_bucket").distinct().count() >= 5
