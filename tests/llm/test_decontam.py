@@ -52,3 +52,14 @@ def test_reordered_passages_and_edges(spark):
     assert out == {1: both, 2: both, 3: [], 4: [], 5: [], 6: both, 7: [], 8: [(13, 2)]}
     assert all(not r.tiles for r in decontam.tiled(docs, bench.limit(0)).collect())
     assert decontam.tiled(docs.limit(0), bench).count() == 0
+
+
+def test_repeated_words_and_many_blocks(spark):
+    """A text and an item of one word, and items over many blocks, each found wherever it lies."""
+    rng = np.random.default_rng(12)
+    items = [(i, " ".join(f"w{rng.integers(0, 10**6)}" for _ in range(60))) for i in range(60)] + [(100, "x " * 200), (101, None)]
+    docs = [(i, f"before {items[i][1]} after") for i in range(60)] + [(200, "x " * 200_000), (201, None), (202, "")]
+    df = spark.createDataFrame([(k, t, "z") for k, t in docs], "doc_id long, text string, tiles string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {r.doc_id: [(x.item_id, x.covered) for x in r.tiles] for r in decontam.tiled(df, bench, block_bytes=2000).collect()}
+    assert out == {i: [(i, 60)] for i in range(60)} | {200: [(100, 200)], 201: [], 202: []}
