@@ -14,7 +14,8 @@ them, against card numbers, checksums, ids, paths and slugs); a table of reviewe
 TRAIN_ROWS rows of it (a documented bound), the smallest by hash.
 
 Defined results: null texts have no candidates; texts are scanned whole; a candidate that occurs twice is reported
-twice; other columns are passed through; ties between trees (a score of exactly 0.5) count as secrets.
+twice; other columns are passed through, but for one named secrets and the working columns _words, _found, _made, _scored, _hits, _begins,
+which give way; ties between trees (a score of exactly 0.5) count as secrets.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ def _any(words: list[str]) -> str:
 
 
 TOKEN = "[A-Za-z0-9_/+.-]"
+#: White space beside the blank, between words.
+WHITE = "\\t\\n\\r\\f"
 #: The local part of a mail address; the same form behind scheme://user: is a password.
 MAIL = rf"(?:(?!{TOKEN}+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{{2}})|(?<=://[^\s/:@]{{0,255}}:))"
 RUN = lambda least: rf"[A-Za-z0-9]{TOKEN}{{{least - 2},}}[A-Za-z0-9_/+](?![A-Za-z0-9_/+]|{TOKEN}*[A-Za-z0-9])"
@@ -138,25 +141,21 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, rows: int
     data = data.selectExpr("label", *(f"cast({sql} as double) as {name}" for name, sql in FEATURES.items()))
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(data.select("label", "features"))
-    votes = [_tree(iter(t.toDebugString.splitlines()[1:])) for t in model.trees]
+    votes = [_tree(t._call_java("rootNode")) for t in model.trees]
     return f"({' + '.join(votes)}) / {float(len(votes))}"
 
 
-def _tree(lines) -> str:
-    """A tree's printed form as a CASE expression."""
-    line = next(lines).strip()
-    if line.startswith("Predict:"):
-        return line.removeprefix("Predict: ")
-    number, sign, value = re.fullmatch(r"If \(feature (\d+) (<=|>) (\S+)\)", line).groups()
-    yes = _tree(lines)
-    if not next(lines).strip().startswith("Else"):
-        raise ValueError("unexpected form of a tree")
-    return f"if(f.{list(FEATURES)[int(number)]} {sign} {value}D, {yes}, {_tree(lines)})"
+def _tree(node) -> str:
+    """A tree's nodes as a CASE expression."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        return repr(float(node.prediction()))
+    split = node.split()
+    return f"if(f.{list(FEATURES)[split.featureIndex()]} <= {split.threshold()!r}D, {_tree(node.leftChild())}, {_tree(node.rightChild())})"
 
 
 def scanned(df: DataFrame, forest: str, text: str = "text", path: str | None = None) -> DataFrame:
     """df with secrets: an array of (candidate, word, score, secret) for each candidate of the text."""
-    words = df.withColumn("_words", F.when(F.col(text).rlike(HINT), F.split(text, "[ \\t\\n\\r\\f]+")).otherwise(F.array().cast("array<string>")))
+    words = df.withColumn("_words", F.when(F.col(text).rlike(HINT), F.split(text, f"[ {WHITE}]+")).otherwise(F.array().cast("array<string>")))
     found = words.withColumn("_found", F.expr(candidates(text, path)))
     fields = ", ".join(f"'{name}', cast({sql} as double)" for name, sql in FEATURES.items())
     made = found.withColumn("_made", F.expr(f"transform(_found, c -> named_struct('c', c, 'f', named_struct({fields})))"))
@@ -166,9 +165,14 @@ def scanned(df: DataFrame, forest: str, text: str = "text", path: str | None = N
 
 
 def masked(df: DataFrame, text: str = "text") -> DataFrame:
-    """scanned() rows with each secret in the text replaced by MASK, longer ones first, short ones only where they stand alone; the column secrets goes."""
-    alone = f"regexp_replace(t, concat({_q(f'(?<!{TOKEN})')}, replace(replace(s.candidate, '.', '[.]'), '+', '[+]'), '(?![A-Za-z0-9_/+])'), '{MASK}')"
-    return df.withColumn(text, F.expr(f"aggregate(array_sort(filter(secrets, s -> s.secret), (a, b) -> length(b.candidate) - length(a.candidate)), `{text}`, (t, s) -> if(length(s.candidate) >= {MIN_LENGTH}, replace(t, s.candidate, '{MASK}'), {alone}))")).drop("secrets")
+    """scanned() rows with each secret replaced by MASK in the word in which it was found, and nowhere else; of several in one word longer ones first. The column secrets goes."""
+    # words and the white space between them in turn; a text that begins with white space has an empty first word, as in scanned()
+    pieces = f"regexp_extract_all(`{text}`, {_q('([^ ' + WHITE + ']+|[ ' + WHITE + ']+)')}, 1)"
+    begins = f"cast(`{text}` rlike {_q('^[ ' + WHITE + ']')} as int)"
+    mine = "array_sort(filter(_hits, s -> 2 * s.word - _begins = j), (a, b) -> length(b.candidate) - length(a.candidate))"
+    hidden = f"array_join(transform({pieces}, (w, j) -> if(exists(_hits, s -> 2 * s.word - _begins = j), aggregate({mine}, w, (t, s) -> replace(t, s.candidate, '{MASK}')), w)), '')"
+    marked = df.withColumn("_hits", F.expr("filter(secrets, s -> s.secret)")).withColumn("_begins", F.expr(begins))
+    return marked.withColumn(text, F.expr(f"if(size(_hits) > 0, {hidden}, `{text}`)")).drop("secrets", "_hits", "_begins")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
