@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 MAX_VALUES, MAX_CHARS, MIN_TOKEN = 10, 100, 3
 #: Metadata keys that only the system may write, and key parts that mark sensitive values.
-RESERVED = ["content_type", "document_id", "filename", "file_type", "source_uri", "created_at", "updated_at"]
-CORE = ["content_type", "document_id", "filename", "media_type"]
-SENSITIVE = ["query", "message", "content", "text", "prompt", "response", "password", "secret", "token", "key", "authorization", "email", "phone", "address", "name"]
+RESERVED = ["text_content", "s3_uri", "document_id", "embedding", "vector_id", "chunk_id", "chunk_index"]
+CORE = ["content_type", "document_id", "document_type", "duration_seconds", "filename", "main_topic", "segment_index", "timestamp_end", "timestamp_start"]
+SENSITIVE = ["query", "message", "content", "body", "token", "password", "secret", "key", "authorization", "credential", "apikey", "api_key", "access_token", "refresh_token", "id_token"]
 
 
 def expand(value: Column) -> Column:
     """A string as words, then phrases: at most ten search terms."""
     s = F.substring(F.lower(F.trim(value)), 1, MAX_CHARS)
-    parts = F.filter(F.transform(F.split(F.translate(s, ";|/", ",,,"), ","), lambda x: F.trim(x)), lambda x: F.length(x) >= MIN_TOKEN)
+    listed = F.translate(s, ";|/", ",,,")
+    parts = F.filter(F.transform(F.split(listed, ","), lambda x: F.trim(x)), lambda x: F.contains(listed, F.lit(",")) & (F.length(x) >= MIN_TOKEN))
     tokens = F.split(F.regexp_replace(F.translate(s, ";|/,", "    "), "[ \\t\\n\\r\\f]+", " "), " ")
     tokens = F.filter(F.transform(tokens, lambda x: F.regexp_replace(x, "^[().'\"]+|[().'\"]+$", "")), lambda x: F.length(x) >= MIN_TOKEN)
     year = F.regexp_extract(s, r"\b(1[89]\d{2}|20\d{2})\b", 1)
@@ -55,6 +56,12 @@ def clean(metadata: Column, allowed: list[str] | None = None) -> Column:
     return F.transform_keys(m, lambda k, v: snake(k))
 
 
+def clean_list(values: Column) -> Column:
+    """array<string>: the first ten values, trimmed and lowered; blank ones and those over 100 characters go."""
+    low = F.transform(F.slice(values, 1, MAX_VALUES), lambda v: F.trim(F.lower(v)))
+    return F.filter(low, lambda v: v.isNotNull() & (v != "") & (F.length(v) <= MAX_CHARS))
+
+
 def kind(value: Column) -> Column:
     """boolean, number, list or string of a variant."""
     s = F.schema_of_variant(value)
@@ -73,7 +80,7 @@ def unquote(value: Column) -> Column:
 
 def masked(key: Column, value: Column) -> Column:
     """Values of sensitive keys: the first ten characters and the length, or stars if short."""
-    short = F.when(F.length(value) > 20, F.concat(F.substring(value, 1, 10), F.lit("... ("), F.length(value).cast("string"), F.lit(" chars)"))).otherwise("***")
+    short = F.when(F.length(value) > 20, F.concat(F.substring(value, 1, 10), F.lit("...("), F.length(value).cast("string"), F.lit(" chars)"))).otherwise("***")
     return F.when(F.lower(key).rlike("|".join(SENSITIVE)), short).otherwise(value)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 CHUNK, OVERLAP = 800, 120
 #: Words whose meaning hangs on what was said before.
-PRONOUNS = ["it", "this", "that", "these", "those", "he", "she", "they", "him", "her", "them", "its"]
+PRONOUNS = ["it", "this", "that", "these", "those", "he", "she", "they", "him", "her", "them"]
 
 
 def unless_blank(c: Column) -> Column:
@@ -77,7 +77,7 @@ def numeric_id(text: Column) -> Column:
 
 
 def ambiguous(text: Column) -> Column:
-    return text.rlike("(?i)\\b(" + "|".join(PRONOUNS) + ")\\b")
+    return text.rlike("(?i)(^|[^\\p{L}\\p{N}_])(" + "|".join(PRONOUNS) + ")($|[^\\p{L}\\p{N}_])")
 
 
 def stem(filename: Column) -> Column:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 #: Names and networks that a crawler must not reach.
 BLOCKED_HOSTS = ["localhost", "metadata.google.internal", "instance-data"]
 BLOCKED_NETWORKS = ["^127[.]", "^10[.]", "^192[.]168[.]", "^172[.](1[6-9]|2[0-9]|3[01])[.]", "^169[.]254[.]", "^0[.]", "^(22[4-9]|2[3-5][0-9])[.]"]
+#: Loopback, unspecified, unique local, link-local and mapped private addresses.
+BLOCKED_SIX = "^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|::ffff:(127|10|0|192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.].*)$"
+#: A link's address with its quotation marks.
+LINK = """(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|'[^']*'|[^\\s"'>]+)"""
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -96,26 +100,38 @@ def crawlable(url: Column, base: Column, scope: str, include: list[str] = (), ex
 
 
 def reachable(url: Column) -> Column:
-    """Neither a blocked name nor a private, loopback, link-local or reserved address."""
+    """Neither a blocked name nor a private, loopback, link-local or reserved address of either kind."""
     h = host(url)
-    bad = h.isin(BLOCKED_HOSTS) | F.contains(url, F.lit("169.254.169.254")) | h.startswith("[")
+    bad = h.isin(BLOCKED_HOSTS) | F.contains(url, F.lit("169.254.169.254"))
     address = h.rlike("^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$")
     inner = fold(lambda a, b: a | b, [h.rlike(n) for n in BLOCKED_NETWORKS])
-    return scheme(url).isin("http", "https") & (h != "") & ~bad & ~(address & inner)
+    six = F.lower(F.regexp_extract(authority(url), r"\[([0-9A-Fa-f:.]+)\]", 1))
+    private = six.rlike(BLOCKED_SIX)
+    return scheme(url).isin("http", "https") & (h != "") & ~bad & ~(address & inner) & ~private
 
 
 def links(html: Column) -> Column:
-    """Addresses of a page's links in order, without those inside the page and other schemes."""
-    found = F.regexp_extract_all(html, F.lit('(?i)<a[^>]*href="([^"]*)"'), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda x: ~F.lower(x).rlike("^(#|javascript:|mailto:|tel:|data:)") & (x != "")))
+    """Addresses of a page's links in order, quoted in either way or bare, without those inside the page and other schemes."""
+    found = F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
+    plain = F.transform(found, lambda x: F.replace(F.regexp_replace(x, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&")))
+    return F.array_distinct(F.filter(plain, lambda x: ~F.lower(x).rlike("^(#|javascript:|mailto:|tel:|data:)") & (x != "")))
 
 
 def absolute(link: Column, base: Column) -> Column:
-    """A link of a page with that base: absolute, from the root, or beside the page."""
+    """A link of a page with that base: absolute, with another host, from the root, with another query, or beside the page; steps up (..) are taken."""
     root = F.concat(scheme(base), F.lit("://"), authority(base))
-    beside = F.concat(root, F.regexp_replace(path(base), "[^/]*$", ""))
-    beside = F.when(path(base) == "", F.concat(root, F.lit("/"))).otherwise(beside)
-    return F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme(base), F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(root, link)).otherwise(F.concat(beside, link))
+    here = F.when(path(base) == "", F.lit("/")).otherwise(path(base))
+    tail = F.regexp_extract(link, "([?#][\\s\\S]*)$", 1)
+    name = F.regexp_replace(link, "[?#][\\s\\S]*$", "")
+    whole = F.when(F.startswith(name, F.lit("/")), name).otherwise(F.concat(F.regexp_replace(here, "[^/]*$", ""), name))
+    parts = F.split(whole, "/")
+    last = F.element_at(parts, -1)
+    step = lambda s, x: F.when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(1)))).when(x == ".", s).otherwise(F.concat(s, F.array(x)))
+    walked = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    walked = F.concat(F.array_join(walked, "/"), F.when(last.isin("..", "."), F.lit("/")).otherwise(""))
+    walked = F.when(F.contains(F.concat(whole, F.lit("/")), F.lit("/./")) | F.contains(F.concat(whole, F.lit("/")), F.lit("/../")), walked).otherwise(whole)
+    beside = F.when(name == "", F.concat(root, here, tail)).otherwise(F.concat(root, walked, tail))
+    return F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme(base), F.lit(":"), link)).otherwise(beside)
 
 
 def content_form(text: Column) -> Column:

@@ -1,6 +1,6 @@
 """Filtered vector retrieval: exact top-k, two slices with adaptive boost, merging, deduplication, context assembly.
 
-A search is one pass of the vector table per slice: the score is an expression inside code generation, the filter
+A search is one pass of the vector table per slice: the score is an expression of built-in functions, the filter
 and the column pruning reach the scan, and each task keeps its k best rows (TakeOrderedAndProject). What
 follows a slice works on at most 2 k rows. Scores are rounded so that an order is the same on every machine.
 """
@@ -8,8 +8,6 @@ follows a slice works on at most 2 k rows. Scores are rounded so that an order i
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,30 +15,19 @@ from pyspark.sql import functions as F
 DIGITS = 6
 #: The margin by which filtered results may win, the least and the usual largest boost.
 MARGIN, FLOOR, CEILING = 1.05, 1.02, 1.25
-#: Dimensions up to which a dot product is written out, so that it is compiled.
-UNROLLED = 256
 MAX_QUERY, DEFAULT_RESULTS, FALLBACK_RESULTS, MOST_RESULTS = 10_000, 25, 5, 100
 
 
-def _dot(a, b, dim: int) -> Column:
-    if dim <= UNROLLED:
-        return reduce(add, [a(i) * b(i) for i in range(dim)])
-    raise ValueError("too many dimensions to write out")
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
 
 
 def cosine(vector: str, query: list[float]) -> Column:
-    """Cosine similarity with one query; null for null, zero and shorter vectors."""
-    dim, norm = len(query), math.sqrt(sum(x * x for x in query))
-    c = F.col(vector)
-    if dim <= UNROLLED:
-        item = lambda i: F.get(c, F.lit(i)).cast("double")
-        dot = _dot(item, lambda i: F.lit(float(query[i])), dim)
-        size = F.sqrt(_dot(item, item, dim))
-    else:
-        total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-        double = F.transform(c, lambda x: x.cast("double"))
-        dot = total(F.zip_with(double, F.array(*[F.lit(float(x)) for x in query]), lambda x, y: x * y))
-        size = F.sqrt(total(F.transform(double, lambda x: x * x)))
+    """Cosine similarity with one query; null for null, zero, shorter and longer vectors. One form for all dimensions: written out, 64 products make code too large to compile."""
+    norm = math.sqrt(sum(x * x for x in query))
+    double = F.transform(vector, lambda x: x.cast("double"))
+    dot = _total(F.zip_with(double, F.array(*[F.lit(float(x)) for x in query]), lambda x, y: x * y))
+    size = F.sqrt(_total(F.transform(double, lambda x: x * x)))
     return F.round(dot / F.nullif(size * F.lit(norm), F.lit(0.0)), DIGITS)
 
 

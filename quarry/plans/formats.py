@@ -8,22 +8,44 @@ from ..sources import readers, sniff
 from .registry import query
 
 
-@query("pages", sql="SELECT page_id, CAST(CASE WHEN starts_with(lower(html), '<!doctype html') THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence FROM pages WHERE starts_with(lower(html), '<!doctype html') OR starts_with(lower(html), '<html')")
+#: Elements of the HTML ladder, as the sniffer has them.
+_TAGS = str(sniff.HTML_TAGS)
+
+
+@query("pages", sql=f"""WITH t AS (SELECT page_id, lower(CASE page_id % 8 WHEN 0 THEN html WHEN 1 THEN '<html><body>x' WHEN 2 THEN ' <html>' || html || '</html>' WHEN 3 THEN '<head></head><body>' WHEN 4 THEN 'x <body> y'
+  WHEN 5 THEN '<p>a</p><div>b</div>' WHEN 6 THEN '<p>a<span>b</p>' ELSE 'no <a href' END) AS t FROM pages),
+c AS (SELECT *, len(list_filter({_TAGS}, lambda x: contains(t, '<' || x))) AS starts, len(list_filter({_TAGS}, lambda x: contains(t, '</' || x || '>'))) AS ends FROM t)
+SELECT page_id, CAST(CASE WHEN starts_with(ltrim(t, ' ' || chr(9) || chr(10) || chr(13)), '<!doctype html') THEN 0.95 WHEN contains(t, '<html') AND contains(t, '</html>') THEN 0.9 WHEN contains(t, '<html') THEN 0.85
+  WHEN contains(t, '<head') AND contains(t, '<body') THEN 0.8 WHEN contains(t, '<head') OR contains(t, '<body') THEN 0.7 WHEN starts >= 2 AND ends >= 2 THEN 0.6 WHEN starts >= 2 AND ends >= 1 THEN 0.5
+  WHEN starts >= 1 THEN 0.4 ELSE 0 END AS DOUBLE) AS confidence FROM c""")
 def sniff_html(pages):
-    low = F.lower("html")
-    return pages.where(low.startswith("<!doctype html") | low.startswith("<html")).select("page_id", sniff.html(F.col("html")).cast("double").alias("confidence"))
+    """Pages as they are and in seven forms that tell the steps of the ladder apart."""
+    i, forms = F.col("page_id") % 8, [F.lit("<html><body>x"), F.concat(F.lit(" <html>"), "html", F.lit("</html>")), F.lit("<head></head><body>"), F.lit("x <body> y"), F.lit("<p>a</p><div>b</div>"), F.lit("<p>a<span>b</p>"), F.lit("no <a href")]
+    text = F.when(i == 0, F.col("html"))
+    for k, form in enumerate(forms):
+        text = text.when(i == k + 1, form)
+    return pages.select("page_id", sniff.html(text).cast("double").alias("confidence"))
+
+
+@query("events", sql="""SELECT event_id, CAST([0.95, 0.85, 0.0, 0.7, 0.65, 0.6, 0.0][event_id % 7 + 1] AS DOUBLE) AS confidence FROM events""")
+def sniff_xml(events):
+    """Seven forms, one for each step."""
+    forms = ['<?xml version="1.0"?><a/>', 'x <a xmlns="u">', "<a><div>x</div></a>", "<a x='1'><b>y</b></a>\n", "<a x='1'/> ", "y <a>1</a> <b>2</b>", "plain"]
+    text = F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % 7 + 1).cast("int"))
+    return events.select("event_id", sniff.xml(text).cast("double").alias("confidence"))
 
 
-@query("events", sql="SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN 0.9 ELSE 0.3 END AS DOUBLE) AS confidence FROM events WHERE props IS NOT NULL")
+@query("events", sql="SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.3 WHEN 2 THEN 0.2 ELSE 0.0 END AS DOUBLE) AS confidence FROM events WHERE props IS NOT NULL")
 def sniff_json(events):
-    text = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat("props", F.lit(" and \"x\":")))
+    i = F.col("event_id") % 4
+    text = F.when(i == 0, F.col("props")).when(i == 1, F.concat("props", F.lit(" and"))).when(i == 2, F.concat(F.lit("[1, "), "props")).otherwise(F.concat(F.lit("x "), "props"))
     return events.where("props is not null").select("event_id", sniff.json(text).cast("double").alias("confidence"))
 
 
-@query("conversations", sql="SELECT conv_id, turn, CAST(CASE turn % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 ELSE 0.0 END AS DOUBLE) AS confidence FROM conversations")
+@query("conversations", sql="SELECT conv_id, turn, CAST(CASE turn % 5 WHEN 0 THEN 0.9 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 WHEN 3 THEN 0.6 ELSE 0.0 END AS DOUBLE) AS confidence FROM conversations")
 def sniff_email(conversations):
-    i = F.col("turn") % 4
-    head = F.when(i == 0, "From: a\nTo: b\nSubject: c\nDate: d\n\n").when(i == 1, "From: a\nTo: b\nSubject: c\n\n").when(i == 2, "From: a\nTo: b\nDate: d\n\n").otherwise("plain\n")
+    i = F.col("turn") % 5
+    head = F.when(i == 0, "From: a\nTo: b\nDate: c\n\n").when(i == 1, "From: a\nTo: b\nSubject: c\n\n").when(i == 2, "from: a\r\nsubject: b\r\n\r\nDate: d\n").when(i == 3, "From: a\nReply-To: b\n\n").otherwise("plain\nFrom: x\n\nTo: y\n")
     return conversations.select("conv_id", "turn", sniff.mail(F.concat(head, F.lit("body"))).cast("double").alias("confidence"))
 
 
@@ -37,11 +59,11 @@ def xml_top_elements(pages):
     return each.withColumn("_k", k).where("_k <= 20").drop("_k")
 
 
-@query("supplier", sql="""SELECT 'supplier-' || (s_suppkey % 5) || '.csv' AS filename, 'csv' AS file_type, count(*) AS row_count, 'name,balance,day' AS columns, 'text,numeric,date' AS kinds FROM supplier GROUP BY ALL""")
+@query("supplier", sql="""SELECT 'supplier-' || (s_suppkey // 100) || '.csv' AS filename, 'csv' AS file_type, count(*) AS row_count, 'name,balance,day' AS columns, 'text,numeric,date' AS kinds FROM supplier GROUP BY ALL""")
 def csv_type_inference(supplier):
-    """Suppliers as five CSV files with a header, read back by the CSV reader."""
+    """Suppliers as CSV files of a hundred lines about with a header, read back by the CSV reader."""
     line = F.concat_ws(",", "s_name", F.col("s_acctbal").cast("decimal(12,2)").cast("string"), F.lit("2024-01-05"))
-    rows = supplier.groupBy(F.concat(F.lit("supplier-"), (F.col("s_suppkey") % 5).cast("string"), F.lit(".csv")).alias("filename")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
+    rows = supplier.groupBy(F.concat(F.lit("supplier-"), F.expr("s_suppkey div 100").cast("string"), F.lit(".csv")).alias("filename")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
     files = rows.select("filename", F.concat(F.lit("name,balance,day\n"), F.col("body")).cast("binary").alias("content"))
     out = readers.extracted(files)
     about = lambda path: F.get_json_object("structural_metadata", path)

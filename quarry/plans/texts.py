@@ -89,16 +89,21 @@ def ssrf_guard(pages):
     return pages.select("page_id", address.alias("address")).withColumn("reachable", U.reachable(F.col("address")))
 
 
-@query("pages", sql="""WITH l AS (SELECT page_id, list_distinct(list_filter(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"', 1), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(#|javascript:|mailto:|tel:|data:)'))) AS x FROM pages)
+@query("pages", sql="""WITH h AS (SELECT page_id, html || '<a class=''x'' HREF=''q?a=1&amp;b=2''>x</a><a href=bare/' || page_id || '>y</a><abbr href="no">z</abbr><a href="#top">t</a>' AS html FROM pages),
+f AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1) AS x FROM h),
+l AS (SELECT page_id, list_distinct(list_filter(list_transform(x, lambda y: replace(regexp_replace(y, '^["'']|["'']$', '', 'g'), '&amp;', '&')), lambda y: y <> '' AND NOT regexp_matches(lower(y), '^(#|javascript:|mailto:|tel:|data:)'))) AS x FROM f)
 SELECT page_id, unnest(x) AS link FROM l""")
 def links_extract(pages):
-    return pages.select("page_id", F.explode(U.links(F.col("html"))).alias("link"))
+    """Links of the pages and of three more forms: single quotes with an escaped sign, none, and another element."""
+    more = F.concat("html", F.lit("<a class='x' HREF='q?a=1&amp;b=2'>x</a><a href=bare/"), F.col("page_id").cast("string"), F.lit('>y</a><abbr href="no">z</abbr><a href="#top">t</a>'))
+    return pages.select("page_id", F.explode(U.links(more)).alias("link"))
 
 
-@query("documents", sql="""WITH h AS (SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS content_hash FROM documents WHERE text IS NOT NULL AND NOT contains(text, '---'))
+@query("documents", sql="""WITH h AS (SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS content_hash FROM (SELECT doc_id, CASE WHEN contains(text, '---') THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: trim(x) <> '---'
+  AND len(list_filter(string_split(text, chr(10))[1:i], lambda y: trim(y) = '---')) % 2 = 0), chr(10)) ELSE text END AS text FROM documents) WHERE text IS NOT NULL)
 SELECT content_hash, min(doc_id) AS doc_id, count(*) AS n FROM h GROUP BY 1""")
 def content_hash_dedup(documents):
-    rows = documents.where(~F.contains("text", F.lit("---"))).select("doc_id", U.content_hash(F.col("text")).alias("content_hash"))
+    rows = documents.where("text is not null").select("doc_id", U.content_hash(F.col("text")).alias("content_hash"))
     return rows.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
@@ -113,7 +118,7 @@ def frontmatter_fields(pages):
 def _expand_sql(value: str) -> str:
     """Search terms of a value: words, then phrases, in order of first occurrence."""
     return f"""s AS (SELECT *, substr(lower(trim({value})), 1, 100) AS s FROM src),
-a AS (SELECT *, list_filter(list_transform(string_split(translate(s, ';|/', ',,,'), ','), lambda x: trim(x)), lambda x: length(x) >= 3) AS parts,
+a AS (SELECT *, CASE WHEN contains(translate(s, ';|/', ',,,'), ',') THEN list_filter(list_transform(string_split(translate(s, ';|/', ',,,'), ','), lambda x: trim(x)), lambda x: length(x) >= 3) ELSE [] END AS parts,
   list_filter(list_transform(string_split(regexp_replace(translate(s, ';|/,', '    '), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), lambda x: regexp_replace(x, '^[().''"]+|[().''"]+$', '', 'g')), lambda x: length(x) >= 3) AS tokens,
   regexp_extract(s, '\\b(1[89][0-9]{{2}}|20[0-9]{{2}})\\b', 1) AS year FROM s),
 c AS (SELECT *, list_concat(parts, tokens, CASE WHEN year <> '' THEN [year] ELSE [] END, CASE WHEN s <> '' THEN [s] ELSE [] END) AS every FROM a),
@@ -159,9 +164,9 @@ def reduce_metadata_l3(documents, labels):
     return rows.select("doc_id", "key", F.array_join("v", ",").alias("vals"))
 
 
-@query("events", sql="""SELECT event_id, unnest(['k', 'event_kind']) AS key, unnest([json_extract_string(props, '$.k'), lower(event_type)]) AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+@query("events", sql="""SELECT event_id, unnest(['k', 'event_kind', 'filename']) AS key, unnest([json_extract_string(props, '$.k'), lower(event_type), 'x']) AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
 def reserved_key_filter(events):
-    raw = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("Event Kind"), F.upper("event_type"), F.lit("filename"), F.lit("x"), F.lit("empty"), F.lit("  ")))
+    raw = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("Event Kind"), F.upper("event_type"), F.lit("filename"), F.lit("x"), F.lit("Chunk-Index"), F.lit("3"), F.lit("s3 uri"), F.lit("u"), F.lit("empty"), F.lit("  ")))
     return events.where(F.get_json_object("props", "$.k").isNotNull()).select("event_id", F.explode(M.clean(raw)).alias("key", "value"))
 
 
@@ -172,9 +177,9 @@ def kb_scalar(events):
     return events.select("event_id", M.first_value(F.array(quoted, F.lit("other"))).alias("first_value"), M.unquote(quoted).alias("unquoted"))
 
 
-@query("conversations", sql="""SELECT conv_id, turn, CASE WHEN length(text) > 20 THEN substr(text, 1, 10) || '... (' || length(text) || ' chars)' ELSE '***' END AS text, role FROM conversations""")
+@query("conversations", sql="""SELECT conv_id, turn, CASE WHEN length(text) > 20 THEN substr(text, 1, 10) || '...(' || length(text) || ' chars)' ELSE '***' END AS body, text, role FROM conversations""")
 def mask_sensitive(conversations):
-    return conversations.select("conv_id", "turn", M.masked(F.lit("text"), F.col("text")).alias("text"), M.masked(F.lit("role"), F.col("role")).alias("role"))
+    return conversations.select("conv_id", "turn", M.masked(F.lit("request_body"), F.col("text")).alias("body"), M.masked(F.lit("text"), F.col("text")).alias("text"), M.masked(F.lit("role"), F.col("role")).alias("role"))
 
 
 @query("part", sql="""WITH n AS (SELECT DISTINCT p_name AS name FROM part), k AS (SELECT unnest(['small rings', 'red widgit', 'blue bolt']) AS wanted)
@@ -201,9 +206,9 @@ def page_ranges(orders):
     return orders.select("o_orderkey", F.explode(T.page_ranges(total)).alias("r")).select("o_orderkey", "r.first", "r.last")
 
 
-@query("conversations", sql="SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(it|this|that|these|those|he|she|they|him|her|them|its)\\b') AS ambiguous FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("conversations", sql="SELECT conv_id, turn, regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(it|this|that|these|those|he|she|they|him|her|them)($|[^\\p{L}\\p{N}_])') AS ambiguous FROM conversations")
 def ambiguous_queries(conversations):
-    return conversations.where(F.col("text").rlike("^[\\x00-\\x7F]*$")).select("conv_id", "turn", T.ambiguous(F.col("text")).alias("ambiguous"))
+    return conversations.select("conv_id", "turn", T.ambiguous(F.col("text")).alias("ambiguous"))
 
 
 @query("documents", sql="""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'passthrough' WHEN 2 THEN 'media' WHEN 3 THEN 'ocr' ELSE 'ocr' END AS route, CASE doc_id % 5 WHEN 4 THEN 'noext' ELSE 'f' || doc_id END AS stem FROM documents""")

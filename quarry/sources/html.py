@@ -6,10 +6,10 @@ import re
 from html.parser import HTMLParser
 
 #: Elements, roles and classes that hold no content, places of the main content, and elements without an end tag.
-DROPPED = set("script style nav header footer aside noscript iframe form button input svg canvas template".split())
-ROLES = set("navigation banner contentinfo complementary search".split())
-CLASSES = set("nav navbar navigation sidebar menu footer header breadcrumb advertisement ads social-share comments cookie-banner popup".split())
-MAIN_CLASSES = ("content", "main-content", "post-content", "article-content", "entry-content")
+DROPPED = {"script", "style", "noscript", "iframe", "nav", "footer", "header", "aside", "form", "button", "input", "select", "textarea", "svg"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"}
+CLASSES = {"sidebar", "nav", "navbar", "menu", "footer", "header", "advertisement", "ads", "cookie-banner", "cookie-notice", "newsletter", "social-share", "comments", "related-posts"}
+MAIN_CLASSES = ("content", "post", "entry", "article-body", "post-content")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("p div section article main ul ol table tr blockquote pre h1 h2 h3 h4 h5 h6 body html dl dt dd figure".split())
 LEAST_MAIN = 50

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 HEAD = 4096
 #: Leading bytes of media and archives (place, hexadecimal digits, type).
 MAGIC = [(1, "1A45DFA3", "webm"), (1, "494433", "mp3"), (1, "FFFB", "mp3"), (1, "FFF3", "mp3"), (1, "FFF2", "mp3"), (1, "4F676753", "ogg"), (1, "664C6143", "flac"), (5, "66747970", "mp4")]
-HTML_TAGS = "html head body div p span table ul ol h1 h2 a img br form".split()
+HTML_TAGS = ["div", "p", "span", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol", "li", "a", "img"]
+HTML_ONLY = ["<!doctype", "<html", "<head", "<body", "<div", "<span", "<p>", "</p>"]
 MAIL_REQUIRED = ["from", "to", "subject"]
 MAIL_OPTIONAL = ["date", "cc", "bcc", "reply-to", "message-id", "mime-version", "content-type"]
 
@@ -42,34 +43,45 @@ def zip_kind(content: Column) -> Column:
 
 
 def html(text: Column) -> Column:
-    low = F.lower(F.substring(F.ltrim(text), 1, HEAD))
-    tags = reduce(add, [low.rlike(f"<{t}[\\s>/]").cast("int") for t in HTML_TAGS])
-    start = low.startswith("<!doctype html")
-    return F.when(start, 0.95).when(low.startswith("<html"), 0.9).when(low.rlike("<html[\\s>]") & low.rlike("</html>|<body[\\s>]|<head[\\s>]"), 0.85).when(low.startswith("<?xml"), 0.0).when(tags >= 5, 0.8).when(tags >= 3, 0.7).when(tags == 2, 0.5).when((tags == 1) & low.startswith("<"), 0.4).otherwise(0.0)
+    """A document type, an html element with and without end, head and body, then elements by their starts and ends."""
+    low = F.lower(text)
+    has = lambda s: F.contains(low, F.lit(s))
+    starts, ends = (reduce(add, [has(form.format(t)).cast("int") for t in HTML_TAGS]) for form in ("<{}", "</{}>"))
+    out = F.when(low.rlike("^\\s*<!doctype html"), 0.95).when(has("<html") & has("</html>"), 0.9).when(has("<html"), 0.85)
+    out = out.when(has("<head") & has("<body"), 0.8).when(has("<head") | has("<body"), 0.7)
+    return out.when((starts >= 2) & (ends >= 2), 0.6).when((starts >= 2) & (ends >= 1), 0.5).when(starts >= 1, 0.4).otherwise(0.0)
 
 
 def xml(text: Column) -> Column:
-    t = F.trim(text)
-    low = F.lower(F.substring(t, 1, HEAD))
-    name = F.regexp_extract(t, "^<([A-Za-z][\\w:.-]*)", 1)
-    closed = (name != "") & F.endswith(t, F.concat(F.lit("</"), name, F.lit(">")))
-    return F.when(low.startswith("<?xml"), 0.95).when(low.startswith("<!doctype html") | low.startswith("<html"), 0.0).when(closed & low.rlike("xmlns"), 0.85).when(closed & ~F.lower(name).isin(*HTML_TAGS), 0.7).otherwise(0.0)
+    """A declaration, a namespace, no HTML, one element around all, a single empty element, or elements with ends."""
+    t = F.regexp_replace(text, "^\\s+|\\s+$", "")
+    of_html = reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(x)) for x in HTML_ONLY])
+    name = F.regexp_extract(t, "^<([a-zA-Z][a-zA-Z0-9_:-]*)", 1)
+    around = (name != "") & F.endswith(t, F.concat(F.lit("</"), name, F.lit(">")))
+    starts, ends = (F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in ("<([a-zA-Z][a-zA-Z0-9_:-]*)[^>]*>", "</([a-zA-Z][a-zA-Z0-9_:-]*)>"))
+    out = F.when(t.startswith("<?xml"), 0.95).when(F.contains(t, F.lit("xmlns")) & F.contains(t, F.lit("<")), 0.85).when(of_html, 0.0)
+    out = out.when(around, 0.7).when((name != "") & F.endswith(t, F.lit("/>")), 0.65)
+    return out.when((F.size(starts) >= 2) & (F.size(ends) >= 2) & F.arrays_overlap(starts, ends), 0.6).otherwise(0.0)
 
 
 def json(text: Column) -> Column:
-    t = F.trim(text)
-    first = F.substring(t, 1, 1).isin("{", "[")
+    """A whole value, an object with a colon, or what begins as a list."""
+    t = F.regexp_replace(text, "^\\s+|\\s+$", "")
+    first = F.substring(t, 1, 1)
     # as the one element of an array: what follows a value would otherwise pass unread
     valid = F.coalesce(F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1, F.lit(False))
-    return F.when(first & valid, 0.9).when(first & F.contains(t, F.lit('":')), 0.3).when(first & t.rlike("[}\\]]$"), 0.2).otherwise(0.0)
+    return F.when(first.isin("{", "[") & valid, 0.9).when((first == "{") & F.contains(t, F.lit(":")), 0.3).when(first == "[", 0.2).otherwise(0.0)
 
 
 def mail(text: Column) -> Column:
-    """Header lines among the first twenty."""
-    names = F.transform(F.slice(F.split(text, "\r?\n"), 1, 20), lambda x: F.lower(F.regexp_extract(x, "^([A-Za-z-]+):", 1)))
-    count = lambda wanted: F.size(F.array_intersect(names, F.array(*map(F.lit, wanted))))
-    required, optional = count(MAIL_REQUIRED), count(MAIL_OPTIONAL)
-    return F.when((required == 3) & (optional >= 1), 0.9).when(required == 3, 0.8).when((required == 2) & (optional >= 1), 0.6).otherwise(0.0)
+    """Header lines among the first twenty, up to the first blank one."""
+    lines = F.slice(F.split(text, "\n"), 1, 20)
+    blank = F.array_position(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")) == ""), F.lit(True))
+    heads = F.slice(lines, 1, F.when(blank > 0, blank - 1).otherwise(F.size(lines)).cast("int"))
+    names = F.transform(heads, lambda x: F.lower(F.regexp_extract(x, "^\\s*([A-Za-z-]+):", 1)))
+    count = lambda wanted: F.size(F.filter(names, lambda x: x.isin(*wanted)))
+    required, every = count(MAIL_REQUIRED), count(MAIL_REQUIRED + MAIL_OPTIONAL)
+    return F.when((required >= 2) & (every >= 3), 0.9).when(required >= 2, 0.8).when(every >= 2, 0.6).otherwise(0.0)
 
 
 def csv(text: Column) -> Column:

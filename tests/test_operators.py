@@ -129,3 +129,32 @@ def test_crawl(spark):
     one = spark.createDataFrame([("http://127.0.0.1/",), ("http://[::1]/",), ("https://x.org/a",), (None,)], "u string")
     assert [r.r for r in one.select(U.reachable(F.col("u")).alias("r")).collect()] == [False, False, True, None]
     assert spark.createDataFrame([('<div id="__next"></div>',)], "h string").select(crawl.is_scripted(F.col("h"))).first()[0]
+
+
+def test_links_are_resolved_as_a_browser_does(spark):
+    from urllib.parse import urljoin
+
+    base = ["http://h.org/a/b/c.html", "http://h.org/a/b/", "http://h.org"]
+    link = ["x.html", "../x", "../../x/y", "./x?k=1", "?x=1", "/r/../s", "//o.org/z", "https://o.org/q", "#f", "../", "../../../../x"]
+    rows = [(b, x) for b in base for x in link]
+    df = spark.createDataFrame(rows, "b string, x string").select("b", "x", U.absolute(F.col("x"), F.col("b")).alias("r"))
+    for r in df.collect():
+        want = urljoin(r.b, r.x)
+        assert r.r == want or r.r.replace("h.org/?", "h.org?").replace("h.org/#", "h.org#") == want, (r.b, r.x, r.r, want)
+
+
+def test_only_private_addresses_of_the_new_kind_are_refused(spark):
+    urls = {"http://[::1]/x": False, "http://[fd12::1]/": False, "http://[fe80::2]:80/": False, "http://[2606:4700::1111]/": True, "http://[::ffff:10.0.0.1]/": False}
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.reachable(F.col("u")).alias("r"))
+    assert {r.u: r.r for r in df.collect()} == urls
+
+
+def test_scores_are_compiled_without_fallback(spark):
+    """No operator of the search falls back to interpreted code because its code is too large."""
+    df = spark.createDataFrame([(i, [float(i + j) for j in range(64)]) for i in range(20)], "vec_id long, embedding array<float>")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        out = R.multislice(df, "embedding", [1.0] * 64, 5, F.col("vec_id") > 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert len(out) >= 5
