@@ -3,8 +3,12 @@
 language        documents in no language (null, or without a letter) go
 near_duplicates of each class of near copies the document with the smallest id stays
 decontaminate   documents that cover a benchmark item go
-secrets         secrets are masked in the text, and n_chars follows; no document goes
+secrets         secrets are masked in the text where they stand, and n_chars follows; no document goes
 tokens          the whole texts as BPE ids
+
+Defined results: all stages but the last return the columns of `documents` (COLUMNS); other columns of the input, whatever their names, go.
+Texts are taken whole. Nulls in other columns than text pass; a null id is an id like any other. Rows equal in id and text
+are one row from near_duplicates on. Of near copies with one id the one with the smaller text hash stays. An empty table gives an empty table.
 """
 
 from __future__ import annotations
