@@ -108,12 +108,9 @@ def image_problem(content_type: Column, filename: Column, size: Column, most: in
 
 def replayed(dead: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Dead letters to send again, under new deduplication ids, and those that stay: the oldest `most` go first."""
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.orderBy("sent_at", "message_id"))
-    ranked = dead.withColumn("_k", k)
-    again = ranked.where(F.col("_k") <= most).withColumn("dedup_id", F.sha2(F.concat("message_id", F.lit("/replay")), 256)).drop("_k")
-    return again, ranked.where(F.col("_k") > most).drop("_k")
+    first = dead.orderBy("sent_at", "message_id").limit(most)  # tasks keep `most` rows each
+    again = first.withColumn("dedup_id", F.sha2(F.concat("message_id", F.lit("/replay")), 256))
+    return again, dead.join(first.select("message_id"), "message_id", "left_anti")
 
 
 def changes(log: DataFrame, key: str, fields: list[str]) -> DataFrame:

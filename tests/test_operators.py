@@ -158,3 +158,12 @@ def test_scores_are_compiled_without_fallback(spark):
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
     assert len(out) >= 5
+
+
+def test_the_oldest_dead_letters_go_first(spark):
+    from quarry.sources.files import replayed
+
+    df = spark.createDataFrame([(f"m{k}", 100 - k) for k in range(10)], "message_id string, sent_at int")
+    again, rest = replayed(df, 3)
+    assert sorted(r.message_id for r in again.collect()) == ["m7", "m8", "m9"] and again.select("dedup_id").distinct().count() == 3
+    assert sorted(r.message_id for r in rest.collect()) == [f"m{k}" for k in range(7)] and rest.columns == df.columns
