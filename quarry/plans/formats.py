@@ -76,3 +76,47 @@ def csv_type_inference(supplier):
 def html_to_markdown(pages):
     files = pages.select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.col("html").cast("binary").alias("content"))
     return readers.extracted(files).drop("filename")
+
+
+def _about(path: str):
+    return F.get_json_object("structural_metadata", path)
+
+
+@query("customer", sql="""SELECT c_custkey AS id, 'json' AS file_type, CASE WHEN c_custkey % 2 = 0 THEN 'object' ELSE 'array' END AS structure_type, CASE WHEN c_custkey % 2 = 0 THEN 3 END AS key_count, CASE WHEN c_custkey % 2 = 1 THEN 2 END AS item_count,
+  CASE WHEN c_custkey % 2 = 0 THEN 'id,tags,inner' END AS top_level_keys, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 2 END AS max_depth, 'c' || c_custkey AS title FROM customer""")
+def read_json_files(customer):
+    """Customers as JSON files, objects and lists, sniffed and read."""
+    key = F.col("c_custkey").cast("string")
+    body = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{"id": '), key, F.lit(', "tags": ["a", "b"], "inner": {"x": {"y": 1}}}'))).otherwise(F.concat(F.lit('[{"id": '), key, F.lit('}, {"id": 0, "z": 2}]')))
+    out = readers.extracted(customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("d/c"), key, F.lit(".json")).alias("filename"), body.cast("binary").alias("content")))
+    keys = F.array_join(F.from_json(_about("$.top_level_keys"), "array<string>"), ",")
+    return out.select("id", "file_type", _about("$.structure_type").alias("structure_type"), _about("$.key_count").cast("int").alias("key_count"), _about("$.item_count").cast("int").alias("item_count"), keys.alias("top_level_keys"), _about("$.max_depth").cast("int").alias("max_depth"), "title")
+
+
+@query("supplier", sql="""SELECT s_suppkey AS id, 'xml' AS file_type, 'supplier' AS root_element, CAST(s_suppkey % 4 AS INTEGER) AS parts, 'urn:s' AS namespace, CAST(1 + s_suppkey % 4 AS BIGINT) AS words FROM supplier""")
+def read_xml_files(supplier):
+    """Suppliers as XML files with a namespace and up to three parts."""
+    key = F.col("s_suppkey")
+    parts = F.array_join(F.transform(F.when(key % 4 > 0, F.sequence(F.lit(1), (key % 4).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit('<part n="'), i.cast("string"), F.lit('">word</part>'))), "")
+    body = F.concat(F.lit('<?xml version="1.0"?><supplier xmlns="urn:s"><name>one</name>'), parts, F.lit("</supplier>"))
+    out = readers.extracted(supplier.select(key.alias("id"), F.concat(F.lit("s"), key.cast("string"), F.lit(".xml")).alias("filename"), body.cast("binary").alias("content")))
+    text = F.element_at(F.split("markdown", "\n"), -1)
+    return out.select("id", "file_type", _about("$.root_element").alias("root_element"), F.coalesce(_about("$.element_counts.part").cast("int"), F.lit(0)).alias("parts"), _about("$.namespaces[0]").alias("namespace"), F.size(F.split(text, " ")).cast("long").alias("words"))
+
+
+@query("orders", sql="""SELECT o_orderkey AS id, 'eml' AS file_type, 'Order ' || o_orderkey AS title, 'a@x.org' AS sender, false AS has_attachments, '**From:** a@x.org' || chr(10) || '**To:** b@x.org' || chr(10) || '**Date:** 2024-01-05T10:00:00+00:00' AS head FROM orders""")
+def read_mail_files(orders):
+    """Orders as mails, sniffed by their headers and read."""
+    key = F.col("o_orderkey").cast("string")
+    body = F.concat(F.lit("From: a@x.org\r\nTo: b@x.org\r\nSubject: Order "), key, F.lit("\r\nDate: Fri, 05 Jan 2024 10:00:00 +0000\r\n\r\nHello there\r\n"))
+    out = readers.extracted(orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("m"), key).alias("filename"), body.cast("binary").alias("content")))
+    head = F.array_join(F.filter(F.split("markdown", "\n"), lambda x: x.startswith("**")), "\n")
+    return out.select("id", "file_type", "title", _about("$.from").alias("sender"), _about("$.has_attachments").cast("boolean").alias("has_attachments"), head.alias("head"))
+
+
+@query("documents", sql=f"""SELECT doc_id AS id, 'd' || doc_id AS title, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')) AS BIGINT) AS word_count, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS line_count, coalesce(length(text), 0) AS char_count FROM documents""")
+def read_text_files(documents):
+    """Documents as text files, read as a whole."""
+    key = F.col("doc_id").cast("string")
+    out = readers.extracted(documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("x/d"), key, F.lit(".txt")).alias("filename"), F.col("text").cast("binary").alias("content")))
+    return out.where("file_type = 'txt'").select("id", "title", "word_count", _about("$.line_count").cast("long").alias("line_count"), _about("$.char_count").cast("long").alias("char_count"))
