@@ -83,14 +83,14 @@ def seeded(x: np.ndarray, seed: int) -> np.ndarray:
     return mix(x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1)))
 
 
-def word_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_bytes(texts: pa.Array | pa.ChunkedArray, lower: str = "utf8_lower") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The lower-case UTF-8 bytes of all rows, the first and the last-plus-one byte of each word, and word offsets per row.
 
-    Words are the runs between ASCII white space. Null: no words.
+    Words are the runs between ASCII white space. Null: no words. `lower` is the Arrow function that folds case.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    low = pc.utf8_lower(pc.fill_null(texts, ""))
+    low = getattr(pc, lower)(pc.fill_null(texts, ""))
     ends = np.frombuffer(low.buffers()[1], np.int32, len(low) + 1, low.offset * 4).astype(np.int64)
     data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
@@ -107,9 +107,9 @@ def word_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data, starts, stops, np.searchsorted(starts, ends)
 
 
-def word_hashes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array | pa.ChunkedArray, lower: str = "utf8_lower") -> tuple[np.ndarray, np.ndarray]:
     """Word offsets per row and one 64-bit polynomial hash per word of word_bytes()."""
-    data, starts, stops, off = word_bytes(texts)
+    data, starts, stops, off = word_bytes(texts, lower)
     if not len(starts):
         return off, np.zeros(0, np.uint64)
     n = stops - starts
