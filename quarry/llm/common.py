@@ -172,3 +172,8 @@ def range_id(df: DataFrame, key: str, tie: str, parts: int) -> Column:
 def total_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a column over all rows."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+#: For the SQL of queries: crc32 of a text, byte by byte, over a table of 256 remainders.
+CRC32_SQL = """remainders AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT)] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS tab)"""
+CRC32 = "xor(4294967295, list_reduce([4294967295] || list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT)), lambda c, x: xor(c // 256, tab[1 + xor(c % 256, x)])))"

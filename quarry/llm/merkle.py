@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import CRC32, CRC32_SQL, kept
 
 FAN, DEPTH = 2, 12
 #: Levels that a tree can have: 2 ** 62 leaves.
@@ -202,3 +202,34 @@ def op13(spark, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     return verified(df, F.when(hit & F.col("n_chars").isNotNull(), leaf(df, n_chars=F.col("n_chars") + 1)))
+
+
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in FIELDS) + ")"
+OP13_SQL = f"""
+WITH RECURSIVE {CRC32_SQL}, hashed AS (
+  SELECT *, {_LEAF} AS leaf, {CRC32.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents, remainders
+), leaves AS MATERIALIZED (
+  SELECT doc_id, lang, leaf, CASE WHEN h % 7 = 0 AND n_chars IS NOT NULL THEN {_LEAF.replace("n_chars", "(n_chars + 1)")} ELSE leaf END AS now,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed
+), nodes AS (
+  SELECT lang, 0 AS level, i, leaf AS h FROM leaves
+  UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS w FROM nodes) WHERE w > 1 GROUP BY lang, level, i // 2
+), subs AS MATERIALIZED (
+  SELECT lang, max(level) AS depth, max_by(h, level) AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS j FROM nodes GROUP BY lang
+), tops AS (
+  SELECT 0 AS level, j AS i, subroot AS h FROM subs
+  UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS w FROM tops) WHERE w > 1 GROUP BY level, i // 2
+), below AS (
+  SELECT lang, i AS leaf_at, 0 AS level, i, now AS acc, '' AS beside FROM leaves
+  UNION ALL SELECT b.lang, leaf_at, b.level + 1, b.i // 2, sha256(CASE WHEN b.i % 2 = 0 THEN acc || coalesce(n.h, '') ELSE coalesce(n.h, '') || acc END), beside || coalesce(n.h, '')
+  FROM below b JOIN subs s ON b.lang IS NOT DISTINCT FROM s.lang AND b.level < s.depth LEFT JOIN nodes n ON n.lang IS NOT DISTINCT FROM b.lang AND n.level = b.level AND n.i = xor(b.i, 1)
+), above AS (
+  SELECT b.lang, leaf_at, 0 AS level, j AS i, acc, beside FROM below b JOIN subs s ON b.lang IS NOT DISTINCT FROM s.lang AND b.level = s.depth
+  UNION ALL SELECT a.lang, leaf_at, a.level + 1, a.i // 2, sha256(CASE WHEN a.i % 2 = 0 THEN acc || coalesce(t.h, '') ELSE coalesce(t.h, '') || acc END), beside || coalesce(t.h, '')
+  FROM above a LEFT JOIN tops t ON t.level = a.level AND t.i = xor(a.i, 1) WHERE a.level < (SELECT max(level) FROM tops)
+)
+SELECT doc_id, l.leaf, subroot, root, sha256(beside) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM leaves l JOIN above a ON l.lang IS NOT DISTINCT FROM a.lang AND l.i = a.leaf_at AND a.level = (SELECT max(level) FROM tops)
+JOIN subs s ON l.lang IS NOT DISTINCT FROM s.lang, (SELECT max_by(h, level) AS root FROM tops)
+"""
