@@ -10,8 +10,8 @@ places it can point to, and POINT_BITS more for a letter the training text lacks
 The training sample is bounded: at most `train_chars` characters from at most
 `train_docs` different texts of each language, chosen by a hash of the text, with equal shares for all of them. Prediction
 covers every whole text: long texts are parsed in blocks of BLOCK symbols in lockstep, whose
-phrases are joined to those of one parse of the whole text. All letters of the samples are symbols; transitions lie
-in hash tables of three entries a training character at most, whatever the number of letters and languages.
+phrases are joined to those of one parse of the whole text, in all languages at once. All letters of the samples are symbols; transitions lie
+in one table of rows laid into one another, three entries a training character at most, whatever the number of letters and languages.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
 ties go to the smaller language name; no labelled row at all gives `und`
@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import mix, sliced
 
 TRAIN_CHARS, TRAIN_DOCS, BLOCK, UNKNOWN = 40_000, 400, 1024, "und"
 #: Symbols: 0 is never matched, 1 stands for any run of characters other than letters.
 OTHER, GAP, LETTERS = 0, 1, 2
 #: What a letter that a language's sample lacks costs beside its phrase: the bits of a code point.
 POINT_BITS = 21
+#: Places a state tries in the table of transitions before that is made larger.
+ATTEMPTS = 400
 
 
 def automaton(symbols: np.ndarray) -> list[dict[int, int]]:
@@ -68,34 +70,45 @@ def automaton(symbols: np.ndarray) -> list[dict[int, int]]:
 
 
 class Transitions:
-    """A hash table with open addressing from keys (state x width + symbol) to states; 0 for what is not there."""
-
-    def __init__(self, keys: np.ndarray, states: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2.5).bit_length())
-        self.keys, self.states = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-        slot, rest = self._slot(keys), np.arange(len(keys))
-        while len(rest):
-            free = rest[self.keys[slot[rest]] < 0]
-            put = free[np.unique(slot[free], return_index=True)[1]]
-            self.keys[slot[put]], self.states[slot[put]] = keys[put], states[put]
-            rest = rest[self.keys[slot[rest]] != keys[rest]]
-            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        have = self.keys[slot]
-        out = np.where(have == keys, self.states[slot], 0)
-        more = np.flatnonzero((have != keys) & (have >= 0))
-        while len(more):
-            slot[more] = (slot[more] + 1) & ((1 << self.bits) - 1)
-            have = self.keys[slot[more]]
-            hit = have == keys[more]
-            out[more[hit]] = self.states[slot[more[hit]]]
-            more = more[~hit & (have >= 0)]
-        return out
+    """The transitions of all automata in one table of rows laid into one another: that of state s for symbol c stands at base[s] + c, with its owner.
+
+    Each state tries places that a hash gives until all its symbols' places are free; of states that want one place that with the most symbols gets it.
+    """
+
+    def __init__(self, owner: np.ndarray, symbol: np.ndarray, to: np.ndarray, states: int, width: int):
+        order = np.argsort(owner, kind="stable")
+        owner, symbol, to = owner[order], symbol[order], to[order]
+        size = 1 << max(8, int(len(owner) * 1.6).bit_length())
+        while not self._laid(owner, symbol, to, states, width, size):
+            size *= 2
+
+    def _laid(self, owner: np.ndarray, symbol: np.ndarray, to: np.ndarray, states: int, width: int, size: int) -> bool:
+        self.base, self.cells = np.zeros(states, np.int64), np.full(size + width, -1, np.int64)
+        rest, count = np.ones(len(owner), bool), np.bincount(owner, minlength=states)
+        for attempt in range(ATTEMPTS):
+            at = np.flatnonzero(rest)
+            if not len(at):
+                return True
+            o = owner[at]
+            start = (mix(o.astype(np.uint64) + np.uint64(attempt * 0x9E3779B97F4A7C15 & (2**64 - 1))) % np.uint64(size)).astype(np.int64)
+            slot = start + symbol[at]
+            free = np.ones(states, bool)
+            free[o[self.cells[slot] >= 0]] = False
+            want = np.flatnonzero(free[o])
+            want = want[np.argsort(count[o[want]], kind="stable")]
+            claim = np.full(size + width, -1, np.int64)
+            claim[slot[want]] = o[want]  # the last one, with the most symbols, stays
+            free[o[want[claim[slot[want]] != o[want]]]] = False
+            got = want[free[o[want]]]
+            self.base[o[got]] = start[got]
+            self.cells[slot[got]] = (o[got] << 32) | to[at[got]]
+            rest[at[got]] = False
+        return False
+
+    def find(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states to which the transitions lead; -1 where there is none."""
+        cell = self.cells.take(self.base.take(states) + symbols)
+        return np.where(cell >> 32 == states, cell & 0xFFFFFFFF, -1)
 
 
 class Model:
@@ -110,14 +123,21 @@ class Model:
         self.lut = np.full(0x110000, GAP, np.int32)
         self.lut[_letter_points()] = OTHER
         self.lut[letters] = np.arange(len(letters)) + LETTERS
-        self.width, self.tables, self.bits = len(letters) + LETTERS, [], []
+        width, self.bits, self.starts, parts, states = len(letters) + LETTERS, [], [], [], 0
         for name in self.languages:
             symbols = self.symbols(samples[name])
-            states = automaton(symbols)
-            keys = np.fromiter((s * self.width + c for s, to in enumerate(states) for c in to), np.int64)
-            table = Transitions(keys, np.fromiter((x for to in states for x in to.values()), np.int32))
-            self.tables.append((table, table.find(np.arange(self.width))))
+            built = automaton(symbols)
+            n = np.array([len(to) for to in built])
+            parts.append((np.repeat(np.arange(len(n)), n) + states, np.fromiter((c for to in built for c in to), np.int64), np.fromiter((x for to in built for x in to.values()), np.int64) + states))
+            self.starts.append(states)
+            states += len(built)
             self.bits.append(np.log2(max(2, len(symbols))))
+        if parts:
+            self.table = Transitions(*(np.concatenate(x) for x in zip(*parts, strict=True)), states, width)
+            #: where each symbol leads from the start of each language's automaton: the start itself if nowhere
+            start = np.array(self.starts)[:, None]
+            root = self.table.find(np.broadcast_to(start, (len(parts), width)), np.arange(width))
+            self.root, self.lacks = np.where(root < 0, start, root), root < 0
 
     @classmethod
     def of(cls, samples: dict[str, str], block: int) -> Model:
@@ -137,62 +157,76 @@ class Model:
         """Phrases of each row in each language.
 
         Blocks of a row are parsed side by side, each as if a phrase began with it. What follows a phrase's start hangs on nothing before it, so the parse of the block
-        before is carried on into the next one until both begin a phrase at one place: from there on they are one. Rows where they do
-        not meet within a block are parsed once more in one piece.
+        before is carried on into the next one until both begin a phrase at one place: from there on they are one. Where they do
+        not meet within a block, the next block is begun anew from there.
         """
-        return np.stack([self._parsed(rows, k, self.block) for k in range(len(self.languages))], 1)
+        return self._parsed(rows, self.block)
 
     def foreign(self, rows: list[np.ndarray]) -> np.ndarray:
         """Symbols of each row that each language's sample lacks."""
         every, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(s) for s in rows])
-        return np.stack([np.bincount(row[root[every] == 0], minlength=len(rows)) for _, root in self.tables], 1)
+        return np.stack([np.bincount(row[lacks[every]], minlength=len(rows)) for lacks in self.lacks], 1)
 
-    def _parsed(self, rows: list[np.ndarray], k: int, block: int) -> np.ndarray:
-        table, root = self.tables[k]
+    def _parsed(self, rows: list[np.ndarray], block: int) -> np.ndarray:
         row = np.concatenate([np.full((len(s) + block - 1) // block, i) for i, s in enumerate(rows)] or [np.zeros(0, int)])
         lanes = [s[a : a + block] for s in rows for a in range(0, len(s), block)]
-        n = np.array([len(x) for x in lanes], dtype=np.int64)
+        n, languages = np.array([len(x) for x in lanes], dtype=np.int64), len(self.languages)
         order = np.argsort(-n, kind="stable")
         at = np.empty(len(n), np.int64)
         at[order] = np.arange(len(n))  # where a lane stands in the grid
         steps = int(n.max(initial=0))
-        grid, misses = np.zeros((steps, len(lanes)), np.int32), np.zeros((steps, len(lanes)), bool)
+        grid, misses = np.zeros((steps, len(lanes)), np.int32), np.zeros((steps, languages, len(lanes)), bool)
         for place, i in enumerate(order):
             grid[: n[i], place] = lanes[i]
         active = np.searchsorted(-n[order], -np.arange(1, steps + 1), side="right")
-        state = np.zeros(len(lanes), np.int64)
+        state = np.repeat(np.array(self.starts, np.int64)[:, None], len(lanes), 1)
         for t in range(steps):
-            a = active[t]
-            to = table.find(state[:a] * self.width + grid[t, :a])
-            misses[t, :a] = to == 0
-            state[:a] = np.where(to == 0, root[grid[t, :a]], to)
-        count = misses.sum(0)[at]
+            a, c = active[t], grid[t, : active[t]]
+            to = self.table.find(state[:, :a], c)
+            miss = to < 0
+            misses[t, :, :a] = miss
+            state[:, :a] = np.where(miss, self.root[:, c], to)
+        count = misses.sum(0)[:, at]
         first = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
-        count[first] += 1
-        # lanes that follow another one of their row, with the state in which that one ended
+        count[:, first] += 1
+        # lanes that follow another one of their row, with the states in which that one ended
         lane = np.flatnonzero(~first)
-        if len(lane):
-            here, s, extra, before = at[lane], state[at[lane - 1]], np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
-            open_, met = np.arange(len(lane)), np.zeros(len(lane), bool)
+
+        def follow(k: np.ndarray, j: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Lanes lane[j] in languages k once more from states s, until they meet the parse that began with the lane: what that adds to the misses, if they met, and the last states."""
+            here, more, met = at[lane[j]], np.zeros(len(j), np.int64), np.zeros(len(j), bool)
+            open_ = np.arange(len(j))
             for t in range(steps):
-                open_ = open_[n[lane[open_]] > t]
+                open_ = open_[n[lane[j[open_]]] > t]
                 if not len(open_):
                     break
                 c = grid[t, here[open_]]
-                to = table.find(s[open_] * self.width + c)
-                miss = to == 0
-                s[open_] = np.where(miss, root[c], to)
-                extra[open_] += miss
-                before[open_] += misses[t, here[open_]]
-                both = miss & (misses[t, here[open_]] | (t == 0))
+                to = self.table.find(s[open_], c)
+                miss, old = to < 0, misses[t, k[open_], here[open_]]
+                s[open_] = np.where(miss, self.root[k[open_], c], to)
+                more[open_] += miss.astype(np.int64) - old
+                both = miss & (old | (t == 0))
                 met[open_[both]] = True
                 open_ = open_[~both]
-            count[lane] += extra - before
-        total = np.bincount(row, count, minlength=len(rows)).astype(np.int64)
+            return more, met, s
+
         if len(lane):
-            last = np.append(first[1:], True)[lane]
-            for i in np.unique(row[lane[~met & ~last]]):
-                total[i] = self._parsed([rows[i]], k, len(rows[i]))[0]
+            k, j = (x.ravel() for x in np.indices((languages, len(lane))))
+            more, met, ended = (x.reshape(languages, -1) for x in follow(k, j, state[:, at[lane - 1]].ravel()))
+            # a lane behind one that did not meet begins in another state than was taken; each row's first such lane is done at a time
+            behind = np.append(False, lane[1:] == lane[:-1] + 1) & ~first[lane - 1]
+            done = np.full((languages, len(rows)), -1)
+            while True:
+                wrong = np.append(np.zeros((languages, 1), bool), ~met[:, :-1], 1) & behind
+                k, j = np.nonzero(wrong & (np.arange(len(lane)) > done[:, row[lane]]))
+                _, one = np.unique(k * len(rows) + row[lane[j]], return_index=True)
+                if not len(one):
+                    break
+                k, j = k[one], j[one]
+                more[k, j], met[k, j], ended[k, j] = follow(k, j, ended[k, j - 1])
+                done[k, row[lane[j]]] = j
+            count[:, lane] += more
+        total = np.stack([np.bincount(row, c, minlength=len(rows)) for c in count], 1).astype(np.int64)
         total[[not len(s) for s in rows]] = 0
         return total
 
