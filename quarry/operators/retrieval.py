@@ -7,14 +7,24 @@ follows a slice works on at most 2 k rows. Scores are rounded so that an order i
 
 from __future__ import annotations
 
+import hashlib
 import math
-
+import threading
+import time
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 6
 #: The margin by which filtered results may win, the least and the usual largest boost.
 MARGIN, FLOOR, CEILING = 1.05, 1.02, 1.25
+#: Results a probe asks for, bounds of the number of probes, seconds a slice may take.
+PROBE_RESULTS, FEWEST_PROBES, MOST_PROBES, DEADLINE = 100, 5, 10, 5.0
 MAX_QUERY, DEFAULT_RESULTS, FALLBACK_RESULTS, MOST_RESULTS = 10_000, 25, 5, 100
 
 
@@ -32,8 +42,8 @@ def cosine(vector: str, query: list[float]) -> Column:
 
 
 def top_k(df: DataFrame, k: int, key: str = "vec_id", score: str = "score") -> DataFrame:
-    """The k best rows; ties to the smaller key."""
-    return df.where(F.col(score).isNotNull()).orderBy(F.desc(score), key).limit(k)
+    """The k best rows with a score that is a number; ties to the smaller key."""
+    return df.where(F.col(score).isNotNull() & ~F.isnan(score)).orderBy(F.desc(score), key).limit(k)
 
 
 def boost(best_filtered: Column, best_unfiltered: Column, ceiling: float) -> Column:
@@ -72,6 +82,116 @@ def multislice(df: DataFrame, vector: str, query: list[float], k: int, predicate
     return merged(slices(df, vector, query, k, predicate, key), k, ceiling, key)
 
 
+def merged_rows(df: DataFrame, rows: dict[str, list], schema, k: int, ceiling: float, key: str) -> DataFrame:
+    """merged() over the collected rows of slices, k each at most."""
+    found = [r for name in sorted(rows) for r in rows[name]]
+    return merged(df.sparkSession.createDataFrame(found, schema), k, ceiling, key)
+
+
+def within(df: DataFrame, jobs: dict[str, Callable[[], list]], seconds: float) -> dict[str, list]:
+    """What the jobs return that end within so many seconds; the Spark jobs of the others are cancelled, and jobs that fail are left out.
+
+    Each job runs in a thread of its own under a tag, so that cancelling one leaves the others and whatever else the session runs alone.
+    """
+    context, done, run = df.sparkSession.sparkContext, {}, uuid.uuid4().hex
+    end, threads = time.monotonic() + seconds, {}
+
+    def work(name: str) -> None:
+        context.addJobTag(f"{run}-{name}")
+        try:
+            done[name] = jobs[name]()
+        except Exception:  # noqa: BLE001, S110 -- a slice that fails or is cancelled is skipped
+            pass
+
+    for name in jobs:
+        threads[name] = threading.Thread(target=work, args=(name,), daemon=True)
+        threads[name].start()
+    for name, thread in threads.items():
+        thread.join(max(0.0, end - time.monotonic()))
+        if thread.is_alive():
+            context.cancelJobsWithTag(f"{run}-{name}")
+    return dict(done)
+
+
+def multislice_within(df: DataFrame, vector: str, query: list[float], k: int, predicate: Column | None = None, seconds: float = DEADLINE, ceiling: float = CEILING, key: str = "vec_id") -> DataFrame:
+    """multislice() with a deadline: the slices run as jobs side by side, and one that fails or is late is skipped.
+
+    At most k rows a slice come to the driver. Where both slices are there in time, the result is that of multislice(); where one is, the merge of that one alone;
+    where none is, no row. Without a predicate there is one slice and no merge.
+    """
+    scored = df.withColumn("score", cosine(vector, query)).drop(vector)
+    plans = {"unfiltered": top_k(scored, k, key)}
+    if predicate is not None:
+        plans["filtered"] = top_k(df.withColumn("score", cosine(vector, query)).where(predicate).drop(vector), k, key)
+    named = {name: plan.withColumn("slice", F.lit(name)).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), key))) for name, plan in plans.items()}
+    rows = within(df, {name: plan.collect for name, plan in named.items()}, seconds)
+    schema = named["unfiltered"].schema
+    if predicate is None:
+        return df.sparkSession.createDataFrame(rows.get("unfiltered", []), schema).withColumnRenamed("pos", "rank")
+    return merged_rows(df, rows, schema, k, ceiling, key)
+
+
+def search_many(df: DataFrame, vector: str, queries: list[list[float]], k: int, key: str = "vec_id") -> DataFrame:
+    """(query, rank, key, score): the k nearest rows of each query in one pass of the table.
+
+    A task multiplies its vectors with all queries at once and keeps the k best rows of each, so that tasks x queries x k rows of three columns are shuffled,
+    whatever the size of the table. Nulls, zero vectors, vectors of another length or with components that are not finite take no part; ties go to the smaller key.
+    """
+    grid = np.array([[float(x) for x in q] for q in queries], dtype=np.float64).reshape(len(queries), -1)
+    width = grid.shape[1]
+    grid = grid / np.maximum(np.sqrt((grid**2).sum(1, keepdims=True)), 1e-300)
+    kind = df.schema[key].dataType.simpleString()
+
+    def best(keys: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        order = np.lexsort((keys, -scores))
+        return order[:k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(grid)
+        for b in batches:
+            rows, keys = b.column(1), b.column(0)
+            fits = pc.fill_null(pc.and_(pc.equal(pc.list_value_length(rows), width), keys.is_valid()), False)
+            rows, keys = rows.filter(fits), keys.filter(fits).to_numpy(zero_copy_only=False)
+            if not len(rows):
+                continue
+            x = pc.cast(rows.flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+            good = np.isfinite(x).all(1) & (x != 0).any(1)
+            x, keys = x[good], keys[good]
+            scores = np.round((x @ grid.T) / np.sqrt((x**2).sum(1, keepdims=True)), DIGITS)
+            for q in range(len(grid)):
+                every, every_score = np.concatenate([held[q][0], keys]), np.concatenate([held[q][1], scores[:, q]])
+                top = best(every, every_score)
+                held[q] = every[top], every_score[top]
+        n = [len(h[0]) for h in held]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(grid)), n), pa.int32()), pa.array(np.concatenate([h[0] for h in held]), pa.int64()), pa.array(np.concatenate([h[1] for h in held]), pa.float64())], names=["query", key, "score"])
+
+    found = df.select(F.col(key).cast("long").alias(key), vector).mapInArrow(run, f"query int, {key} long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", F.col(key).cast(kind).alias(key), "score")
+
+
+def probe_count(most: int) -> int:
+    """Probes for a sample of so many rows: one for each hundred, within bounds."""
+    return min(MOST_PROBES, max(FEWEST_PROBES, most // 100))
+
+
+def probes(most: int, width: int, seed: str = "probe") -> list[list[float]]:
+    """Random directions, the same for one seed: nothing in a corpus is near them, so what they find is spread over it."""
+    number = lambda i: np.frombuffer(hashlib.sha256(f"{seed}/{i}".encode()).digest()[:8], np.uint64)[0]
+    return [np.random.Generator(np.random.PCG64(int(number(i)))).standard_normal(width).tolist() for i in range(probe_count(most))]
+
+
+def probed(df: DataFrame, vector: str, queries: list[list[float]], most: int, key: str = "vec_id", uri: str = "uri", results: int = PROBE_RESULTS) -> DataFrame:
+    """A sample of `most` rows (query, rank, key, uri, score) through probes: the union of their results, each uri once at its first place, blank ones never.
+
+    The order is that of the probes and of the ranks within them. df holds key, vector and uri.
+    """
+    found = search_many(df, vector, queries, results, key)
+    with_uri = found.join(df.select(key, uri), key).where(F.coalesce(F.trim(uri), F.lit("")) != "")
+    one = with_uri.groupBy(uri).agg(F.min(F.struct("query", "rank", key, "score")).alias("m")).select("m.query", "m.rank", f"m.{key}", uri, "m.score")
+    return one.orderBy("query", "rank").limit(most)
+
+
 def first_of(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key; rows whose key is null or blank stay."""
     blank = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == ""

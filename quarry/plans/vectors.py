@@ -107,3 +107,38 @@ def id_fallback(embeddings, documents):
 @query("embeddings")
 def sample_hash(embeddings):
     return R.sample(embeddings.select("vec_id", "label"), "vec_id", 100, seed=1)
+
+
+#: The probes of the queries: the vectors of the five rows whose id has the smallest digest.
+PROBES = "SELECT vec_id, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR))) - 1 AS query, CAST(embedding AS DOUBLE[]) AS w FROM embeddings QUALIFY query < 5"
+PROBED = f"""WITH p AS ({PROBES}), e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT query, e.vec_id, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 6) AS score FROM e, p),
+r AS (SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= {{k}})
+"""
+
+
+def _probes(embeddings: DataFrame) -> list[list[float]]:
+    """Five vectors: five rows come to the driver."""
+    rows = embeddings.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(5).select("embedding").collect()
+    return [[float(x) for x in r[0]] for r in rows]
+
+
+@query("embeddings", sql=PROBED.format(k=K) + "SELECT CAST(query AS INTEGER) AS query, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r")
+def search_many(embeddings):
+    return R.search_many(embeddings, "embedding", _probes(embeddings), K)
+
+
+@query("embeddings", sql=PROBED.format(k=R.PROBE_RESULTS) + """, u AS (SELECT query, rank, vec_id, score, 'content/' || (vec_id // 2) || '/text' AS uri FROM r),
+d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY uri ORDER BY query, rank) = 1)
+SELECT CAST(query AS INTEGER) AS query, CAST(rank AS INTEGER) AS rank, vec_id, uri, score FROM d ORDER BY query, rank LIMIT 300""")
+def sample_probes(embeddings):
+    """Two vectors each lie under one address, as chunks do."""
+    uri = F.concat(F.lit("content/"), F.floor(F.col("vec_id") / 2).cast("string"), F.lit("/text"))
+    return R.probed(embeddings.select("vec_id", "embedding", uri.alias("uri")), "embedding", _probes(embeddings), 300)
+
+
+@query("embeddings", sql=_merged_sql("label = 3", 1.25))
+def multislice_deadline(embeddings):
+    """Both slices in time give what the search without a deadline gives."""
+    found = R.multislice_within(embeddings, "embedding", _vector(embeddings), K, compiled({"label": {"$eq": 3}}, embeddings.schema), seconds=600.0)
+    return found.select("vec_id", "label", "slice", "score", "rank")
