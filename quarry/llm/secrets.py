@@ -2,7 +2,7 @@
 
 A candidate is a whole run of MIN_LENGTH token characters or more, however long, with a digit in it or a known prefix; behind an
 assignment to a secret's name ("password=", "token: ") a run of MIN_ASSIGNED characters or more, with or without a digit.
-Local parts of mail addresses are none, passwords in URLs (scheme://user:password@host) are. Its features are its
+Local parts of mail addresses are none, passwords in URLs (scheme://user:password@host, users of up to 4,096 characters) are. Its features are its
 length, the changes between character classes, the part that dictionary words cover, the
 path of its document and the words next to it. A random forest trained on labelled findings
 (candidate, path, before, lead, after, label) decides; the trees are written out as SQL
@@ -43,7 +43,8 @@ TOKEN = "[A-Za-z0-9_/+.-]"
 #: White space beside the blank, between words.
 WHITE = "\\t\\n\\r\\f"
 #: The local part of a mail address; the same form behind scheme://user: is a password.
-MAIL = rf"(?:(?!{TOKEN}+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{{2}})|(?<=://[^\s/:@]{{0,255}}:))"
+#: One class and no repeated group, which would recurse once a label.
+MAIL = rf"(?:(?!{TOKEN}+@[A-Za-z0-9-][A-Za-z0-9.-]*[.][A-Za-z]{{2}})|(?<=://[^\s/:@]{{0,4096}}:))"
 RUN = lambda least: rf"[A-Za-z0-9]{TOKEN}{{{least - 2},}}[A-Za-z0-9_/+](?![A-Za-z0-9_/+]|{TOKEN}*[A-Za-z0-9])"
 CANDIDATE = rf"(?<!{TOKEN})(?={TOKEN}*[0-9]|{KNOWN}){MAIL}{RUN(MIN_LENGTH)}"
 #: What assigns to a secret's name, and shorter runs behind it: in one word, or at the start of a word.

@@ -86,3 +86,13 @@ def test_secrets_are_masked_where_they_stand(spark, forest):
     df = spark.createDataFrame(rows, "doc_id long, text string, secrets array<struct<candidate:string,word:int,score:double,secret:boolean>>")
     out = {r.doc_id: r.text for r in secrets.masked(df).collect()}
     assert out == {1: " a [SECRET] [SECRET]", 2: f"{short}\t\n [SECRET]", 3: "k=[SECRET],[SECRET];", 4: None, 5: "plain  text "}
+
+
+def test_very_long_words_of_every_kind(spark, forest):
+    """Words of a megabyte do not overflow the stack of the pattern engine; long user names stand before passwords."""
+    signs = ["a", "1", ".", "-", "_", "/", "+", "@", ":", "=", "a.", "a1.", "a@", "@a.", "x=", "://a:", "é", "'"]
+    rows = [(i, f"x abcdefgh12345678@{s * (1_000_000 // len(s))}") for i, s in enumerate(signs)] + [(100 + i, s * (1_000_000 // len(s))) for i, s in enumerate(signs)]
+    rows += [(200, f"connect postgres://{'u' * 3000}:S3cr3tPassw0rd99@db.example.com/x"), (300, f"x abcdefgh12345678@{'ab.' * 300_000}com")]
+    out = {r.doc_id: r for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string"), forest).selectExpr("doc_id", "secrets.candidate as c").collect()}
+    assert len(out) == len(rows) and any("S3cr3tPassw0rd99" in c for c in out[200].c)
+    assert out[300].c == []  # the local part of a mail address with very many labels
