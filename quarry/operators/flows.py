@@ -5,7 +5,7 @@ Each is a join, an aggregate or a projection over whole tables; what a service d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
@@ -158,9 +158,13 @@ def rebuilt(content: DataFrame, texts: DataFrame, batch: int = 10) -> tuple[Data
 
 
 def tallies(rows: DataFrame, by: str) -> DataFrame:
-    """(by, processed_count, error_count, last_errors) of rows with document_id and error: the five last messages by id."""
-    last = F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("document_id", "error"))), asc=False)
-    return rows.groupBy(by).agg(F.count("*").alias("processed_count"), F.count("error").alias("error_count"), F.array_join(F.transform(F.slice(last, 1, MAX_MESSAGES), lambda x: x["error"]), " | ").alias("last_errors"))
+    """(by, processed_count, error_count, last_errors) of rows with document_id and error: the five last messages by id. Tasks keep five of each group."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("processed_count"), F.count("error").alias("error_count"))
+    newest = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("document_id"), F.desc("error")))
+    last = rows.where("error is not null").select(by, "document_id", "error").withColumn("_k", newest).where(F.col("_k") <= MAX_MESSAGES)
+    said = last.groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list(F.struct("_k", "error"))).alias("_last"))
+    text = F.coalesce(F.array_join(F.transform("_last", lambda x: x["error"]), " | "), F.lit(""))
+    return counts.join(said, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "processed_count", "error_count", text.alias("last_errors"))
 
 
 def may_reprocess(status: Column, kind: Column, reindex: bool = False) -> Column:

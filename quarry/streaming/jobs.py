@@ -141,3 +141,39 @@ def quotas(calls: DataFrame, limit: int, days: int | None = None) -> DataFrame:
     `days` (QUOTA_DAYS) is for queries that run on: state with an age needs processing time, under which a drained query does not end.
     """
     return calls.groupBy("user_id", "day").transformWithStateInPandas(Quota(limit, days), "user_id string, call_id long, admitted boolean", "Append", "ProcessingTime" if days else "None")
+
+
+def spoken(words: DataFrame, size: int = 30, late: str = "1 hour") -> DataFrame:
+    """(media, segment_index, text, word_count, speaker) of words (media, id, start, word, speaker), start in seconds: each window anew whenever words have come for it.
+
+    A window's words are joined in the order of their starts and ids; its speaker is who says most of them, of several who speaks first. Words that come when
+    their medium's clock is `late` further are dropped, and windows leave the state. Runs in update mode: a sink keeps the last row of each window.
+    """
+    rows = words.where("start is not null").withColumn("at", F.timestamp_seconds("start")).withWatermark("at", late)
+    every = F.array_sort(F.collect_list(F.struct("start", "id", "word", "speaker"))).alias("w")
+    said = rows.groupBy("media", F.window("at", f"{size} seconds").alias("t")).agg(every)
+    speakers = F.transform(F.filter("w", lambda x: x["speaker"].isNotNull()), lambda x: x["speaker"])
+    counts = F.transform(F.array_distinct("s"), lambda x: F.struct((-F.size(F.filter("s", lambda y: y == x))).alias("n"), F.array_position("s", x).alias("first"), x.alias("speaker")))
+    out = said.withColumn("s", speakers).withColumn("_best", F.array_min(counts))
+    index = F.floor(F.unix_seconds(F.col("t.start")) / size).alias("segment_index")
+    return out.select("media", index, F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"), F.size("w").cast("long").alias("word_count"), F.col("_best.speaker").alias("speaker"))
+
+
+class Transcripts:
+    """The windows of spoken() by micro-batch below a folder, and the index rows of all media from the last row of each window."""
+
+    def __init__(self, spark: SparkSession, folder: str, size: int = 30):
+        self.spark, self.folder, self.size = spark, folder, size
+
+    def take(self, words: DataFrame, late: str = "1 hour") -> None:
+        """Takes what has arrived; a micro-batch that is repeated replaces its rows."""
+        drained(spoken(words, self.size, late), f"{self.folder}/cursor", lambda batch, n: batch.write.mode("overwrite").parquet(f"{self.folder}/windows/batch={n}"), "update")
+
+    def segments(self) -> DataFrame:
+        """(media, segment_index, timestamp_start, timestamp_end, text, word_count, speaker, uri) up to each medium's last word, silent windows too."""
+        rows = self.spark.read.option("basePath", f"{self.folder}/windows").parquet(f"{self.folder}/windows/batch=*")
+        last = rows.groupBy("media", "segment_index").agg(F.max_by(F.struct("text", "word_count", "speaker"), "batch").alias("x")).select("media", "segment_index", "x.*")
+        every = last.groupBy("media").agg(F.max("segment_index").alias("n")).select("media", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("segment_index"))
+        out = every.join(last, ["media", "segment_index"], "left")
+        uri = F.concat(F.lit("content/"), F.col("media").cast("string"), F.lit("/segment-"), F.lpad(F.col("segment_index").cast("string"), 3, "0"), F.lit(".txt"))
+        return out.select("media", "segment_index", (F.col("segment_index") * self.size).alias("timestamp_start"), ((F.col("segment_index") + 1) * self.size).alias("timestamp_end"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("word_count", F.lit(0)).cast("long").alias("word_count"), "speaker", uri.alias("uri"))
