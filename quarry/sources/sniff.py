@@ -1,45 +1,107 @@
-"""File types by content, as column expressions: a confidence per format, and the first format that is sure enough."""
+"""File types by content, as column expressions: a confidence per format, and the first format that is sure enough.
+
+Only archives are looked into by a Pandas UDF, which reads their directory and no more than one small entry; other rows pass it as nulls.
+"""
 
 from __future__ import annotations
 
+import io
+import zipfile
 from functools import reduce
 from operator import add
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEAD = 4096
-#: Leading bytes of media and archives (place, hexadecimal digits, type).
-MAGIC = [(1, "1A45DFA3", "webm"), (1, "494433", "mp3"), (1, "FFFB", "mp3"), (1, "FFF3", "mp3"), (1, "FFF2", "mp3"), (1, "4F676753", "ogg"), (1, "664C6143", "flac"), (5, "66747970", "mp4")]
+#: The type that an extension stands for.
+EXTENSIONS = {"html": "html", "htm": "html", "json": "json", "xml": "xml", "csv": "csv", "tsv": "csv", "txt": "txt", "eml": "eml", "epub": "epub", "docx": "docx", "xlsx": "xlsx", "mp4": "video", "mov": "video", "webm": "video", "m4v": "video", "mp3": "audio", "wav": "audio", "m4a": "audio", "ogg": "audio", "oga": "audio", "flac": "audio"}
+#: Brands of ISO media files that are video and audio, second bytes of an MPEG audio frame.
+VIDEO_BRANDS, AUDIO_BRANDS, FRAMES = ["isom", "iso2", "mp41", "mp42", "avc1", "qt  ", "M4V "], ["M4A ", "M4B ", "mp4a"], ["FB", "FA", "F3", "F2", "E3", "E2"]
+#: Elements of HTML that are counted, marks of HTML that are no XML, header fields of mails.
 HTML_TAGS = ["div", "p", "span", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol", "li", "a", "img"]
 HTML_ONLY = ["<!doctype", "<html", "<head", "<body", "<div", "<span", "<p>", "</p>"]
 MAIL_REQUIRED = ["from", "to", "subject"]
 MAIL_OPTIONAL = ["date", "cc", "bcc", "reply-to", "message-id", "mime-version", "content-type"]
 
 
+def result(kind: str | Column, confidence: float | Column) -> Column:
+    """struct(type, confidence)."""
+    value = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(value(kind).cast("string").alias("type"), value(confidence).cast("double").alias("confidence"))
+
+
+def hint(filename: Column) -> Column:
+    """The type that the extension stands for, or null."""
+    extension = F.lower(F.regexp_extract(filename, "[^/][.]([^./]*)$", 1))
+    return F.element_at(F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair)), extension)
+
+
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8 where they are valid, else as Latin-1."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def media(content: Column) -> Column:
-    """The media type of the leading bytes, or null."""
-    at = lambda pos, digits: F.hex(F.substring(content, pos, len(digits) // 2)) == digits
-    out = F.when(at(1, "52494646") & at(9, "57415645"), "wav")
-    for pos, digits, kind in MAGIC:
-        out = out.when(at(pos, digits), kind)
-    return out
+def media(content: Column, hinted: Column | None = None) -> Column:
+    """result() by the leading bytes, by the extension alone where they say nothing, or null."""
+    hinted = F.lit(None).cast("string") if hinted is None else hinted
+    at = lambda pos, text: F.substring(content, pos, len(text)) == F.lit(text.encode("latin-1"))
+    of = lambda kind: F.coalesce(hinted == kind, F.lit(False))
+    head = F.decode(F.substring(content, 1, 64), "ISO-8859-1")
+    brand = F.decode(F.substring(content, 9, 4), "ISO-8859-1")
+    base = at(5, "ftyp") & (F.length(content) >= 12)
+    container, ogg = at(1, "\x1a\x45\xdf\xa3"), at(1, "OggS")
+    has = lambda text: F.contains(head, F.lit(text))
+    out = F.when(base & brand.isin(VIDEO_BRANDS), result("video", 0.95)).when(base & brand.isin(AUDIO_BRANDS), result("audio", 0.95))
+    out = out.when(base & of("audio"), result("audio", 0.85)).when(base & of("video"), result("video", 0.85)).when(base, result("video", 0.8))
+    out = out.when(container & has("webm"), result("video", 0.95)).when(container & of("audio"), result("audio", 0.8)).when(container, result("video", 0.8))
+    out = out.when(at(1, "ID3"), result("audio", 0.95)).when(at(1, "\xff") & F.hex(F.substring(content, 2, 1)).isin(FRAMES), result("audio", 0.9))
+    out = out.when(at(1, "RIFF") & at(9, "WAVE"), result("audio", 0.95))
+    out = out.when(ogg & (has("vorbis") | has("OpusHead")), result("audio", 0.95)).when(ogg & has("theora"), result("video", 0.95)).when(ogg & of("video"), result("video", 0.8)).when(ogg, result("audio", 0.8))
+    return out.when(at(1, "fLaC"), result("audio", 0.95)).when(hinted.isin("video", "audio"), result(hinted, 0.6))
 
 
 def is_zip(content: Column) -> Column:
     return F.hex(F.substring(content, 1, 4)) == "504B0304"
 
 
+def archive_kind(file) -> tuple[str, float] | None:
+    """epub, xlsx or docx, by the directory at the end of an open archive and its list of content types; None for others and damaged ones.
+
+    A file that can seek is read at its end and at that one entry only.
+    """
+    try:
+        with zipfile.ZipFile(file) as archive:
+            names = archive.namelist()
+            if "META-INF/container.xml" in names:
+                return "epub", 0.95
+            if "[Content_Types].xml" in names:
+                try:
+                    types = archive.read("[Content_Types].xml").decode("utf-8")
+                except UnicodeDecodeError:
+                    types = ""
+                for kind, marks in (("xlsx", ("spreadsheetml", "xl/workbook.xml")), ("docx", ("wordprocessingml", "word/document.xml"))):
+                    if any(m in types for m in marks):
+                        return kind, 0.95
+            for kind, folder in (("xlsx", "xl/"), ("docx", "word/")):
+                if any(n.startswith(folder) for n in names):
+                    return kind, 0.9
+    except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError, RuntimeError):
+        pass
+    return None
+
+
+@F.pandas_udf(T.StructType([T.StructField("type", T.StringType()), T.StructField("confidence", T.DoubleType())]))
+def _archive_kinds(content: pd.Series) -> pd.DataFrame:
+    found = [None if x is None else archive_kind(io.BytesIO(x)) for x in content]
+    return pd.DataFrame([x or (None, None) for x in found], columns=["type", "confidence"])
+
+
 def zip_kind(content: Column) -> Column:
-    """epub, xlsx or docx by the names that stand uncompressed in an archive; null for others."""
-    text = F.decode(content, "ISO-8859-1")
-    has = lambda s: F.contains(text, F.lit(s))
-    return F.when(is_zip(content), F.when(has("application/epub+zip") | has("META-INF/container.xml"), "epub").when(has("xl/workbook.xml"), "xlsx").when(has("word/document.xml"), "docx"))
+    """result() of an archive of which archive_kind() knows the type; others have a null type."""
+    return _archive_kinds(F.when(is_zip(content), content))
 
 
 def html(text: Column) -> Column:
@@ -85,31 +147,46 @@ def mail(text: Column) -> Column:
 
 
 def csv(text: Column) -> Column:
-    """A delimiter that occurs equally often, once at least, in four of five lines."""
-    lines = F.filter(F.slice(F.split(text, "\r?\n"), 1, 20), lambda x: F.trim(x) != "")
-    n = F.size(lines)
-
-    def even(mark: str) -> Column:
-        counts = F.transform(lines, lambda x: F.length(F.regexp_replace(x, '"[^"]*"', "")) - F.length(F.replace(F.regexp_replace(x, '"[^"]*"', ""), F.lit(mark), F.lit(""))))
-        first = F.get(counts, F.lit(0))
-        return (first > 0) & (F.size(F.filter(counts, lambda c: c == first)) >= n * 0.8)
-
-    some = reduce(lambda a, b: a | b, [even(m) for m in (",", "\t", ";", "|")])
-    head = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    return F.when(~F.coalesce(some, F.lit(False)), 0.0).when(n < 3, 0.5).when(~head.rlike("[0-9]"), 0.85).otherwise(0.7)
+    """A delimiter that all of the first five lines have equally often; as many columns in four of five rows, whatever their number; a head of short cells."""
+    solid = F.regexp_replace(text, "^\\s+|\\s+$", "")
+    filled = F.filter(F.split(solid, "\n"), lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")) != "")
+    first_five = F.filter(F.slice(F.split(solid, "\n"), 1, 5), lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")) != "")
+    # two arguments would make a function of value and index
+    times = lambda mark: lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
+    marks = {",": ",", "\t": "\t", ";": ";", "|": "[|]"}
+    even = []
+    for place, mark in enumerate(marks):
+        counts = F.transform(first_five, times(mark))
+        even.append(F.struct(F.when((F.array_min(counts) > 0) & (F.array_min(counts) == F.array_max(counts)), -F.array_min(counts)).otherwise(0).alias("n"), F.lit(place).alias("place")))
+    best = F.array_min(F.array(*even))
+    out = F.lit(0.0)
+    for place, (mark, pattern) in enumerate(marks.items()):
+        # quoted fields hold no delimiters and no ends of rows; two quotes are one
+        bare = F.regexp_replace(F.replace(text, F.lit('""'), F.lit("")), f'(?m)(^|{pattern})"[^"]*"', "$1")
+        rows = F.split(F.regexp_replace(bare, "\r?\n\\z", ""), "\r?\n")
+        columns = F.transform(F.transform(F.filter(rows, lambda x: x != ""), times(mark)), lambda n: n + 1)
+        width = F.get(columns, F.lit(0))
+        steady = F.size(F.filter(columns, lambda c: c == width)) / F.size(columns) >= 0.8
+        cells = F.split(F.regexp_replace(F.get(F.split(text, "\r?\n"), F.lit(0)), '"', ""), pattern)
+        head = (F.get(rows, F.lit(0)) != "") & F.forall(cells, lambda x: (F.length(x) < 50) & ~x.startswith(" "))
+        sure = F.when(F.size(rows) < 2, 0.0).when(~(width >= 2) | ~steady, 0.0).when(F.size(rows) < 3, 0.5).when(head, 0.85).otherwise(0.7)
+        out = F.when((best["place"] == place) & (best["n"] < 0), F.coalesce(sure, F.lit(0.0))).otherwise(out)
+    return F.when((F.size(filled) < 2) | text.rlike("\r[^\n]"), 0.0).otherwise(out)
 
 
 def sniffed(content: Column, filename: Column) -> Column:
-    """struct(type, confidence). Empty content is txt at 0.5; what is unsure follows the extension, else is txt at 0.7."""
-    text = decoded(content)
-    ext = F.lower(F.regexp_extract(filename, "[.]([^./]*)$", 1))
-    result = lambda kind, c: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), F.lit(c).cast("double").alias("confidence") if isinstance(c, float) else c.cast("double").alias("confidence"))
-    scores = {"html": html(text), "xml": xml(text), "json": json(text), "eml": mail(text)}
-    table = F.when(ext == "txt", 0.0).otherwise(csv(text))
-    out = F.when(content.isNull() | (F.length(content) == 0), result("txt", 0.5)).when(media(content).isNotNull(), result(media(content), 0.95)).when(zip_kind(content).isNotNull(), result(zip_kind(content), 0.95))
-    for kind, least in (("html", 0.8), ("xml", 0.8), ("json", 0.8), ("eml", 0.7)):
-        out = out.when(scores[kind] >= least, result(kind, scores[kind]))
-    out = out.when(table >= 0.7, result("csv", table))
-    for kind in ("html", "xml", "json", "eml"):
-        out = out.when((scores[kind] > 0) & (ext == kind), result(kind, scores[kind]))
-    return out.when((table > 0) & ext.isin("csv", "tsv"), result("csv", table)).when(ext.isin("html", "xml", "json", "csv", "eml", "md", "pdf"), result(ext, 0.6)).otherwise(result("txt", 0.7))
+    """struct(type, confidence): media, archives, the formats of text that are sure enough, those that are likely, the extension.
+
+    Empty content is txt at 0.5, all that nothing else fits txt at 0.7.
+    """
+    text, hinted = decoded(content), hint(filename)
+    of = lambda kind: F.coalesce(hinted == kind, F.lit(False))
+    played, packed = media(content, hinted), zip_kind(content)
+    page, tree, value, letter, table = html(text), xml(text), json(text), mail(text), csv(text)
+    out = F.when(content.isNull() | (F.length(content) == 0), result("txt", 0.5)).when(played.isNotNull(), played).when(packed["type"].isNotNull(), packed)
+    for kind, sure, least in (("html", page, 0.8), ("xml", tree, 0.8), ("json", value, 0.8), ("eml", letter, 0.7)):
+        out = out.when(sure >= least, result(kind, sure))
+    out = out.when(~of("txt") & (table >= 0.7), result("csv", table))
+    out = out.when((page >= 0.5) & of("html"), result("html", F.greatest(page, F.lit(0.7)))).when(page >= 0.5, result("html", page)).when((page >= 0.4) & of("html"), result("html", F.greatest(F.round(page + 0.3, 6), F.lit(0.7))))
+    out = out.when(tree >= 0.6, result("xml", tree)).when((tree >= 0.4) & of("xml"), result("xml", F.greatest(F.round(tree + 0.3, 6), F.lit(0.7)))).when(value >= 0.5, result("json", value))
+    return out.when(of("csv") & (table >= 0.5), result("csv", table)).when(hinted.isNotNull() & ~of("txt"), result(hinted, 0.6)).otherwise(result("txt", 0.7))

@@ -36,8 +36,8 @@ SAMPLES = [
     ("b.epub", EPUB, "epub", "# Tale\n\n# One\n\nOnce."),
     ("latin.txt", "café".encode("latin-1"), "txt", "café"),
     ("empty.bin", b"", "txt", ""),
-    ("song", b"ID3\x03rest", "mp3", "ID3"),
-    ("clip", b"\0\0\0\x18ftypmp42", "mp4", ""),
+    ("song", b"ID3\x03rest", "audio", "ID3"),
+    ("clip", b"\0\0\0\x18ftypmp42", "video", ""),
 ]
 
 
