@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import readers, sniff
+from ..session import scratch
+from ..sources import keyed, readers, sniff
 from .registry import query
 
 
@@ -157,3 +158,15 @@ def sniff_csv(documents):
     others = F.when(k % 7 == 0, (F.lit(5) - k % 5) * 4).otherwise(0)  # of twenty rows below the first six
     body = F.concat(F.repeat(F.concat(F.lit("\n"), row), F.when(k % 7 == 2, 1).otherwise(5)), F.when(k % 7 == 2, "").otherwise(F.concat(F.repeat(F.concat(F.lit("\n"), row), F.lit(20) - others), F.repeat(F.concat(F.lit("\n"), row, mark, word), others))))
     return documents.select("doc_id", sniff.csv(F.concat(head, body)).cast("double").alias("confidence"))
+
+
+@query("documents", sql="""WITH d AS (SELECT doc_id, encode(CASE WHEN lang = 'de' THEN 'replaced' ELSE coalesce(text, '') END) AS body FROM documents)
+SELECT doc_id, octet_length(body) AS length, md5(body[1:4096]) AS head_md5, CAST(least(octet_length(body), 4096) AS BIGINT) AS bytes_read FROM d""")
+def keyed_files(documents):
+    """A file for each document, those of one language written again in place, and the heads of all of them read back."""
+    folder = scratch(documents.sparkSession, "keyed")
+    rows = documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("key"), "text", "lang")
+    keyed.write_keyed(rows, folder, "key")
+    keyed.write_keyed(rows.where("lang = 'de'").withColumn("text", F.lit("replaced")), folder, "key")
+    out = keyed.heads(documents.sparkSession, folder)
+    return out.select(F.regexp_extract("path", r"/(-?\d+)\.txt$", 1).cast("long").alias("doc_id"), "length", F.md5("head").alias("head_md5"), "bytes_read")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import chat
 from ..operators import retrieval as R
 from ..operators.filters import compiled
 from .registry import query
@@ -142,3 +143,32 @@ def multislice_deadline(embeddings):
     """Both slices in time give what the search without a deadline gives."""
     found = R.multislice_within(embeddings, "embedding", _vector(embeddings), K, compiled({"label": {"$eq": 3}}, embeddings.schema), seconds=600.0)
     return found.select("vec_id", "label", "slice", "score", "rank")
+
+
+@query("conversations", "embeddings", "documents", sql="""WITH asked AS (SELECT conv_id * 1000 + turn AS request_id, conv_id, turn, text FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+q AS (SELECT * FROM asked ORDER BY request_id LIMIT 60),
+before AS (SELECT conv_id, turn, role FROM conversations JOIN (SELECT conv_id, max(turn) AS t FROM q GROUP BY conv_id) USING (conv_id) WHERE turn < t),
+h AS (SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS history FROM (SELECT * FROM before WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) GROUP BY conv_id),
+l AS (SELECT conv_id, max(turn) AS last FROM before GROUP BY conv_id),
+good AS (SELECT * FROM q WHERE text <> ''), u AS (SELECT *, row_number() OVER (PARTITION BY conv_id % 7 ORDER BY request_id) AS mine FROM good), g AS (SELECT request_id, row_number() OVER (ORDER BY request_id) AS k FROM u WHERE mine <= 6),
+v AS (SELECT request_id, CAST(embedding AS DOUBLE[]) AS w FROM good JOIN embeddings ON vec_id = conv_id), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT request_id, vec_id, round(list_dot_product(e.v, w) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(w, w))), 6) AS score FROM e, v),
+r AS (SELECT request_id, vec_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5),
+c AS (SELECT request_id, string_agg('[Source: ' || coalesce(source, 'unknown') || ']' || chr(10) || coalesce(substr(text, 1, 100), ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_chunks FROM r LEFT JOIN documents ON doc_id = vec_id GROUP BY request_id)
+SELECT good.request_id, coalesce(last, 0) + 1 AS turn, coalesce(history, '') AS history, CASE WHEN coalesce(g.k <= 30, false) THEN 'primary' ELSE 'fallback' END AS model, coalesce(n_chunks, 0) AS n_chunks, md5(coalesce(context, '')) AS context_md5
+FROM good LEFT JOIN g USING (request_id) LEFT JOIN h USING (conv_id) LEFT JOIN l USING (conv_id) LEFT JOIN c USING (request_id)""")
+def chat_answers(conversations, embeddings, documents):
+    """The last questions of sixty conversations with their histories, models, contexts and turn numbers; a user asks in every seventh conversation."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    last = conversations.where("role = 'user'").withColumn("_k", k).where("_k = 1").withColumn("request_id", F.col("conv_id") * 1000 + F.col("turn")).orderBy("request_id").limit(60)
+    vectors = embeddings.select(F.col("vec_id").alias("conv_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    name = F.concat(F.lit("c"), "conv_id")
+    questions = last.join(vectors, "conv_id", "left").select("request_id", name.alias("conversation_id"), F.concat(F.lit("u"), F.col("conv_id") % 7).alias("user_id"), F.lit("2024-01-01").alias("day"), F.col("text").alias("query"), "embedding")
+    before = conversations.join(last.select("conv_id", F.col("turn").alias("_t")), "conv_id").where("turn < _t")
+    turns = before.select(name.alias("conversation_id"), "turn", F.lit(-1).cast("long").alias("request_id"), F.col("text").alias("question"), F.col("role").alias("answer"), F.when(F.col("role") == "system", "ERROR").otherwise("COMPLETED").alias("status"))
+    chunks = embeddings.select("vec_id", "embedding").join(documents.select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 100).alias("text"), "source"), "vec_id", "left")
+    out = chat.answered(questions, turns, chunks, user_limit=6, global_limit=30)
+    history = F.array_join(F.transform("history", lambda x: x["turn"].cast("string")), ",")
+    return out.where("error is null").select("request_id", "turn", history.alias("history"), "model", "n_chunks", F.md5("context").alias("context_md5"))
