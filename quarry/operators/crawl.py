@@ -22,7 +22,7 @@ def frontier(links: DataFrame, seeds: DataFrame, allowed: Column | None = None,
     A step per depth: a join with the links, a distinct, an anti-join with what is visited. Each step is checkpointed, so that
     plans stay small and a lost executor costs one step. The page budget takes shallower pages first, then by url.
     """
-    graph = (links if allowed is None else links.where(allowed)).select("src", "dst").distinct()
+    graph = checkpointed((links if allowed is None else links.where(allowed)).select("src", "dst").distinct())  # read once a depth, made once
     visited = checkpointed(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     newest = visited
     for depth in range(1, max_depth + 1):

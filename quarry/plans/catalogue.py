@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import filtering, flows, formats, relational, streams, texts, vectors  # noqa: F401
+from . import filtering, flows, formats, records, relational, streams, texts, vectors  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
