@@ -143,7 +143,7 @@ def shingle_hashes(off: np.ndarray, words: np.ndarray, width: int = SHINGLE, sho
 
 
 def range_id(df: DataFrame, key: str, tie: str, parts: int) -> Column:
-    """An id from 0 to parts - 1 that rises with (integer key, 64-bit tie), nulls first; the same for the same rows, however they are dealt over partitions.
+    """An id from 0 to parts - 1 that rises with (integer key, 64-bit tie), nulls first and among themselves by tie; the same for the same rows, however they are dealt over partitions.
 
     The bounds are quantiles of a sample that a hash of key and tie chooses (equal rows count once and by their number): about 64 rows a part,
     fewer beyond RANGE_SAMPLE rows in all. They are looked up by bisection in whole integers.
@@ -151,22 +151,26 @@ def range_id(df: DataFrame, key: str, tie: str, parts: int) -> Column:
     n = df.count() if parts > 1 else 0
     each = max(4, min(64, RANGE_SAMPLE // parts))
     some = df.where(F.pmod(F.xxhash64(F.lit(17), key, tie), F.lit(max(1, n // (parts * each)))) == 0) if n else df.limit(0)
-    rows = some.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("k"), F.col(tie).alias("t")).count().toPandas().sort_values(["k", "t"])
+    none = F.col(key).isNull().alias("none")
+    rows = some.groupBy(none, F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("k"), F.coalesce(F.col(tie), F.lit(0)).alias("t")).count().toPandas()
     if not len(rows):
         return F.lit(0)
+    rows = rows.sort_values(["none", "k", "t"], ascending=[False, True, True])
     upto = rows["count"].cumsum().to_numpy()
     at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts, side="right"))
-    keys, ties = (rows[c].to_numpy(np.int64)[at[at < len(rows)]] for c in ("k", "t"))
+    bounds = rows.iloc[at[at < len(rows)]]
+    nulls = bounds["t"][bounds["none"]].to_numpy(np.int64)
+    keys, ties = (bounds[c][~bounds["none"]].to_numpy(np.int64) for c in ("k", "t"))
 
     @F.pandas_udf("int")
-    def place(k: pd.Series, t: pd.Series) -> pd.Series:
-        k, t = k.to_numpy(np.int64), t.to_numpy(np.int64)
+    def place(is_null: pd.Series, k: pd.Series, t: pd.Series) -> pd.Series:
+        none, k, t = is_null.to_numpy(bool), k.to_numpy(np.int64), t.to_numpy(np.int64)
         out, upto = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
         for i in np.flatnonzero(upto > out):  # few: the key is a bound itself
             out[i] += np.searchsorted(ties[out[i] : upto[i]], t[i], side="right")
-        return pd.Series(out.astype(np.int32))
+        return pd.Series(np.where(none, np.searchsorted(nulls, t, side="right"), out + len(nulls)).astype(np.int32))
 
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(place(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.coalesce(F.col(tie), F.lit(0))))
+    return place(F.col(key).isNull(), F.coalesce(F.col(key).cast("long"), F.lit(0)), F.coalesce(F.col(tie), F.lit(0)))
 
 
 def total_bytes(df: DataFrame, column: str) -> int:

@@ -33,6 +33,8 @@ from .common import kept, range_id, shared_dir, total_bytes
 
 #: A range holds RANGE_BYTES of payload about, its files ROLL_BYTES each after compression.
 ROLL_BYTES, RANGE_BYTES, MIN_REVISIT, DATE = 16 << 20, 256 << 20, 100, "2024-01-01T00:00:00Z"
+#: Tables of less than FEW_RANGES full ranges are dealt over that many, but no range holds less than LEAST_BYTES about.
+FEW_RANGES, LEAST_BYTES = 64, 2 << 20
 #: Characters of a url that stay as they are, fixed.
 PLAIN = ":/?#[]@!$&'()*+,;=%~-._"
 
@@ -66,7 +68,8 @@ def _files(uri: str):
 
 def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES) -> None:
     """The rows of df as WARC files in folder, which must be visible to all executors (any file system that pyarrow opens)."""
-    parts = max(1, -(-total_bytes(df, payload) // range_bytes), min(df.sparkSession.sparkContext.defaultParallelism, 64))
+    size = total_bytes(df, payload)  # the ranges hang on the data alone, never on the cluster
+    parts = max(1, -(-size // range_bytes), min(FEW_RANGES, -(-size // LEAST_BYTES)))
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = df.select(key, url, body.alias("_payload")).withColumn("_digest", F.sha2("_payload", 256)).withColumn("_tie", F.xxhash64(url, "_digest"))
     # which rows are revisits is found without payloads; such marks then travel with the payloads and stand before their rows

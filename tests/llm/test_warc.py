@@ -46,3 +46,22 @@ def test_files_roll_and_follow_very_large_ids_whatever_the_partitions(spark, tmp
     assert keys == sorted(k for k, _, _ in rows)  # over all files in the order of their names
     by_range = [name[:11] for name in got[0]]
     assert len(set(by_range)) > 3 and len(by_range) > 2 * len(set(by_range))  # each range rolls several files
+
+
+def test_null_keys_lie_in_several_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.llm.common import range_id
+
+    df = spark.range(3000).select(F.when(F.col("id") >= 2000, F.col("id") * 2**40).alias("key"), F.xxhash64("id").alias("tie")).repartition(3)
+    rows = df.withColumn("part", range_id(df, "key", "tie", 8)).collect()
+    rows.sort(key=lambda r: (r.key is not None, r.key or 0, r.tie))
+    parts = [r.part for r in rows]
+    assert parts == sorted(parts) and set(parts) == set(range(8))
+    assert max(parts.count(p) for p in set(parts)) < 600
+
+
+def test_ranges_hang_on_the_bytes_alone(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id as page_id", "'u' as url", "repeat(sha2(cast(id as string), 256), 200) as html")
+    warc.write(rows, f"file://{tmp_path}/a")
+    assert len({r.part for r in spark.read.parquet(f"file://{tmp_path}/a/manifest").collect()}) == 3  # 5.1 MB, 2 MB at least in each
