@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, shared_dir, shingle_hashes, sliced, total_bytes, word_hashes
 
 MIN_MATCH, COVERAGE, BLOCK_BYTES, FILTER = 5, 0.6, 8 << 20, 22
-#: Blocks of test items that a worker holds, and bytes of text for which it reads them again if there are more.
+#: Blocks of test items that a worker holds, and bytes of text for which it reads them again if there are more: the text and its word hashes are held for that long.
 BLOCKS_HELD, PASS_BYTES = 4, 64 << 20
 TILES = "array<struct<item_id:bigint,words:int,covered:int,coverage:double,tiles:array<struct<start:int,item_start:int,length:int>>>>"
 
@@ -174,17 +174,27 @@ def tiled(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
     # with more blocks than a worker holds, each is read again for every so many bytes of text
     limit = CHUNK_BYTES if blocks <= BLOCKS_HELD else PASS_BYTES
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in sliced(batches, text, limit):
-            off, words = word_hashes(chunk.column(text))
-            found = [[] for _ in range(chunk.num_rows)]
-            for number in range(blocks):
-                for mine, new in zip(found, Items.of(folder, number, min_match).find(off, words, coverage), strict=True):
+    def searched(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = [[[] for _ in range(chunk.num_rows)] for chunk, _, _ in pieces]
+        for number in range(blocks):
+            for rows, (_, off, words) in zip(found, pieces, strict=True):
+                for mine, new in zip(rows, Items.of(folder, number, min_match).find(off, words, coverage), strict=True):
                     mine += new
+        for rows, (chunk, _, _) in zip(found, pieces, strict=True):
             field = chunk.schema.field(into)
-            found = [sorted(x, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0)) for x in found]
-            chunk = chunk.set_column(chunk.schema.get_field_index(into), field, pa.array(found, field.type))
-            yield from chunk.combine_chunks().to_batches()
+            ordered = [sorted(x, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0)) for x in rows]
+            yield from chunk.set_column(chunk.schema.get_field_index(into), field, pa.array(ordered, field.type)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, size = [], 0
+        for chunk in sliced(batches, text):  # words are hashed CHUNK_BYTES at a time, however many blocks there are
+            pieces.append((chunk, *word_hashes(chunk.column(text))))
+            size += chunk.nbytes
+            if size >= limit:
+                yield from searched(pieces)
+                pieces, size = [], 0
+        if pieces:
+            yield from searched(pieces)
 
     return out.mapInArrow(run, out.schema)
 
