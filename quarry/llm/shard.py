@@ -50,11 +50,11 @@ def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", bucket_byte
     hot = groups.where((F.col("_size") > bucket_bytes // 8) | (F.col("_n") > bucket_rows // 8)).where("_n > 1").select("_h")
     if buckets > 1 and hot.take(1):
         hot = kept(hot, "hot")
-        many = spread.join(F.broadcast(hot), "_h", "left_semi").groupBy(*(c for c, t in spread.dtypes)).count()
+        many = spread.join(hot, "_h", "left_semi").groupBy(*(c for c, t in spread.dtypes)).count()
         many = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {DEALT}"))).alias("_k")).repartition(buckets, "_h", "_k")
         many = many.select("*", F.explode(F.sequence(F.col("_k") * DEALT, F.least((F.col("_k") + 1) * DEALT, F.col("count")) - 1)).alias("_i"))
         many = many.withColumn("_bucket", F.pmod(F.col("_h") % buckets + F.col("_i"), F.lit(buckets)).cast("int")).drop("count", "_k", "_i")
-        rest = spread.join(F.broadcast(hot), "_h", "left_anti").withColumn("_bucket", F.pmod("_h", F.lit(buckets)).cast("int"))
+        rest = spread.join(hot, "_h", "left_anti").withColumn("_bucket", F.pmod("_h", F.lit(buckets)).cast("int"))
         spread = rest.unionByName(many)
     else:
         spread = spread.withColumn("_bucket", F.pmod("_h", F.lit(buckets)).cast("int"))
