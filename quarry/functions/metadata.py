@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_VALUES, MAX_CHARS, MIN_TOKEN = 10, 100, 3
@@ -34,6 +34,16 @@ def expand_all(values: Column) -> Column:
     return F.slice(F.concat(F.filter(every, lambda x: ~F.contains(x, F.lit(" "))), F.filter(every, lambda x: F.contains(x, F.lit(" ")))), 1, MAX_VALUES)
 
 
+def terms(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, terms): what expand_all() gives for the sorted distinct values of each group, with no more than ten terms of each group in one place."""
+    each = df.select(by, value).where(F.col(value).isNotNull()).distinct().select(by, value, F.posexplode(expand(F.col(value))).alias("_i", "_term"))
+    first = each.groupBy(by, "_term").agg(F.min(F.struct(value, "_i")).alias("_at"))
+    phrase = F.contains("_term", F.lit(" "))
+    k = F.row_number().over(Window.partitionBy(by).orderBy(phrase, "_at"))
+    top = first.withColumn("_k", k).where(F.col("_k") <= MAX_VALUES)
+    return top.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_term"))), lambda x: x["_term"]).alias("terms"))
+
+
 def reduce(metadata: Column, level: int, core: list[str] = CORE) -> Column:
     """map<string,array<string>>: 1 as it is, 2 with other than core values cut to three, 3 core keys only."""
     if level <= 1:

@@ -137,8 +137,7 @@ u AS (SELECT p_brand, flatten(list(terms_out ORDER BY v)) AS t FROM e GROUP BY p
 o AS (SELECT p_brand, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM u)
 SELECT p_brand, array_to_string(list_concat(list_filter(t, lambda x: NOT contains(x, ' ')), list_filter(t, lambda x: contains(x, ' ')))[1:10], '|') AS terms FROM o""")
 def normalize_list(part):
-    names = part.groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("names"))
-    return names.select("p_brand", F.array_join(M.expand_all(F.col("names")), "|").alias("terms"))
+    return M.terms(part, "p_brand", "p_name").select("p_brand", F.array_join("terms", "|").alias("terms"))
 
 
 def _metadata(documents, labels):

@@ -15,9 +15,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import StructType
 
 from ..operators.catalog import upsert
+from ..sources import store
 from ..sources.readers import extracted
 
 CONVERSATION_DAYS, QUOTA_DAYS = 14, 2
+#: Buckets of a table that streams merge into.
+BUCKETS = 16
 
 
 def files(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet", per_batch: int | None = None, **options: str) -> DataFrame:
@@ -40,23 +43,37 @@ def drained(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
 
 
 class Table:
-    """A table of Parquet versions, for sinks without a transactional format: each micro-batch writes version=<batch + 1> from the version before it.
+    """A table of Parquet buckets by key, for sinks without a transactional format: each micro-batch writes version <batch + 1> of the buckets that its keys lie in, and of no others.
 
-    A repeated batch writes its version again, from the same one, so nothing counts twice.
+    A bucket's rows are those of its last version. A repeated batch writes its versions again, from the same ones before, so nothing counts twice.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], keep: tuple[str, ...] = (), add: tuple[str, ...] = ()):
-        self.spark, self.folder, self.schema, self.keys, self.keep, self.add = spark, folder, schema, keys, keep, add
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], keep: tuple[str, ...] = (), add: tuple[str, ...] = (), buckets: int = BUCKETS):
+        self.spark, self.folder, self.schema, self.keys, self.keep, self.add, self.buckets = spark, folder, schema, keys, keep, add, buckets
+
+    def _paths(self, n: int, buckets: list[int]) -> list[str]:
+        """The folder of each bucket's last version up to n: a listing a bucket."""
+        out = []
+        for b in buckets:
+            there = [int(x.removeprefix("_version=")) for x in store.listed(self.spark, f"{self.folder}/_bucket={b}") if x.startswith("_version=")]
+            if there := [v for v in there if v <= n]:
+                out.append(f"{self.folder}/_bucket={b}/_version={max(there)}")
+        return out
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def version(self, n: int) -> DataFrame:
-        if n <= 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/version={n}")
+        """The table after n micro-batches."""
+        return self._read(self._paths(n, list(range(self.buckets))))
 
     def merge(self, batch: DataFrame, number: int) -> None:
         """The sink of foreachBatch; batch must hold one row per key."""
-        new = upsert(self.version(number), batch, self.keys, self.keep, self.add)
-        new.write.mode("overwrite").parquet(f"{self.folder}/version={number + 1}")
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())  # numbers of buckets
+        new = upsert(self._read(self._paths(number, touched)), batch, self.keys, self.keep, self.add)
+        placed = new.withColumn("_bucket", bucket).withColumn("_version", F.lit(number + 1))
+        placed.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "_version").parquet(self.folder)
 
 
 def counted(events: DataFrame, at: str, keys: list[str], window: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -46,6 +46,18 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert sorted(map(tuple, sink.version(2).collect())) == [("a", 2), ("b", 4)]
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    sink = jobs.Table(spark, str(tmp_path / "t"), "k long, n bigint", ["k"], add=("n",), buckets=8)
+    sink.merge(spark.range(100).selectExpr("id as k", "1 as n"), 0)
+    sink.merge(spark.createDataFrame([(7, 5)], "k long, n bigint"), 1)
+    sink.merge(spark.createDataFrame([(7, 5), (200, 1)], "k long, n bigint"), 2)
+    versions = sorted(p.name for p in (tmp_path / "t").glob("_bucket=*/_version=*"))
+    assert versions.count("_version=1") == 8 and versions.count("_version=2") == 1 and versions.count("_version=3") <= 2
+    assert {r.k: r.n for r in sink.version(3).collect()} == {i: 11 if i == 7 else 1 for i in range(100)} | {200: 1}
+    assert {r.k: r.n for r in sink.version(1).collect()} == dict.fromkeys(range(100), 1)
+    assert sink.version(0).count() == 0
+
+
 def test_files_arrive_as_markdown(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "p.html").write_text("<html><body><h1>Hi</h1></body></html>")
