@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import catalog, flows, keylib, progress, retrieval
+from .operators import catalog, chat, flows, keylib, progress, rebuild, retrieval
 from .operators.filters import compiled
 
 Tables = dict[str, DataFrame]
@@ -104,10 +104,16 @@ def reindexed(tables: Tables, document_id: int) -> Tables:
 
 
 @field("startReindex")
-def rebuilt(tables: Tables, texts: DataFrame, locked: bool = False) -> Tables:
-    """A new index of all documents and the tallies of its batches; refused while another one runs. Counts of keys begin anew."""
+def rebuilt(tables: Tables, texts: DataFrame, locked: bool = False, folder: str | None = None, run: str = "reindex") -> Tables:
+    """A new index of all documents and the tallies of its batches; refused while another one runs. Counts of keys begin anew.
+
+    With a folder the run holds a lock there, and one that was broken off goes on under its name where it stood.
+    """
     if locked:
         raise ValueError("A reindex is running")
+    if folder is not None:
+        tallies = rebuild.run(folder, run, tables["documents"].select("document_id", "filename", "type"), texts)
+        return {"index": rebuild.current(texts.sparkSession, folder), "tallies": tallies, "library": keylib.reset(tables["library"])}
     chunks, tallies = flows.rebuilt(tables["documents"], texts)
     return {"index": chunks, "tallies": tallies, "library": keylib.reset(tables["library"])}
 
@@ -150,6 +156,15 @@ def searched(tables: Tables, query: str, vector: list[float], k: int = 5, condit
     return found.join(tables["documents"].select("document_id", "filename"), "document_id", "left")
 
 
+@field("chat")
+def asked(tables: Tables, questions: DataFrame, answer: Column | None = None) -> Tables:
+    """A batch of questions as turns of their conversations, and what was found for each of them; turns have the columns of chat.TURN."""
+    names = tables["documents"].select("document_id", F.col("filename").alias("source"))
+    chunks = tables["vectors"].select("vec_id", "document_id", "embedding", "text").join(names, "document_id", "left")
+    out = chat.answered(questions, tables["turns"], chunks, answer=answer)
+    return {"turns": chat.stored(tables["turns"], out), "answers": out}
+
+
 @field("getKeyLibrary")
 def library(tables: Tables) -> DataFrame:
     return keylib.active(tables["library"])

@@ -67,6 +67,32 @@ def front_matter(text: Column, field: str) -> Column:
     return F.nullif(plain, F.lit(""))
 
 
+def image_caption(text: Column) -> Column:
+    """An image's caption: the first user_caption or ai_caption between lines of three dashes, else the first line behind them that is no heading, cut to 200 characters."""
+    start = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("ended"), F.lit(None).cast("string").alias("caption"))
+
+    def step(s: Column, line: Column) -> Column:
+        t = F.btrim(line, F.lit(" \t\r\f\x0b"))
+        edge = t == "---"
+        said = F.nullif(F.btrim(F.regexp_replace(t, "^(user|ai)_caption:", "")), F.lit(""))
+        named = F.when(s["inside"] & t.rlike("^(user|ai)_caption:"), said)
+        body = F.when(s["ended"] & (t != "") & ~F.startswith(t, F.lit("#")), F.substring(t, 1, 200))
+        caption = F.when(s["caption"].isNotNull(), s["caption"]).when(~edge, F.coalesce(named, body))
+        return F.struct(F.when(edge, ~s["inside"]).otherwise(s["inside"]).alias("inside"), (s["ended"] | (edge & s["inside"])).alias("ended"), caption.alias("caption"))
+
+    return F.aggregate(F.split(text, "\n", -1), start, step, lambda s: s["caption"])
+
+
+def file_of(uri: Column, default: str = "document") -> Column:
+    """The last part of an address, or the default."""
+    return F.coalesce(F.nullif(F.element_at(F.split(uri, "/", -1), -1), F.lit("")), F.lit(default))
+
+
+def file_type(filename: Column) -> Column:
+    """What stands behind the last dot, or unknown."""
+    return F.when(F.contains(filename, F.lit(".")), F.lower(F.element_at(F.split(filename, "[.]", -1), -1))).otherwise("unknown")
+
+
 def document_id(uri: Column) -> Column:
     return F.nullif(F.regexp_extract(uri, "content/([a-f0-9-]{36})/", 1), F.lit(""))
 

@@ -80,6 +80,28 @@ def active(library: DataFrame, samples: int = 5) -> DataFrame:
     return library.where("status = 'active'").withColumn("sample_values", F.slice("sample_values", 1, samples)).orderBy(F.desc("occurrence_count"), "key_name")
 
 
+def stats_view(library: DataFrame) -> DataFrame:
+    """All keys with up to ten of their values, most frequent first, and the time of the last analysis of any of them."""
+    last = F.max("last_seen").over(Window.partitionBy(F.lit(1)))
+    return library.withColumn("sample_values", F.slice("sample_values", 1, SAMPLES)).withColumn("last_analyzed", last).orderBy(F.desc("occurrence_count"), "key_name")
+
+
+def manual_examples(library: DataFrame, keys: Sequence[str], samples: int = 3) -> DataFrame:
+    """(pos, key_name, example) for each manual key: its normalised name, with a few values of the active key of that name."""
+    asked = library.sparkSession.createDataFrame([(i, k.lower().replace(" ", "_").replace("-", "_")) for i, k in enumerate(keys)], "pos int, key_name string")
+    known = active(library, samples).select(F.lower("key_name").alias("key_name"), "sample_values").groupBy("key_name").agg(F.first("sample_values").alias("_v"))
+    quoted = F.array_join(F.transform("_v", lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ", ")
+    line = F.when(F.size("_v") > 0, F.concat(F.lit("  - "), "key_name", F.lit(": e.g., "), quoted)).otherwise(F.concat(F.lit("  - "), "key_name"))
+    return asked.join(known, "key_name", "left").select("pos", "key_name", line.alias("example"))
+
+
+def analyse(sample: DataFrame, library: DataFrame, metadata: str, order: str, manual: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The analysis of a sample of the index, retrieval.probed() say: the library after it, and (vectors_sampled, keys_analyzed). An empty sample changes nothing."""
+    found = profile(sample.where(F.col(metadata).isNotNull()), metadata, order)
+    counts = sample.agg(F.count("*").alias("vectors_sampled")).join(found.agg(F.count("*").alias("keys_analyzed")))
+    return analysed(library, found, manual), counts
+
+
 def reset(library: DataFrame) -> DataFrame:
     return library.withColumns({"occurrence_count": F.lit(0).cast("long"), "sample_values": F.array().cast("array<string>")})
 

@@ -226,6 +226,25 @@ def parsed(results: DataFrame, uri: str = "uri") -> DataFrame:
     return out.withColumn("dedup_key", F.when(segment, c).otherwise(document))
 
 
+def response(results: DataFrame, documents: DataFrame, allow: bool = True) -> DataFrame:
+    """What a search returns: one row per result in the order of rank, with the seventeen fields of the answer.
+
+    results (rank, uri, content, score, content_type and what parsed() reads), documents (document_id, filename, type, source_url, media_type, input_uri). Addresses of
+    documents are given only where access to them is allowed; fields that a kind of document has not are null.
+    """
+    rows = parsed(results).join(documents, "document_id", "left")
+    scraped, image = (F.coalesce(F.col("type").isin(*kinds), F.lit(False)) for kinds in (("scraped", "scrape"), ("image",)))
+    media = F.col("is_media") | F.coalesce(F.col("type") == "media", F.lit(False))
+    url = F.when(F.lit(allow), F.when(scraped, F.col("source_url")).otherwise(F.coalesce("input_uri", "uri")))
+    segment = F.when(F.lit(allow) & F.col("is_segment") & F.col("timestamp_start").isNotNull(), F.concat(url, F.lit("#t="), F.col("timestamp_start").cast("string")))
+    fields = {
+        "content": F.col("content"), "source": F.coalesce(F.when(scraped, F.col("uri")), F.col("input_uri"), F.col("uri")), "score": F.coalesce("score", F.lit(0.0)), "document_id": F.col("document_id"), "filename": F.col("filename"),
+        "document_url": url, "document_access_allowed": F.lit(allow), "is_scraped": scraped, "source_url": F.when(scraped, F.col("source_url")), "is_image": image, "thumbnail_url": F.when(image, url),
+        "is_media": media, "media_type": F.when(media, F.col("media_type")), "is_segment": F.col("is_segment"), "segment_url": segment, "timestamp_start": F.when(media, F.col("timestamp_start")), "is_visual_match": F.coalesce(F.col("content_type") == "visual", F.lit(False)),
+    }
+    return rows.select("rank", *(c.alias(n) for n, c in fields.items())).orderBy("rank")
+
+
 def context(results: DataFrame, text: str, source: str, rank: str = "rank", chunks: int = 5, group: str | None = None) -> DataFrame:
     """One row (per group) with the first chunks under headers that name their source, for a prompt."""
     block = F.concat(F.lit("[Source: "), F.coalesce(F.col(source), F.lit("unknown")), F.lit("]\n"), F.coalesce(F.col(text), F.lit("")))

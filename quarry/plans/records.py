@@ -268,3 +268,66 @@ def image_problems(documents):
     name = F.concat(F.lit("f"), n.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ["png", "JPG", "txt", "webp"])), (C("n_chars") % 4 + 1).cast("int")))
     kind = F.when(C("n_chars") % 3 == 0, "image/png").when(C("n_chars") % 3 == 1, "text/html")
     return documents.select("doc_id", files.image_problem(kind, name, n * 4000).alias("problem"))
+
+
+@query("documents", sql=r"""WITH d AS (SELECT doc_id, coalesce(length(text), 0) % 4 AS k, regexp_replace(coalesce(substr(text, 1, 300), ''), '[\n#-]', ' ', 'g') AS t FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN nullif(trim(substr(t, 1, 50)), '') WHEN 1 THEN coalesce(nullif(trim(substr(t, 60, 20)), ''), nullif(substr(trim(t), 1, 200), '')) WHEN 2 THEN nullif(substr(trim(t), 1, 200), '') END AS caption,
+  'f' || doc_id || '.' || (['PDF', 'md', 'tar.gz', ''])[k + 1] AS filename, lower((['PDF', 'md', 'gz', ''])[k + 1]) AS file_type FROM d""")
+def image_captions(documents):
+    """Captions of index texts made of the beginnings of documents: named in the front matter, in the body, or not at all; and names of their files."""
+    k = F.coalesce(F.length("text"), F.lit(0)) % 4
+    t = F.regexp_replace(F.coalesce(F.substring("text", 1, 300), F.lit("")), "[\\n#-]", " ")
+    head, body = F.lit("---\nimage_id: 1\n"), F.concat(F.lit("---\n# Image\n\n"), t)
+    text = F.when(k == 0, F.concat(head, F.lit("user_caption: "), F.substring(t, 1, 50), F.lit("\nai_caption: \n---\n"))).when(k == 1, F.concat(head, F.lit("ai_caption: "), F.substring(t, 60, 20), F.lit("\n"), body)).when(k == 2, F.concat(head, body)).otherwise(t)
+    uri = F.concat(F.lit("s3://b/x/f"), C("doc_id"), F.lit("."), F.element_at(F.array(*map(F.lit, ["PDF", "md", "tar.gz", ""])), (k + 1).cast("int")))
+    return documents.select("doc_id", T.image_caption(text).alias("caption"), T.file_of(uri).alias("filename"), T.file_type(T.file_of(uri)).alias("file_type"))
+
+
+@query("documents", sql=f"""WITH {_KEYS}, s AS (SELECT source AS key_name, lang, min(doc_id) AS a FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang), v AS (SELECT key_name, list(lang ORDER BY a, lang)[1:3] AS v FROM s GROUP BY key_name),
+k AS (SELECT * FROM (VALUES (0, 'src1'), (1, 'src_2'), (2, 'src7'), (3, 'new_key')) k(pos, key_name))
+SELECT k.pos, k.key_name, '  - ' || k.key_name || CASE WHEN v.v IS NOT NULL THEN ': e.g., "' || array_to_string(v.v, '", "') || '"' ELSE '' END AS example FROM k LEFT JOIN v USING (key_name)""")
+def manual_key_examples(documents):
+    """Manual keys under their normalised names, with values of the library's keys."""
+    return keylib.manual_examples(_library(documents), ["SRC1", "src 2", "Src7", "New-Key"])
+
+
+@query("documents", sql=f"""WITH {_KEYS} SELECT source AS key_name, n, (SELECT epoch_us(to_timestamp(max(doc_id))) FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) AS last_us, row_number() OVER (ORDER BY n DESC, source) AS pos FROM (SELECT key_name AS source, n FROM l)""")
+def library_view(documents):
+    """All keys of the library in the order of the statistics page."""
+    from pyspark.sql import Window
+
+    view = keylib.stats_view(_library(documents))
+    pos = F.row_number().over(Window.orderBy(F.desc("occurrence_count"), "key_name"))
+    return view.select("key_name", C("occurrence_count").alias("n"), F.unix_micros("last_analyzed").alias("last_us"), pos.cast("long").alias("pos"))
+
+
+@query("embeddings", "documents", sql="""WITH p AS (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR))) - 1 AS query, CAST(embedding AS DOUBLE[]) AS w FROM embeddings QUALIFY query < 5), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT query, vec_id, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 6) AS score FROM e, p), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 100),
+u AS (SELECT DISTINCT vec_id FROM r), m AS (SELECT vec_id, lang, source FROM u JOIN documents ON doc_id = vec_id), c AS (SELECT count(*) AS vectors_sampled FROM u)
+SELECT k.key_name, vectors_sampled, 2 AS keys_analyzed, k.n_values FROM (SELECT 'lang' AS key_name, least(count(DISTINCT lang), 10) AS n_values FROM m UNION ALL SELECT 'source', least(count(DISTINCT source), 10) FROM m) k, c""")
+def analyse_entry(embeddings, documents):
+    """The index sampled by probes, the metadata of what they found profiled, and the library after it."""
+    from .vectors import _probes
+
+    vectors = embeddings.select("vec_id", "embedding", F.concat(F.lit("u"), C("vec_id")).alias("uri"))
+    found = retrieval.probed(vectors, "embedding", _probes(embeddings), 10_000)
+    maps = documents.select(C("doc_id").alias("vec_id"), F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
+    library, counts = keylib.analyse(found.join(maps, "vec_id", "left"), documents.sparkSession.createDataFrame([], keylib.LIBRARY), "metadata", "vec_id")
+    return library.select("key_name", F.size("sample_values").cast("long").alias("n_values")).join(counts).select("key_name", "vectors_sampled", C("keys_analyzed").cast("int").alias("keys_analyzed"), "n_values")
+
+
+@query("documents", sql="""WITH d AS (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h, n_chars % 4 AS k, n_chars, lang, source FROM documents), u AS (SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id FROM d),
+f AS (SELECT *, 's3://b/content/' || id || CASE k WHEN 0 THEN '/segment-' || n_chars || '.txt' ELSE '/text.md' END AS uri, (['media', 'scraped', 'image', 'document'])[k + 1] AS type FROM u)
+SELECT doc_id AS rank, 'c' AS content, CASE WHEN k = 1 THEN uri ELSE 's3://b/input/' || doc_id END AS source, CAST(0.5 AS DOUBLE) AS score, id AS document_id, source AS filename, CASE WHEN k = 1 THEN 'http://' || doc_id ELSE 's3://b/input/' || doc_id END AS document_url, true AS document_access_allowed,
+  k = 1 AS is_scraped, CASE WHEN k = 1 THEN 'http://' || doc_id END AS source_url, k = 2 AS is_image, CASE WHEN k = 2 THEN 's3://b/input/' || doc_id END AS thumbnail_url, k = 0 AS is_media, CASE WHEN k = 0 THEN 'video' END AS media_type, k = 0 AS is_segment,
+  CASE WHEN k = 0 THEN 's3://b/input/' || doc_id || '#t=' || n_chars END AS segment_url, CASE WHEN k = 0 THEN n_chars END AS timestamp_start, coalesce(lang = 'de', false) AS is_visual_match FROM f""")
+def search_response(documents):
+    """The answer of a search over results of four kinds."""
+    h, k = F.md5(C("doc_id").cast("string")), C("n_chars") % 4
+    uuid = F.concat_ws("-", *(F.substring(h, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    tail = F.when(k == 0, F.concat(F.lit("/segment-"), "n_chars", F.lit(".txt"))).otherwise("/text.md")
+    rows = documents.select("doc_id", uuid.alias("_u"), "n_chars", "lang", "source", k.alias("k"), tail.alias("_tail"))
+    results = rows.select(C("doc_id").alias("rank"), F.concat(F.lit("s3://b/content/"), "_u", "_tail").alias("uri"), F.lit("c").alias("content"), F.lit(0.5).alias("score"), F.when(C("lang") == "de", "visual").otherwise("text").alias("content_type"), F.when(C("k") == 0, C("n_chars").cast("string")).alias("timestamp_start"))
+    kinds = F.element_at(F.array(*map(F.lit, ["media", "scraped", "image", "document"])), (C("k") + 1).cast("int"))
+    tracked = rows.select(C("_u").alias("document_id"), C("source").alias("filename"), kinds.alias("type"), F.when(C("k") == 1, F.concat(F.lit("http://"), "doc_id")).alias("source_url"), F.lit("video").alias("media_type"), F.concat(F.lit("s3://b/input/"), "doc_id").alias("input_uri"))
+    return retrieval.response(results, tracked)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import facade
-from quarry.operators import flows, keylib
+from quarry.operators import chat, flows, keylib, rebuild
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,23 @@ def test_changes(spark, tables):
         with pytest.raises(ValueError):
             facade.call(name, tables, demo=True)
     assert set(facade.FEATURES.values()) == set(flows.DISABLED)
+
+
+def test_rebuild_under_a_lock(spark, tables, tmp_path):
+    folder, texts = f"file://{tmp_path}/index", spark.createDataFrame([(1, "one two"), (3, "three")], "document_id long, text string")
+    plain = facade.call("startReindex", tables, texts=texts)
+    new = facade.call("startReindex", tables, texts=texts, folder=folder)
+    columns = ["document_id", "chunk", "text"]
+    assert sorted(map(tuple, new["index"].select(*columns).collect())) == sorted(map(tuple, plain["index"].select(*columns).collect()))
+    rebuild.acquired(spark, folder, "other")
+    with pytest.raises(rebuild.Busy):
+        facade.call("startReindex", tables, texts=texts, folder=folder, run="mine")
+
+
+def test_chat_stores_turns(spark, tables):
+    turns = spark.createDataFrame([], chat.TURN)
+    questions = spark.createDataFrame([(5, "c", "u", "2024-01-01", "why?", [1.0, 0.0])], "request_id long, conversation_id string, user_id string, day string, query string, embedding array<double>")
+    out = facade.call("chat", tables | {"turns": turns}, questions=questions, answer=F.lit("because"))
+    row = out["turns"].first()
+    assert (row.conversation_id, row.turn, row.answer, row.status) == ("c", 1, "because", "COMPLETED")
+    assert row.context.startswith("[Source: a.txt]\none")
