@@ -13,6 +13,7 @@ neighbours that are much nearer than the rest, and a share of all rows where the
 The projections' medians come from a bounded sample of SAMPLE vectors. Every row is indexed. Vectors are shuffled once for each tree,
 queries to the blocks that their prefixes touch; a block with very many queries is
 copied for each QUERIES of them. The table of blocks (MAX_BLOCKS rows about, whatever the number of vectors) is all that is broadcast beside the projections.
+Beyond MAX_BLOCKS blocks grow with the vectors, but never in memory: a task holds a block's queries, and its rows pass by a batch at a time.
 
 Equal vectors: no query needs more than the k + 1 smallest ids of a vector, so the index keeps these (exact), and
 equal queries are searched once.
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import kept
 
 TREES, BITS, SAMPLE, RECALL, BLOCK, MAX_BLOCKS, QUERIES, FIT_QUERIES, SEED = 10, 63, 4096, 0.95, 8192, 65_536, 50_000, 64, 7
+#: The kinds of rows that come to a block, in this order.
+QUERY, VECTOR = 0, 1
 #: The bits behind a prefix, by its length.
 FREE = np.array([(1 << (BITS - d)) - 1 for d in range(BITS + 1)], np.int64)
 ROWS = "tree int, block int, part int, kind int, code long, id long, level int, v array<double>"
@@ -87,11 +90,60 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+class Counting:
+    """How many codes of a block share each prefix of the queries that come to it."""
+
+    def __init__(self, blocks: Blocks, tree: int, block: int, some: pa.Table):
+        self.ids, c = some.column("id"), some.column("code").to_numpy()
+        self.bounds = [prefix(c, d) for d in range(BITS + 1)]
+        self.out = np.zeros((len(c), BITS + 1), np.int64)
+        own = int(np.flatnonzero(blocks.number[tree] == block)[0])
+        for d, (low, high) in enumerate(self.bounds):
+            first, end = blocks.touched(tree, low, high)  # other blocks that the prefix touches count as a whole
+            size = blocks.before[tree][own + 1] - blocks.before[tree][own]
+            self.out[:, d] = blocks.before[tree][end] - blocks.before[tree][first] - np.where((first <= own) & (own < end), size, 0)
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        x = rows.column("code").to_numpy()
+        for d, (low, high) in enumerate(self.bounds):
+            self.out[:, d] += np.searchsorted(x, high, side="right") - np.searchsorted(x, low)
+
+    def result(self) -> pa.RecordBatch:
+        n = len(self.out)
+        return pa.RecordBatch.from_arrays([self.ids.combine_chunks(), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (BITS + 1), pa.int32()), pa.array(self.out.ravel()))], names=["id", "counts"])
+
+
+class Nearest:
+    """The `most` nearest rows of a block for each query that comes to it, kept while the block's rows go by."""
+
+    def __init__(self, most: int, some: pa.Table):
+        self.most, self.ids, self.v = most, some.column("id").to_numpy(), _matrix(some.column("v"))
+        self.low, self.high = prefix(some.column("code").to_numpy(), some.column("level").to_numpy())
+        self.found = [(np.zeros(0, np.int64), np.zeros(0))] * len(self.ids)
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        x, ids, code = _matrix(rows.column("v")), rows.column("id").to_numpy(), rows.column("code").to_numpy()
+        norms, first, end = (x**2).sum(1), np.searchsorted(code, self.low), np.searchsorted(code, self.high, side="right")
+        for q in np.flatnonzero(end > first).tolist():
+            a, b, z = first[q], end[q], self.v[q]
+            far = norms[a:b] - 2 * (x[a:b] @ z)
+            bound = np.partition(far, self.most - 1)[self.most - 1] + 1e-9 * (norms[a:b].max() + z @ z) if b - a > self.most else np.inf
+            near = a + np.flatnonzero(far <= bound)
+            score = np.sqrt(((x[near] - z) ** 2).sum(1))  # the measure itself, for all that rounding could have hidden
+            every, far = np.append(self.found[q][0], ids[near]), np.append(self.found[q][1], score)
+            best = np.lexsort((every, far))[: self.most]
+            self.found[q] = every[best], far[best]
+
+    def result(self) -> pa.RecordBatch:
+        n = [len(f[0]) for f in self.found]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate([f[0] for f in self.found])), pa.array(np.concatenate([f[1] for f in self.found]))], names=["q", "id", "score"])
+
+
 def met(rows: DataFrame, queries: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """work(tree, block's rows, queries) for the rows of each block, in the order of their codes, and batches of the queries that come to it."""
+    """What work(tree, block, queries) gathers over the rows of each block: QUERIES queries at most are held, and the block's rows pass in the order of their codes, a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, table = None, [], None
+        at, waiting, worker = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -102,14 +154,17 @@ def met(rows: DataFrame, queries: DataFrame, work: Callable, schema: str) -> Dat
                 group, kind, some = tuple(key[start, :3].tolist()), key[start, 3], b.slice(start, end - start)
                 start = end
                 if group != at:
-                    at, held, table = group, [], None
-                if kind == 0:
-                    held.append(some)
-                elif held:
-                    table = table or pa.Table.from_batches(held).combine_chunks()
-                    out = work(group[0], group[1], table, some)
-                    if out.num_rows:
-                        yield out
+                    if worker is not None:
+                        yield worker.result()
+                    at, waiting, worker = group, [], None
+                if kind == QUERY:
+                    waiting.append(some)
+                elif waiting or worker is not None:
+                    worker = worker or work(group[0], group[1], pa.Table.from_batches(waiting).combine_chunks())
+                    waiting = []
+                    worker.add(some)
+        if worker is not None:
+            yield worker.result()
 
     both = rows.unionByName(queries).repartition("tree", "block", "part")
     return both.sortWithinPartitions("tree", "block", "part", "kind", "code", "id").mapInArrow(run, schema)
@@ -137,7 +192,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
             if b.num_rows:
                 codes = send.value.codes(_matrix(b.column("v")))
                 for t in range(send.value.trees):
-                    yield _rows(t, 0, codes[:, t], b.column("id"), 0, b.column("v"), kind=0)
+                    yield _rows(t, 0, codes[:, t], b.column("id"), 0, b.column("v"), kind=VECTOR)
 
     # the sorted arrays: a range of (tree, code, id) in each partition, so that even equal codes are cut into blocks of even size
     parts = int(max(1, min(MAX_BLOCKS, -(-n * trees // BLOCK))))
@@ -156,17 +211,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
                     at = np.maximum(np.searchsorted(known.value.low[t], codes[:, t], side="right") - 1, 0)
                     yield _rows(t, known.value.number[t][at], codes[:, t], b.column("id"), 0, None)
 
-        def bisected(tree: int, block: int, table: pa.Table, some: pa.RecordBatch) -> pa.RecordBatch:
-            x, c, of = table.column("code").to_numpy(), some.column("code").to_numpy(), known.value
-            own, out = int(np.flatnonzero(of.number[tree] == block)[0]), np.zeros((len(c), BITS + 1), np.int64)
-            for d in range(BITS + 1):
-                low, high = prefix(c, d)
-                out[:, d] = np.searchsorted(x, high, side="right") - np.searchsorted(x, low)
-                first, end = of.touched(tree, low, high)  # other blocks that the prefix touches count as a whole
-                out[:, d] += of.before[tree][end] - of.before[tree][first] - np.where((first <= own) & (own < end), len(x), 0)
-            return pa.RecordBatch.from_arrays([some.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * (BITS + 1), pa.int32()), pa.array(out.ravel()))], names=["id", "counts"])
-
-        each = met(arrays.withColumn("v", F.lit(None).cast("array<double>")), some.mapInArrow(placed, ROWS), bisected, "id long, counts array<long>")
+        each = met(arrays.withColumn("v", F.lit(None).cast("array<double>")), some.mapInArrow(placed, ROWS), lambda tree, block, some: Counting(known.value, tree, block, some), "id long, counts array<long>")
         return each.groupBy("id").agg(F.array(*(F.sum(F.col("counts")[d]) for d in range(BITS + 1))).alias("counts"))
 
     candidates = fitted(index, by_hash.limit(FIT_QUERIES), counts, send, k, recall)
@@ -187,27 +232,11 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
                     r = pa.array(row[a : a + 4096])
                     yield _rows(t, block[a : a + 4096], codes[row[a : a + 4096], t], b.column("id").take(r), at[row[a : a + 4096]], b.column("v").take(r))
 
-    def best(tree: int, block: int, table: pa.Table, some: pa.RecordBatch) -> pa.RecordBatch:
-        """The k + 1 nearest rows of a block for each query that comes to it."""
-        x, ids, code = _matrix(table.column("v")), table.column("id").to_numpy(), table.column("code").to_numpy()
-        norms, out = (x**2).sum(1), []
-        y, c = _matrix(some.column("v")), some.column("code").to_numpy()
-        low, high = prefix(c, some.column("level").to_numpy())
-        for q, z, a, b in zip(some.column("id").to_pylist(), y, np.searchsorted(code, low), np.searchsorted(code, high, side="right"), strict=True):
-            if b > a:
-                far = norms[a:b] - 2 * (x[a:b] @ z)
-                bound = np.partition(far, k)[k] + 1e-9 * (norms[a:b].max() + z @ z) if b - a > k + 1 else np.inf
-                near = a + np.flatnonzero(far <= bound)
-                score = np.sqrt(((x[near] - z) ** 2).sum(1))  # the measure itself, for all that rounding could have hidden
-                order = np.lexsort((ids[near], score))[: k + 1]
-                out.append((np.full(len(order), q), ids[near][order], score[order]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]) if out else [], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["q", "id", "score"])
-
     routed = kept(levels.select("id", "v", "level").mapInArrow(sent, ROWS), "routed")
     busy = routed.groupBy("tree", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")).where("parts > 1")
     busy = kept(busy, "busy")
     split = lambda d, part: d.drop("part").join(busy, ["tree", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part).drop("parts")
-    found = met(split(arrays, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), split(routed, F.pmod(F.xxhash64("id"), "parts").cast("int")), best, "q long, id long, score double").distinct()
+    found = met(split(arrays, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), split(routed, F.pmod(F.xxhash64("id"), "parts").cast("int")), lambda tree, block, some: Nearest(k + 1, some), "q long, id long, score double").distinct()
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("r") <= k + 1).drop("r")
     whole = top.join(ask.select(F.col("id").alias("q"), "v"), "q").select("v", F.col("id").alias("vec_id"), "score").join(same.select("v", F.col("id").alias("query_id")), "v")
     ranked = whole.where("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
@@ -253,7 +282,7 @@ def fitted(index: DataFrame, some: DataFrame, counts: Callable, send, k: int, re
     return most
 
 
-def _rows(tree: int, block, code: np.ndarray, ids: pa.Array, level, v: pa.Array | None, kind: int = 1) -> pa.RecordBatch:
+def _rows(tree: int, block, code: np.ndarray, ids: pa.Array, level, v: pa.Array | None, kind: int = QUERY) -> pa.RecordBatch:
     n = len(code)
     fill = lambda x: pa.array(np.broadcast_to(np.asarray(x), n).astype(np.int32))
     v = pa.nulls(n, pa.list_(pa.float64())) if v is None else v
