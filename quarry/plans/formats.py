@@ -110,7 +110,8 @@ def read_mail_files(orders):
     """Orders as mails, sniffed by their headers and read."""
     key = F.col("o_orderkey").cast("string")
     body = F.concat(F.lit("From: a@x.org\r\nTo: b@x.org\r\nSubject: Order "), key, F.lit("\r\nDate: Fri, 05 Jan 2024 10:00:00 +0000\r\n\r\nHello there\r\n"))
-    out = readers.extracted(orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("m"), key).alias("filename"), body.cast("binary").alias("content")))
+    # small rows are dealt over all cores before they become files: a task would otherwise have all of a small input's
+    out = readers.extracted(orders.select("o_orderkey").repartition("o_orderkey").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("m"), key).alias("filename"), body.cast("binary").alias("content")))
     head = F.array_join(F.filter(F.split("markdown", "\n"), lambda x: x.startswith("**")), "\n")
     return out.select("id", "file_type", "title", _about("$.from").alias("sender"), _about("$.has_attachments").cast("boolean").alias("has_attachments"), head.alias("head"))
 

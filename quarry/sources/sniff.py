@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -104,89 +105,146 @@ def zip_kind(content: Column) -> Column:
     return _archive_kinds(F.when(is_zip(content), content))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used; only where the expression itself is reached."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def html(text: Column) -> Column:
     """A document type, an html element with and without end, head and body, then elements by their starts and ends."""
-    low = F.lower(text)
+    return F.when(~F.contains(text, F.lit("<")), 0.0).otherwise(bound(F.lower(text), _html))
+
+
+def _html(low: Column) -> Column:
     has = lambda s: F.contains(low, F.lit(s))
     starts, ends = (reduce(add, [has(form.format(t)).cast("int") for t in HTML_TAGS]) for form in ("<{}", "</{}>"))
     out = F.when(low.rlike("^\\s*<!doctype html"), 0.95).when(has("<html") & has("</html>"), 0.9).when(has("<html"), 0.85)
     out = out.when(has("<head") & has("<body"), 0.8).when(has("<head") | has("<body"), 0.7)
-    return out.when((starts >= 2) & (ends >= 2), 0.6).when((starts >= 2) & (ends >= 1), 0.5).when(starts >= 1, 0.4).otherwise(0.0)
+    few = lambda n: F.when((n["starts"] >= 2) & (n["ends"] >= 2), 0.6).when((n["starts"] >= 2) & (n["ends"] >= 1), 0.5).when(n["starts"] >= 1, 0.4).otherwise(0.0)
+    return out.otherwise(bound(F.struct(starts.alias("starts"), ends.alias("ends")), few))
 
 
 def xml(text: Column) -> Column:
     """A declaration, a namespace, no HTML, one element around all, a single empty element, or elements with ends."""
-    t = F.regexp_replace(text, "^\\s+|\\s+$", "")
-    of_html = reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(x)) for x in HTML_ONLY])
-    name = F.regexp_extract(t, "^<([a-zA-Z][a-zA-Z0-9_:-]*)", 1)
-    around = (name != "") & F.endswith(t, F.concat(F.lit("</"), name, F.lit(">")))
+    return F.when(~F.contains(text, F.lit("<")), 0.0).otherwise(bound(F.regexp_replace(text, "^\\s+|\\s+$", ""), _xml))
+
+
+def _xml(t: Column) -> Column:
+    of_html = bound(F.lower(t), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in HTML_ONLY]))
     starts, ends = (F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in ("<([a-zA-Z][a-zA-Z0-9_:-]*)[^>]*>", "</([a-zA-Z][a-zA-Z0-9_:-]*)>"))
+
+    def elements(name: Column) -> Column:
+        out = F.when((name != "") & F.endswith(t, F.concat(F.lit("</"), name, F.lit(">"))), 0.7).when((name != "") & F.endswith(t, F.lit("/>")), 0.65)
+        pairs = lambda e: F.when((F.size(e["starts"]) >= 2) & (F.size(e["ends"]) >= 2) & F.arrays_overlap(e["starts"], e["ends"]), 0.6).otherwise(0.0)
+        return out.otherwise(bound(F.struct(starts.alias("starts"), ends.alias("ends")), pairs))
+
     out = F.when(t.startswith("<?xml"), 0.95).when(F.contains(t, F.lit("xmlns")) & F.contains(t, F.lit("<")), 0.85).when(of_html, 0.0)
-    out = out.when(around, 0.7).when((name != "") & F.endswith(t, F.lit("/>")), 0.65)
-    return out.when((F.size(starts) >= 2) & (F.size(ends) >= 2) & F.arrays_overlap(starts, ends), 0.6).otherwise(0.0)
+    return out.otherwise(bound(F.regexp_extract(t, "^<([a-zA-Z][a-zA-Z0-9_:-]*)", 1), elements))
 
 
 def json(text: Column) -> Column:
     """A whole value, an object with a colon, or what begins as a list."""
-    t = F.regexp_replace(text, "^\\s+|\\s+$", "")
+    return F.when(text.rlike("^\\s*[{\\[]"), bound(F.regexp_replace(text, "^\\s+|\\s+$", ""), _json)).otherwise(0.0)
+
+
+def _json(t: Column) -> Column:
     first = F.substring(t, 1, 1)
     # as the one element of an array: what follows a value would otherwise pass unread
     valid = F.coalesce(F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1, F.lit(False))
     return F.when(first.isin("{", "[") & valid, 0.9).when((first == "{") & F.contains(t, F.lit(":")), 0.3).when(first == "[", 0.2).otherwise(0.0)
 
 
+def _blank(line: Column) -> Column:
+    return ~line.rlike("\\S")
+
+
 def mail(text: Column) -> Column:
     """Header lines among the first twenty, up to the first blank one."""
-    lines = F.slice(F.split(text, "\n"), 1, 20)
-    blank = F.array_position(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")) == ""), F.lit(True))
-    heads = F.slice(lines, 1, F.when(blank > 0, blank - 1).otherwise(F.size(lines)).cast("int"))
-    names = F.transform(heads, lambda x: F.lower(F.regexp_extract(x, "^\\s*([A-Za-z-]+):", 1)))
-    count = lambda wanted: F.size(F.filter(names, lambda x: x.isin(*wanted)))
-    required, every = count(MAIL_REQUIRED), count(MAIL_REQUIRED + MAIL_OPTIONAL)
-    return F.when((required >= 2) & (every >= 3), 0.9).when(required >= 2, 0.8).when(every >= 2, 0.6).otherwise(0.0)
+
+    def names(lines: Column) -> Column:
+        heads = bound(F.array_position(F.transform(lines, _blank), F.lit(True)), lambda blank: F.slice(lines, 1, F.when(blank > 0, blank - 1).otherwise(F.size(lines)).cast("int")))
+        return F.transform(heads, lambda x: F.lower(F.regexp_extract(x, "^\\s*([A-Za-z-]+):", 1)))
+
+    def counts(names: Column) -> Column:
+        count = lambda wanted: F.size(F.filter(names, lambda x: x.isin(*wanted)))
+        return F.struct(count(MAIL_REQUIRED).alias("required"), count(MAIL_REQUIRED + MAIL_OPTIONAL).alias("every"))
+
+    sure = lambda n: F.when((n["required"] >= 2) & (n["every"] >= 3), 0.9).when(n["required"] >= 2, 0.8).when(n["every"] >= 2, 0.6).otherwise(0.0)
+    return bound(bound(bound(F.slice(F.split(text, "\n"), 1, 20), names), counts), sure)
 
 
 def csv(text: Column) -> Column:
     """A delimiter that all of the first five lines have equally often; as many columns in four of five rows, whatever their number; a head of short cells."""
-    solid = F.regexp_replace(text, "^\\s+|\\s+$", "")
-    filled = F.filter(F.split(solid, "\n"), lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")) != "")
-    first_five = F.filter(F.slice(F.split(solid, "\n"), 1, 5), lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")) != "")
+    return bound(text, _csv)
+
+
+def _csv(text: Column) -> Column:
+    marks = {",": ",", "\t": "\t", ";": ";", "|": "[|]"}
     # two arguments would make a function of value and index
     times = lambda mark: lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
-    marks = {",": ",", "\t": "\t", ";": ";", "|": "[|]"}
-    even = []
-    for place, mark in enumerate(marks):
-        counts = F.transform(first_five, times(mark))
-        even.append(F.struct(F.when((F.array_min(counts) > 0) & (F.array_min(counts) == F.array_max(counts)), -F.array_min(counts)).otherwise(0).alias("n"), F.lit(place).alias("place")))
-    best = F.array_min(F.array(*even))
-    out = F.lit(0.0)
-    for place, (mark, pattern) in enumerate(marks.items()):
+
+    def best(lines: Column) -> Column:
+        """The mark that the first five lines have equally often; of several the most frequent, and the first of those."""
+
+        def even(first_five: Column) -> Column:
+            alike = lambda place: lambda c: F.struct(F.when((F.array_min(c) > 0) & (F.array_min(c) == F.array_max(c)), -F.array_min(c)).otherwise(0).alias("n"), F.lit(place).alias("place"))
+            return F.array_min(F.array(*(bound(F.transform(first_five, times(mark)), alike(place)) for place, mark in enumerate(marks))))
+
+        found = bound(bound(F.filter(F.slice(lines, 1, 5), lambda x: ~_blank(x)), even), lambda b: F.when(b["n"] < 0, b["place"]))
+        return F.when(F.size(F.filter(lines, lambda x: ~_blank(x))) >= 2, found)
+
+    def confidence(mark: str, pattern: str) -> Column:
         # quoted fields hold no delimiters and no ends of rows; two quotes are one
         bare = F.regexp_replace(F.replace(text, F.lit('""'), F.lit("")), f'(?m)(^|{pattern})"[^"]*"', "$1")
-        rows = F.split(F.regexp_replace(bare, "\r?\n\\z", ""), "\r?\n")
-        columns = F.transform(F.transform(F.filter(rows, lambda x: x != ""), times(mark)), lambda n: n + 1)
-        width = F.get(columns, F.lit(0))
-        steady = F.size(F.filter(columns, lambda c: c == width)) / F.size(columns) >= 0.8
         cells = F.split(F.regexp_replace(F.get(F.split(text, "\r?\n"), F.lit(0)), '"', ""), pattern)
-        head = (F.get(rows, F.lit(0)) != "") & F.forall(cells, lambda x: (F.length(x) < 50) & ~x.startswith(" "))
-        sure = F.when(F.size(rows) < 2, 0.0).when(~(width >= 2) | ~steady, 0.0).when(F.size(rows) < 3, 0.5).when(head, 0.85).otherwise(0.7)
-        out = F.when((best["place"] == place) & (best["n"] < 0), F.coalesce(sure, F.lit(0.0))).otherwise(out)
-    return F.when((F.size(filled) < 2) | text.rlike("\r[^\n]"), 0.0).otherwise(out)
+
+        def of_rows(rows: Column) -> Column:
+            head = (F.get(rows, F.lit(0)) != "") & F.forall(cells, lambda x: (F.length(x) < 50) & ~x.startswith(" "))
+
+            def of_columns(columns: Column) -> Column:
+                # four of five, without a division: quoted fields may leave no filled row
+                steady = lambda width: F.coalesce((width >= 2) & (F.size(F.filter(columns, lambda c: c == width)) * 5 >= F.size(columns) * 4), F.lit(False))
+                return F.when(~bound(F.get(columns, F.lit(0)), steady), 0.0).when(F.size(rows) < 3, 0.5).when(head, 0.85).otherwise(0.7)
+
+            columns = F.transform(F.transform(F.filter(rows, lambda x: x != ""), times(mark)), lambda n: n + 1)
+            return F.when(F.size(rows) < 2, 0.0).otherwise(bound(columns, of_columns))
+
+        return F.coalesce(bound(F.split(F.regexp_replace(bare, "\r?\n\\z", ""), "\r?\n"), of_rows), F.lit(0.0))
+
+    def by_mark(best: Column) -> Column:
+        out = F.when(best.isNull() | text.rlike("\r[^\n]"), 0.0)
+        for place, (mark, pattern) in enumerate(marks.items()):
+            out = out.when(best == place, confidence(mark, pattern))
+        return out.otherwise(0.0)
+
+    return bound(bound(F.split(F.regexp_replace(text, "^\\s+|\\s+$", ""), "\n"), best), by_mark)
 
 
 def sniffed(content: Column, filename: Column) -> Column:
     """struct(type, confidence): media, archives, the formats of text that are sure enough, those that are likely, the extension.
 
-    Empty content is txt at 0.5, all that nothing else fits txt at 0.7.
+    Empty content is txt at 0.5, all that nothing else fits txt at 0.7. Each format is looked at once, and only where those before it are not sure enough.
     """
-    text, hinted = decoded(content), hint(filename)
+    # the archive's type comes from a UDF, which cannot stand within the other expressions
+    return bound(F.struct(content.alias("content"), hint(filename).alias("hinted"), zip_kind(content).alias("packed")), _sniffed)
+
+
+def _sniffed(file: Column) -> Column:
+    content, hinted, packed = file["content"], file["hinted"], file["packed"]
     of = lambda kind: F.coalesce(hinted == kind, F.lit(False))
-    played, packed = media(content, hinted), zip_kind(content)
-    page, tree, value, letter, table = html(text), xml(text), json(text), mail(text), csv(text)
-    out = F.when(content.isNull() | (F.length(content) == 0), result("txt", 0.5)).when(played.isNotNull(), played).when(packed["type"].isNotNull(), packed)
-    for kind, sure, least in (("html", page, 0.8), ("xml", tree, 0.8), ("json", value, 0.8), ("eml", letter, 0.7)):
-        out = out.when(sure >= least, result(kind, sure))
-    out = out.when(~of("txt") & (table >= 0.7), result("csv", table))
-    out = out.when((page >= 0.5) & of("html"), result("html", F.greatest(page, F.lit(0.7)))).when(page >= 0.5, result("html", page)).when((page >= 0.4) & of("html"), result("html", F.greatest(F.round(page + 0.3, 6), F.lit(0.7))))
-    out = out.when(tree >= 0.6, result("xml", tree)).when((tree >= 0.4) & of("xml"), result("xml", F.greatest(F.round(tree + 0.3, 6), F.lit(0.7)))).when(value >= 0.5, result("json", value))
-    return out.when(of("csv") & (table >= 0.5), result("csv", table)).when(hinted.isNotNull() & ~of("txt"), result(hinted, 0.6)).otherwise(result("txt", 0.7))
+
+    def likely(page: Column, tree: Column, value: Column, table: Column) -> Column:
+        out = F.when(~of("txt") & (table >= 0.7), result("csv", table))
+        out = out.when((page >= 0.5) & of("html"), result("html", F.greatest(page, F.lit(0.7)))).when(page >= 0.5, result("html", page)).when((page >= 0.4) & of("html"), result("html", F.greatest(F.round(page + 0.3, 6), F.lit(0.7))))
+        out = out.when(tree >= 0.6, result("xml", tree)).when((tree >= 0.4) & of("xml"), result("xml", F.greatest(F.round(tree + 0.3, 6), F.lit(0.7)))).when(value >= 0.5, result("json", value))
+        return out.when(of("csv") & (table >= 0.5), result("csv", table)).when(hinted.isNotNull() & ~of("txt"), result(hinted, 0.6)).otherwise(result("txt", 0.7))
+
+    def of_text(text: Column) -> Column:
+        step = lambda kind, sure, least, rest: F.when(sure >= least, result(kind, sure)).otherwise(rest)
+        letters = lambda page, tree, value: bound(mail(text), lambda letter: step("eml", letter, 0.7, bound(csv(text), lambda table: likely(page, tree, value, table))))
+        values = lambda page, tree: bound(json(text), lambda value: step("json", value, 0.8, letters(page, tree, value)))
+        trees = lambda page: bound(xml(text), lambda tree: step("xml", tree, 0.8, values(page, tree)))
+        return bound(html(text), lambda page: step("html", page, 0.8, trees(page)))
+
+    known = lambda played: F.when(played.isNotNull(), played).when(packed["type"].isNotNull(), packed).otherwise(bound(decoded(content), of_text))
+    return F.when(content.isNull() | (F.length(content) == 0), result("txt", 0.5)).otherwise(bound(media(content, hinted), known))

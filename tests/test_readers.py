@@ -87,3 +87,19 @@ def test_archives_sidecars_and_uris(spark, tmp_path):
     side = files.sidecars(spark.createDataFrame([("u1", {"topic": "Old Maps", "x": None})], "uri string, m map<string,string>"), "uri", "m")
     row = files.with_sidecars(spark.createDataFrame([("u1",), ("u2",)], "uri string"), side, "uri").orderBy("uri").collect()
     assert row[0].attributes["topic"] == ["old", "maps", "old maps"] and row[1].attributes is None
+
+
+def test_mail_headers_are_those_of_the_full_parser(monkeypatch):
+    from email import message_from_bytes, policy
+
+    from quarry.sources import readers
+
+    values = ["a@x.org", "a.b-c@x-y.org", "Ann B <a@x.org>", "a@x.org, b@x.org", "=?utf-8?q?=C3=A4?= <a@x.org>", "a b@c", "a..b@c", '"q" <a@x>', "a\r\n b", "two  blanks", "=?utf-8?q?=C3=A4?=", "", "a (comment)"]
+    for v in values:
+        data = f"From: {v}\r\nTo: b@x.org\r\nSubject: {v}\r\nSubject: other\r\nDate: Fri, 05 Jan 2024 10:00:00 +0000\r\n\r\nbody\r\n".encode()
+        message, about = message_from_bytes(data, policy=policy.default), readers.read_mail(data, "m")[2]
+        assert (about.get("from", ""), about.get("subject", "")) == (str(message["From"]), str(message["Subject"])), v
+    calls = []
+    monkeypatch.setattr(readers, "parsed_header", lambda name, value: calls.append(name) or value)
+    readers.read_mail(b"From: a@x.org\r\nTo: b@x.org\r\nSubject: Order 1\r\n\r\nbody\r\n", "m")
+    assert not calls
