@@ -151,14 +151,15 @@ def sniff_files(documents):
 SELECT doc_id, CAST(CASE WHEN k % 7 = 1 OR (k % 7 = 0 AND k % 5 < 4) THEN 0 WHEN k % 7 = 2 THEN 0.5 WHEN k % 7 = 3 THEN 0.7 ELSE 0.85 END AS DOUBLE) AS confidence FROM r""")
 def sniff_csv(documents):
     """Tables of rows by the letters of each document's text: even ones, one column, two rows, a head of long cells, rows of another width far down."""
-    k = F.coalesce(F.length("text"), F.lit(0))
-    mark = F.element_at(F.array(*map(F.lit, ["|", ";", ","])), (k % 3 + 1).cast("int"))
     word = F.concat(F.lit("w"), F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]", ""), 1, 20))
+    rows = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("k"), word.alias("word"))
+    k, word = F.col("k"), F.col("word")
+    mark = F.element_at(F.array(*map(F.lit, ["|", ";", ","])), (k % 3 + 1).cast("int"))
     row = F.when(k % 7 == 1, word).otherwise(F.concat(word, mark, word, mark, word))
     head = F.when(k % 7 == 3, F.concat(F.repeat(F.lit("long "), F.lit(11)), mark, word, mark, word)).otherwise(row)
     others = F.when(k % 7 == 0, (F.lit(5) - k % 5) * 4).otherwise(0)  # of twenty rows below the first six
     body = F.concat(F.repeat(F.concat(F.lit("\n"), row), F.when(k % 7 == 2, 1).otherwise(5)), F.when(k % 7 == 2, "").otherwise(F.concat(F.repeat(F.concat(F.lit("\n"), row), F.lit(20) - others), F.repeat(F.concat(F.lit("\n"), row, mark, word), others))))
-    return documents.select("doc_id", sniff.csv(F.concat(head, body)).cast("double").alias("confidence"))
+    return rows.select("doc_id", sniff.csv(F.concat(head, body)).cast("double").alias("confidence"))
 
 
 @query("documents", sql="""WITH d AS (SELECT doc_id, encode(CASE WHEN lang = 'de' THEN 'replaced' ELSE coalesce(text, '') END) AS body FROM documents)
