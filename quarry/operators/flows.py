@@ -123,12 +123,13 @@ def with_seed(pages: DataFrame, jobs: DataFrame, carried: list[str]) -> DataFram
 def page_changes(pages: DataFrame, known: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pages (job_id, url, markdown, error) against the latest hashes (url_hash, content_hash): each page's status and hash, and counts by job.
 
-    Failed pages are FAILED; pages with the known content are SKIPPED, which counts as processed; the others are COMPLETED and get a key.
+    Failed pages are FAILED; pages with a known content of their address are SKIPPED, which counts as processed; the others are COMPLETED and get a key.
     """
     rows = pages.withColumn("url_hash", U.url_hash(F.col("url"))).withColumn("content_hash", U.content_hash(F.col("markdown")))
-    rows = rows.join(known.select("url_hash", F.col("content_hash").alias("_known")), "url_hash", "left")
+    # an address may be known with several contents: a page meets one row at most, so that none is counted twice
+    rows = rows.join(known.select("url_hash", "content_hash").distinct().withColumn("_known", F.lit(True)), ["url_hash", "content_hash"], "left")
     failed = F.col("error").isNotNull() | F.col("markdown").isNull()
-    same = F.lit(not force) & F.coalesce(F.col("_known") == F.col("content_hash"), F.lit(False))
+    same = F.lit(not force) & F.coalesce("_known", F.lit(False))
     status = F.when(failed, "FAILED").when(same, "SKIPPED").otherwise("COMPLETED")
     slug = U.slug(F.col("url"))
     out = rows.withColumn("status", status).withColumn("key", F.when(F.col("status") == "COMPLETED", F.concat(F.lit("content/"), F.col("job_id").cast("string"), F.lit("/"), slug, F.lit(".md")))).drop("_known", "markdown", "error")

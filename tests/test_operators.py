@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import urls as U
 from quarry.operators import catalog, crawl, keylib, media, progress
+from quarry.operators import flows as W
 from quarry.operators import retrieval as R
 from quarry.operators.filters import compiled, names_only, validated
 
@@ -167,3 +168,14 @@ def test_the_oldest_dead_letters_go_first(spark):
     again, rest = replayed(df, 3)
     assert sorted(r.message_id for r in again.collect()) == ["m7", "m8", "m9"] and again.select("dedup_id").distinct().count() == 3
     assert sorted(r.message_id for r in rest.collect()) == [f"m{k}" for k in range(7)] and rest.columns == df.columns
+
+
+def test_an_address_known_with_several_contents_counts_once(spark):
+    from quarry.functions import urls as U
+
+    pages = spark.createDataFrame([(1, "http://a.org/x?p=1", "one", None), (1, "http://a.org/x?p=2", "three", None)], "job_id int, url string, markdown string, error string")
+    known = spark.createDataFrame([("http://a.org/x", "one"), ("http://a.org/x", "two"), ("http://a.org/x", "one")], "url string, markdown string")
+    known = known.select(U.url_hash(F.col("url")).alias("url_hash"), U.content_hash(F.col("markdown")).alias("content_hash"))
+    out, counts = W.page_changes(pages, known)
+    assert sorted(r.status for r in out.collect()) == ["COMPLETED", "SKIPPED"]
+    assert [tuple(r) for r in counts.collect()] == [(1, 2, 0, 1)]
