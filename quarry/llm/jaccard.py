@@ -17,9 +17,11 @@ comparison of their own. Buckets above BLOCK_SETS are dealt over blocks; each bl
 task, its pivots go to the other blocks of the bucket, and only blocks whose components come too near to be told apart, and which nothing else
 has connected, are compared with each other. So a group of m near copies costs about m comparisons, and no link that would connect two texts is lost.
 
-The result is membership and pairs: one row per row of the input with its class (the connected component) and the copies' representative (text_id),
-and one row for each link between representatives that was verified and holds the class together: without any of them parts of a class would
-fall asunder, and no class is held together by anything else. The number of all links of a text is not counted, for that needs all pairs of a group.
+The result is one row per row of the input with its class (the connected component), the copies' representative (text_id) and the number of all its links
+to different texts (n_links), and one row for each link between representatives that was verified and holds the class together: without any of them parts of a class would
+fall asunder, and no class is held together by anything else. Buckets yield the classes. Links lie within classes only, so link_counts() then compares all pairs
+of each class once, in blocks of bounded size that are dealt over tasks; sets whose sizes alone rule a link out are not compared, and pairs are counted where they are
+found, for a group of m near copies has about m x m / 2 of them. representatives() needs no more than the classes and leaves this step out.
 
 Defined results: words are lower-case runs between white space; a text with
 fewer than five words is one shingle; texts without words are copies only of equal
@@ -39,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILARITY, kept, mix, seeded, shingle_hashes, sliced, word_hashes
+from .common import SHINGLE, SIMILARITY, forget, kept, mix, seeded, shingle_hashes, sliced, word_hashes
 from .components import components
 
 LEVELS, BRANCH, BRUTE, RECALL = 3, 1.5, 64, 0.999
 #: Sets and shingles in a block of a bucket, about; sets up to which a block is compared by products of matrices.
 BLOCK_SETS, BLOCK_SHINGLES, DENSE = 2048, 1_000_000, 256
+#: Sets of a class in a block whose links are all counted, about: a task holds two blocks.
+COUNTED = 1024
 
 
 def runs_for(recall: float = RECALL, levels: int = LEVELS) -> tuple[int, int]:
@@ -358,6 +362,52 @@ def links(buckets: DataFrame, texts: DataFrame, text: str, width: int, similarit
     return edges.union(kept(more, "both").select("s", "other", "similarity"))
 
 
+def link_counts(members: DataFrame, texts: DataFrame, text: str, width: int, similarity: float, block_sets: int = COUNTED, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(s, n_links): the number of all sets that are similar to each set of the classes of members (s, n, root), where n is the size of the set.
+
+    Small classes are one block. The sets of others go by the power of 1 / similarity that their size reaches, for sets that are two powers apart cannot be similar, and
+    each power is dealt over blocks. Every two blocks of one power or of neighbouring ones meet in one task, which returns a number for each of their sets and no pairs.
+    """
+
+    def met(rows: list[dict]) -> Iterator[tuple]:
+        if len(rows) < 2:
+            return
+        least, first = similarity - 1e-9, [(r["k"], r["c"]) == (r["i"], r["a"]) for r in rows]
+        if all(first):  # one block by itself
+            if (rows[0]["i"], rows[0]["a"]) != (rows[0]["j"], rows[0]["b"]):
+                return
+            hashes = [r["h"] for r in rows]
+            block = Block(hashes) if len(rows) > DENSE else None
+            n = (products(hashes) >= least).sum(1) - 1 if block is None else [int((block.similarity(h) >= least).sum()) - 1 for h in hashes]  # each is similar to itself
+            yield from ((0, int(x), r["s"], None, None, None) for x, r in zip(n, rows, strict=True) if x)
+            return
+        left, right = ([r for r, own in zip(rows, first, strict=True) if own == side] for side in (True, False))
+        if not left:
+            return
+        block, n = Block([r["h"] for r in left]), np.zeros(len(left), np.int64)
+        for r in right:
+            near = block.similarity(r["h"]) >= least
+            n += near
+            if near.any():
+                yield 0, int(near.sum()), r["s"], None, None, None
+        yield from ((0, int(x), r["s"], None, None, None) for x, r in zip(n, left, strict=True) if x)
+
+    sizes = kept(members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1"), "sizes")
+    power = F.when((F.col("m") <= min(block_sets, DENSE)) & (F.col("total") <= block_shingles), 0).otherwise(F.floor(F.log("n") / (math.log(1 / similarity) * (1 + 1e-6)))).cast("int") if similarity < 1 else F.col("n").cast("int")
+    rows = members.where("n > 0").join(sizes, "root").select("root", "s", "n", power.alias("k"))
+    blocks = kept(rows.groupBy("root", "k").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")), "blocks")
+    dealt = rows.join(blocks, ["root", "k"]).select("root", "s", "k", F.pmod(F.xxhash64("s", "root"), "blocks").cast("int").alias("c"))
+    # each set with every block that it meets: those of its own power, of the next one and of the one before
+    to = blocks.select("root", F.col("k").alias("at"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("d"))
+    near = blocks.select("root", "k", F.explode(F.array(F.col("k") - 1, "k", F.col("k") + 1)).alias("at")).join(to, ["root", "at"])
+    low = (F.col("k") < F.col("at")) | ((F.col("k") == F.col("at")) & (F.col("c") <= F.col("d")))
+    ends = [(F.when(low, x).otherwise(y)).alias(name) for x, y, name in ((F.col("k"), F.col("at"), "i"), (F.col("c"), F.col("d"), "a"), (F.col("at"), F.col("k"), "j"), (F.col("d"), F.col("c"), "b"))]
+    asked = dealt.join(near, ["root", "k"]).select("root", "k", "c", "s", *ends)
+    out = kept(grouped(asked.join(texts, "s"), text, width, ["root", "i", "a", "j", "b"], met).groupBy("s").agg(F.sum("c").alias("n_links")), "counted")
+    forget(sizes, blocks)
+    return out
+
+
 def needed(df: DataFrame, key: str, text: str, sets: DataFrame, buckets: DataFrame) -> DataFrame:
     """(s, text): for each set in a bucket the text of its row sets.one, by which it is compared."""
     need = buckets.select("s").distinct().join(sets.select(F.col("sid").alias("s"), F.col("one.k").alias("_k"), F.col("one.t").alias("_t")), "s")
@@ -365,35 +415,42 @@ def needed(df: DataFrame, key: str, text: str, sets: DataFrame, buckets: DataFra
     return kept(some.join(need, some["k"].eqNullSafe(need["_k"]) & (some["t"] == need["_t"])).select("s", text), "needed")
 
 
-def classes(df: DataFrame, key: str, text: str, similarity: float, width: int, recall: float, levels: int, brute: int, block_sets: int, block_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """signed() rows; per set (sid, class_id, text_id, n_copies, root, one): its class and its row with the smallest key; links()."""
+def classes(df: DataFrame, key: str, text: str, similarity: float, width: int, recall: float, levels: int, brute: int, block_sets: int, block_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """signed() rows; per set (sid, class_id, text_id, n_copies, root, one): its class and its row with the smallest key; links(); needed() texts; the sizes (s, n) of sets."""
     few, runs = runs_for(recall, levels)
     marked = kept(signed(df, key, text, width, similarity, runs, levels), "signed")
     sets = kept(marked.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col(key).alias("k"), "t")).alias("one"), F.min(key).alias("k"), F.count("*").alias("n_copies")), "sets")
     picks = kept(marked.where("n > 0").dropDuplicates(["sid"]).select(F.col("sid").alias("s"), F.col("n").cast("int").alias("n"), "picks"), "picks")
     buckets = leaves(picks, few, runs, levels, brute)
-    edges = kept(links(buckets, needed(df, key, text, sets, buckets), text, width, similarity, block_sets, block_shingles), "links")
+    texts = needed(df, key, text, sets, buckets)
+    edges = kept(links(buckets, texts, text, width, similarity, block_sets, block_shingles), "links")
     roots = components(edges.select(F.col("s").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("sid"), "root")
     of_set = kept(sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "roots")
     least = kept(of_set.groupBy("root").agg(F.min("k").alias("class_id")), "classes")
-    return marked, kept(of_set.join(least, "root").withColumnRenamed("k", "text_id"), "sets"), edges
+    return marked, kept(of_set.join(least, "root").withColumnRenamed("k", "text_id"), "sets"), edges, texts, picks.select("s", "n")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE, recall: float = RECALL, levels: int = LEVELS, brute: int = BRUTE, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(key, class_id, text_id, n_copies, link_id, link_similarity): one row per row of df without link_id, and one per verified link with text_id as key."""
-    marked, of_set, edges = classes(df, key, text, similarity, width, recall, levels, brute, block_sets, block_shingles)
+    """(key, class_id, text_id, n_copies, n_links, link_id, link_similarity): one row per row of df without link_id and with the number of all its links, and one per verified link that holds a class together with text_id as key."""
+    marked, of_set, edges, texts, sizes = classes(df, key, text, similarity, width, recall, levels, brute, block_sets, block_shingles)
+    # sets that are a class of their own have no link
+    roots = of_set.groupBy("root").count().where("count > 1").select("root")
+    linked = kept(of_set.join(roots, "root").select("root", F.col("sid").alias("s")).join(sizes, "s"), "members")
+    counts = link_counts(linked, texts, text, width, similarity, min(block_sets, COUNTED), block_shingles)
+    of_set = kept(of_set.join(counts.withColumnRenamed("s", "sid"), "sid", "left"), "counts")
     own = lambda c: F.when(F.col("sid").isNull(), F.col(key)).otherwise(F.col(c)).alias(c)
+    n_links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     nothing = [F.lit(None).cast(df.schema[key].dataType).alias("link_id"), F.lit(None).cast("double").alias("link_similarity")]
-    members = marked.select(key, "sid").join(of_set, "sid", "left").select(key, own("class_id"), own("text_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), *nothing)
+    members = marked.select(key, "sid").join(of_set, "sid", "left").select(key, own("class_id"), own("text_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), n_links, *nothing)
     once = edges.groupBy(F.least("s", "other").alias("sid"), F.greatest("s", "other").alias("other")).agg(F.max("similarity").alias("link_similarity"))
     other = of_set.select(F.col("sid").alias("other"), F.col("text_id").alias("link_id"))
-    pairs = once.join(of_set, "sid").join(other, "other").select(F.col("text_id").alias(key), "class_id", "text_id", F.col("n_copies").cast("long"), "link_id", "link_similarity")
+    pairs = once.join(of_set, "sid").join(other, "other").select(F.col("text_id").alias(key), "class_id", "text_id", F.col("n_copies").cast("long"), n_links, "link_id", "link_similarity")
     return members.unionByName(pairs)
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE, recall: float = RECALL, levels: int = LEVELS, brute: int = BRUTE, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows of df that stay when one row of each class stays, the one with the smallest key; all rows with a null text stay."""
-    _, of_set, _ = classes(df, key, text, similarity, width, recall, levels, brute, block_sets, block_shingles)
+    _, of_set, *_ = classes(df, key, text, similarity, width, recall, levels, brute, block_sets, block_shingles)
     stay = kept(of_set.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.k").alias("_k"), F.col("one.t").alias("_t")), "stay")
     some = df.where(F.col(text).isNotNull()).withColumn("_text", text_hash(text))
     mine = some.join(stay, F.col("_text").eqNullSafe(F.col("_t")) & F.col(key).eqNullSafe(F.col("_k")), "left_semi")

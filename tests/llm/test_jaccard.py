@@ -150,3 +150,17 @@ def test_texts_without_words_differ_after_many_blanks(spark):
     out = {r.doc_id: (r.class_id, r.link_id, r.n_copies) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: (1, None, 2), 2: (2, None, 1), 3: (1, None, 2)}
     assert jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
+
+
+def test_no_link_between_different_texts_is_left_out(spark):
+    """The number of links equals all pairs, in classes of one block, of many blocks, and of sets of many sizes."""
+    rng = np.random.default_rng(11)
+    grown = [" ".join(f"g{k}" for k in range(60 + 3 * i)) for i in range(40)]
+    rows = list(enumerate(mutants(rng, 12, length=90, most=4, name="s") + mutants(rng, 150, length=120, most=5) + grown))
+    rows += [(1000 + k, t) for k, t in rows[:5]]  # copies, which are not expanded
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {k: len(x) for k, x in brute(rows)[1].items()}
+    assert sum(want.values()) > 1000
+    for block_sets in (2048, 40):
+        got = [r for r in jaccard.join(df, brute=16, block_sets=block_sets).collect() if r.link_id is None]
+        assert {r.doc_id: r.n_links for r in got} == want and len(got) == len(rows)
