@@ -21,7 +21,8 @@ def sidecar_round_trip(documents):
     """Metadata as sidecar files beside each document, listed, read and joined back; every seventh letter count has none."""
     spark, folder = documents.sparkSession, scratch(documents.sparkSession, "sidecars")
     rows = documents.select("doc_id", F.concat(C("doc_id").cast("string"), F.lit(".md")).alias("uri"), F.create_map(F.lit("source"), "source", F.lit("lang"), "lang").alias("metadata"))
-    keyed.write_keyed(files.sidecars(rows, "uri", "metadata"), folder, "path")
+    side = files.sidecars(rows, "uri", "metadata").repartition(keyed.folder(C("path"))).withColumn("path", keyed.spread(C("path")))
+    keyed.write_keyed(side, folder, "path")
     back = files.texts(spark, folder).withColumn("path", F.element_at(F.split("path", "/"), -1))
     out = files.with_sidecars(rows.select("doc_id", "uri"), back, "uri")
     first = lambda k: F.get(F.try_element_at("attributes", F.lit(k)), F.lit(0))
@@ -33,7 +34,8 @@ def listed_texts(documents):
     """A listing of what holds text: sidecars and images beside it are left out."""
     folder = scratch(documents.sparkSession, "listing")
     ending = F.when(C("lang") == "de", ".md.metadata.json").when(C("lang") == "es", ".JPG").otherwise(".md")
-    keyed.write_keyed(documents.select(F.concat(C("doc_id").cast("string"), ending).alias("key"), "text"), folder, "key")
+    rows = documents.select(F.concat(C("doc_id").cast("string"), ending).alias("key"), "text")
+    keyed.write_keyed(rows.repartition(keyed.folder(C("key"))).withColumn("key", keyed.spread(C("key"))), folder, "key")
     return files.listed(documents.sparkSession, folder).select(F.regexp_extract("path", r"/(-?\d+)\.md$", 1).cast("long").alias("doc_id"), "length")
 
 

@@ -14,13 +14,16 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from .sniff import HEAD, archive_kind, sniffed
 from .store import created, listed, read, replaced
 
+#: Folders that spread() deals keys over.
+FOLDERS = 1024
+
 
 def opened(uri: str):
     """The file system of a uri and the path in it; file:/a is read as file:///a."""
@@ -89,6 +92,16 @@ def write_keyed(df: DataFrame, folder: str, key: str, text: str = "text") -> Non
     df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).write.format("keyed_files").mode("append").save(folder)
 
 
+def spread(key: Column, folders: int = FOLDERS) -> Column:
+    """The key below one of `folders` folders, by its hash: no folder grows with all keys, and Spark lists many folders in tasks. Rows dealt by folder() have each folder in one task."""
+    return F.concat_ws("/", folder(key, folders), key)
+
+
+def folder(key: Column, folders: int = FOLDERS) -> Column:
+    """The name of the folder that spread() puts a key in."""
+    return F.lower(F.hex(F.pmod(F.xxhash64(key), F.lit(folders))))
+
+
 class Counted:
     """A file that can seek, and the bytes that were read of it."""
 

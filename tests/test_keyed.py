@@ -51,3 +51,15 @@ def test_examples_keep_their_stamps_and_a_latest_one(spark, tmp_path):
     with pytest.raises(ValueError):
         keyed.stored_examples(spark, folder, "[3]", "20240101")
     assert keyed.examples(spark, folder) == "[2]" and keyed.examples(spark, folder, stamp="20240101") == "[1]" and keyed.stamps(spark, folder) == ["20240101", "20240102"]
+
+
+@pytest.mark.parametrize("name", ["listed_texts", "keyed_files", "sidecar_round_trip"])
+def test_no_folder_holds_all_files(spark, name, monkeypatch):
+    from quarry.plans.catalogue import QUERIES
+
+    seen = []
+    write = keyed.write_keyed
+    monkeypatch.setattr(keyed, "write_keyed", lambda df, folder, key, text="text": (seen.append(folder), write(df, folder, key, text)))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    folders = [len(names) for _, _, names in os.walk(seen[0].removeprefix("file://")) if names]
+    assert len(folders) > 32 and max(folders) < sum(folders) / 4
