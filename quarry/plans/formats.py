@@ -121,7 +121,8 @@ def read_mail_files(orders):
 def read_text_files(documents):
     """Documents as text files, read as a whole."""
     key = F.col("doc_id").cast("string")
-    out = readers.extracted(documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("x/d"), key, F.lit(".txt")).alias("filename"), F.col("text").cast("binary").alias("content")))
+    # the rows of a file with one row group would all be one task's
+    out = readers.extracted(documents.select("doc_id", "text").repartition("doc_id").select(F.col("doc_id").alias("id"), F.concat(F.lit("x/d"), key, F.lit(".txt")).alias("filename"), F.col("text").cast("binary").alias("content")))
     return out.select("id", "file_type", "title", "word_count", _about("$.line_count").cast("long").alias("line_count"), _about("$.char_count").cast("long").alias("char_count"))
 
 
@@ -145,7 +146,8 @@ def sniff_files(documents):
         content = F.when(number == i, F.concat(start, F.concat(text, F.lit(tail)).cast("binary"))).otherwise(content)
         extension = F.when(number == i, ext).otherwise(extension)
     found = sniff.sniffed(F.col("content"), F.concat(F.lit("dir.x/name."), F.col("extension")))
-    return documents.select("doc_id", content.alias("content"), extension.alias("extension")).select("doc_id", found.alias("s")).select("doc_id", F.col("s.type").alias("file_type"), F.col("s.confidence").alias("confidence"))
+    # as in read_text_files: the rows of one row group are dealt over all cores first
+    return documents.select("doc_id", "text").repartition("doc_id").select("doc_id", content.alias("content"), extension.alias("extension")).select("doc_id", found.alias("s")).select("doc_id", F.col("s.type").alias("file_type"), F.col("s.confidence").alias("confidence"))
 
 
 @query("documents", sql="""WITH r AS (SELECT doc_id, coalesce(length(text), 0) AS k, (['|', ';', ','])[coalesce(length(text), 0) % 3 + 1] AS mark FROM documents)
@@ -169,6 +171,7 @@ def keyed_files(documents):
     """A file for each document, those of one language written again in place, and the heads of all of them read back."""
     folder = scratch(documents.sparkSession, "keyed")
     rows = documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("key"), "text", "lang")
+    rows = rows.repartition(keyed.folder(F.col("key"))).withColumn("key", keyed.spread(F.col("key")))
     keyed.write_keyed(rows, folder, "key")
     keyed.write_keyed(rows.where("lang = 'de'").withColumn("text", F.lit("replaced")), folder, "key")
     out = keyed.heads(documents.sparkSession, folder)

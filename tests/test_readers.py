@@ -103,3 +103,11 @@ def test_mail_headers_are_those_of_the_full_parser(monkeypatch):
     monkeypatch.setattr(readers, "parsed_header", lambda name, value: calls.append(name) or value)
     readers.read_mail(b"From: a@x.org\r\nTo: b@x.org\r\nSubject: Order 1\r\n\r\nbody\r\n", "m")
     assert not calls
+
+
+@pytest.mark.parametrize("name", ["read_text_files", "sniff_files"])
+def test_rows_of_one_file_are_dealt_over_all_cores(spark, name):
+    from quarry.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan
