@@ -29,7 +29,7 @@ class Aged(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         calls = sorted((int(at), int(i)) for frame in rows for at, i in zip(frame["at_ms"], frame["id"], strict=True))
-        first, n, admitted, expires = self.state.get() if self.state.exists() else (None, 0, 0, None)
+        first, n, admitted, expires = self.state.get() or (None, 0, 0, None)  # a call a key: each is a round trip to the state's server
         old, out = expires, []
         for at, _ in calls:
             if expires is not None and at >= expires:  # the state was too old, though no timer has come yet
@@ -42,15 +42,14 @@ class Aged(StatefulProcessor):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(expires)
         self.state.update((first, n, admitted, expires))
-        yield pd.DataFrame(out, columns=["key", "first_ms", "n", "admitted", "expired_ms"])
+        if out:  # a frame is a batch to Spark, and most keys have nothing to say
+            yield pd.DataFrame(out, columns=["key", "first_ms", "n", "admitted", "expired_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.state.exists():
-            first, n, admitted, expires = self.state.get()
-            out.append((*map(str, key), first, n, admitted, expires))
+        if held := self.state.get():
+            first, n, admitted, expires = held
             self.state.clear()
-        yield pd.DataFrame(out, columns=["key", "first_ms", "n", "admitted", "expired_ms"])
+            yield pd.DataFrame([(*map(str, key), first, n, admitted, expires)], columns=["key", "first_ms", "n", "admitted", "expired_ms"])
 
     def close(self) -> None:
         pass
