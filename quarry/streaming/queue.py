@@ -44,7 +44,8 @@ class Queue:
         def each(batch: DataFrame, number: int) -> None:
             said = handler(batch).select("message_id", F.col("error").cast("string").alias("error"), F.lit(True).alias("_said"))
             error = F.when(F.col("_said").isNull(), F.lit("no answer")).otherwise(F.col("error"))
-            out = batch.join(said, "message_id", "left").select("message_id", "body", (F.col("receives") + 1).alias("receives"), error.alias("error")).persist()
+            # a micro-batch is small by its bounds: its answers go to its tasks, without a shuffle
+            out = batch.join(F.broadcast(said), "message_id", "left").select("message_id", "body", (F.col("receives") + 1).alias("receives"), error.alias("error")).persist()
             try:
                 again = out.where((F.col("receives") < self.most) & F.col("error").isNotNull())
                 out.where("error is null").write.mode("overwrite").parquet(f"{self.folder}/done/batch={number}")
