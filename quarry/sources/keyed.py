@@ -1,28 +1,33 @@
 """One file a key, written by a data source and read back by ranges.
 
 The writer puts each row's text under folder/key: beside its place first and then renamed, so that readers see the old or the new file and a task that is
-done again changes nothing. There are no folders or parts a key, and no shuffle. heads() reads the first bytes of files that Spark has listed, whose contents
-the listing never opens; kinds() looks at the directory of archives besides, at their end.
+done again changes nothing. There are no folders or parts a key, and no shuffle. listing() finds the files in tasks and writes their names to the shared folder, so
+that the driver holds none of them. heads() reads the first bytes of the files; kinds() looks at the directory of archives besides, at their end.
 
-Defined results: a null text is an empty file, and empty files are left out by Spark's listings and so by heads() and kinds(); rows that repeat a key leave one of their texts; keys with empty, upward or hidden parts are refused before
-anything is written of their task; folders may be in any store that pyarrow opens.
+Defined results: a null text is an empty file; heads() and kinds() leave empty files out; rows that repeat a key leave one of their texts; keys with empty, upward or hidden parts are refused before
+anything is written of their task; folders may be in any store that pyarrow opens; files and folders whose names begin with . or _ are left out, as in Spark's listings.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..session import scratch
 from .sniff import HEAD, archive_kind, sniffed
-from .store import created, listed, read, replaced
+from .store import created, listed, qualified, read, replaced
 
-#: Folders that spread() deals keys over.
-FOLDERS = 1024
+#: Folders that spread() deals keys over, and tasks that list them.
+FOLDERS, LISTERS = 1024, 128
+#: Files whose heads a task holds at a time.
+HELD = 1000
 
 
 def opened(uri: str):
@@ -124,30 +129,63 @@ class Counted:
         return True
 
 
+def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, length) of the files below path whose names match the pattern (of fnmatch).
+
+    A task lists the first level; its folders are dealt over LISTERS tasks, which list what is below them, one folder at a time. The names are written to the shared folder.
+    """
+    root = qualified(spark, path)
+
+    def entries(deep: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            files, base = opened(root)
+            scheme, names = root.removesuffix(base), ["path", "folder", "length"]
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(b.filter(pc.invert(b.column("folder"))).columns, names=names)
+                todo = [x.removeprefix(scheme) for x in b.filter(b.column("folder")).column("path").to_pylist()]
+                while todo:
+                    at = files.get_file_info(todo.pop())
+                    found = [at] if at.is_file else files.get_file_info(fs.FileSelector(at.path))  # a file that is the path itself
+                    found = [x for x in found if not x.base_name.startswith((".", "_")) or x is at]
+                    todo += [x.path for x in found if deep and not x.is_file]
+                    rows = [x for x in found if fnmatchcase(x.base_name, pattern or "*") or not x.is_file]
+                    rows = [x for x in rows if not deep or x.is_file]
+                    columns = [pa.array([scheme + x.path for x in rows], pa.string()), pa.array([not x.is_file for x in rows], pa.bool_()), pa.array([x.size for x in rows], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return run
+
+    form, out = "path string, folder boolean, length long", scratch(spark, "names")
+    top = spark.range(1, numPartitions=1).select(F.lit(root).alias("path"), F.lit(True).alias("folder"), F.lit(None).cast("long").alias("length")).mapInArrow(entries(False), form)
+    top.repartition(LISTERS, "path").mapInArrow(entries(True), form).select("path", "length").write.parquet(out)
+    return spark.read.schema("path string, length long").parquet(out)
+
+
 def heads(spark: SparkSession, path: str, size: int = HEAD, pattern: str | None = None, archives: bool = False) -> DataFrame:
     """(path, length, head, packed, confidence, bytes_read) of the files below path: their first `size` bytes, and with `archives` the type that an archive's directory tells."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    names = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "length")
+    root = qualified(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        files, base = opened(root)
+        scheme = root.removesuffix(base)
+        for b in (whole.slice(i, HELD) for whole in batches for i in range(0, whole.num_rows, HELD)):
             rows = []
             for where in b.column("path").to_pylist():
-                files, name = opened(where)
-                with files.open_input_file(name) as raw:
+                with files.open_input_file(where.removeprefix(scheme)) as raw:
                     file = Counted(raw)
                     head = file.read(size)
                     kind = archive_kind(file) if archives and head[:4] == b"PK\x03\x04" else None
                     rows.append((head, *(kind or (None, None)), file.bytes_read))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.float64(), pa.int64()), strict=True)] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), *columns], names=["path", "length", "head", "packed", "confidence", "bytes_read"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.float64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), *columns], names=["path", "length", "head", "packed", "confidence", "bytes_read"])
 
-    return names.mapInArrow(run, "path string, length long, head binary, packed string, confidence double, bytes_read long")
+    return listing(spark, path, pattern).where("length > 0").mapInArrow(run, "path string, length long, head binary, packed string, confidence double, bytes_read long")
 
 
 def kinds(spark: SparkSession, path: str, size: int = HEAD, pattern: str | None = None) -> DataFrame:
-    """(path, length, file_type, confidence, bytes_read) of the files below path, of which no more is read than their heads and the directories of archives."""
+    """(path, length, file_type, confidence, bytes_read) of the files below path that hold something, of which no more is read than their heads and the directories of archives."""
     rows = heads(spark, path, size, pattern, archives=True)
     # a head is no whole archive: what is known of it comes from its directory
     plain = sniffed(F.when(F.substring("head", 1, 4) == F.lit(b"PK\x03\x04"), F.lit(b"PK")).otherwise(F.col("head")), F.element_at(F.split("path", "/"), -1))

@@ -14,6 +14,11 @@ def _path(spark: SparkSession, uri: str):
     return fs, fs.makeQualified(path)
 
 
+def qualified(spark: SparkSession, uri: str) -> str:
+    """The uri with its scheme."""
+    return _path(spark, uri)[1].toString()
+
+
 def _renamed(spark: SparkSession, uri: str, text: str, how: str) -> None:
     """Writes the text beside its place and renames it there in one step."""
     fs, path = _path(spark, uri)

@@ -63,3 +63,31 @@ def test_no_folder_holds_all_files(spark, name, monkeypatch):
     QUERIES[name](spark, "/root/testdata/sf0.001")
     folders = [len(names) for _, _, names in os.walk(seen[0].removeprefix("file://")) if names]
     assert len(folders) > 32 and max(folders) < sum(folders) / 4
+
+
+def odd_documents(spark, tmp_path):
+    """A folder of documents of which some have no text or an empty one."""
+    rows = [(i, None if i % 9 == 0 else "" if i % 9 == 1 else f"text é {i}", ("de", "fr", "es", None)[i % 4], f"S{i % 5}" if i % 7 else None) for i in range(-40, 400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["keyed_files"])
+def test_the_driver_holds_no_listing(spark, tmp_path, name):
+    from quarry.plans.catalogue import QUERIES
+
+    out = QUERIES[name](spark, odd_documents(spark, tmp_path))
+    assert "binaryFile" not in out._jdf.queryExecution().executedPlan().toString()
+    assert len(out.inputFiles()) <= keyed.LISTERS + 4  # the names as the tasks wrote them, and the documents
+
+
+def test_listing_of_a_tree(spark, tmp_path):
+    for name in ("a/b/c.txt", "a/_b/c.txt", "a/.x", "_SUCCESS", "d e%.txt", "a/n.md"):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text(name)
+    (tmp_path / "t" / "none.txt").write_bytes(b"")
+    of = lambda path, pattern=None: {(r.path.removeprefix(f"file:{tmp_path}/t/"), r.length) for r in keyed.listing(spark, path, pattern).collect()}
+    assert of(f"{tmp_path}/t") == of(f"file://{tmp_path}/t") == {("a/b/c.txt", 9), ("d e%.txt", 8), ("a/n.md", 6), ("none.txt", 0)}
+    assert of(f"{tmp_path}/t", "*.txt") == {("a/b/c.txt", 9), ("d e%.txt", 8), ("none.txt", 0)} and of(f"{tmp_path}/t/a/n.md") == {("a/n.md", 6)}
+    with pytest.raises(Exception, match="FileNotFound"):
+        keyed.listing(spark, f"{tmp_path}/none")
