@@ -4,7 +4,7 @@ The writer puts each row's text under folder/key: beside its place first and the
 done again changes nothing. There are no folders or parts a key, and no shuffle. listing() finds the files in tasks and writes their names to the shared folder, so
 that the driver holds none of them. heads() reads the first bytes of the files; kinds() looks at the directory of archives besides, at their end.
 
-Defined results: a null text is an empty file; heads() and kinds() leave empty files out; rows that repeat a key leave one of their texts; keys with empty, upward or hidden parts are refused before
+Defined results: a null text is an empty file; listing() and heads() have empty files, kinds() leaves them out; rows that repeat a key leave one of their texts; keys with empty, upward or hidden parts are refused before
 anything is written of their task; folders may be in any store that pyarrow opens; files and folders whose names begin with . or _ are left out, as in Spark's listings.
 """
 
@@ -181,12 +181,12 @@ def heads(spark: SparkSession, path: str, size: int = HEAD, pattern: str | None
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.float64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), *columns], names=["path", "length", "head", "packed", "confidence", "bytes_read"])
 
-    return listing(spark, path, pattern).where("length > 0").mapInArrow(run, "path string, length long, head binary, packed string, confidence double, bytes_read long")
+    return listing(spark, path, pattern).mapInArrow(run, "path string, length long, head binary, packed string, confidence double, bytes_read long")
 
 
 def kinds(spark: SparkSession, path: str, size: int = HEAD, pattern: str | None = None) -> DataFrame:
     """(path, length, file_type, confidence, bytes_read) of the files below path that hold something, of which no more is read than their heads and the directories of archives."""
-    rows = heads(spark, path, size, pattern, archives=True)
+    rows = heads(spark, path, size, pattern, archives=True).where("length > 0")
     # a head is no whole archive: what is known of it comes from its directory
     plain = sniffed(F.when(F.substring("head", 1, 4) == F.lit(b"PK\x03\x04"), F.lit(b"PK")).otherwise(F.col("head")), F.element_at(F.split("path", "/"), -1))
     rows = rows.withColumn("_s", plain)

@@ -72,6 +72,20 @@ def odd_documents(spark, tmp_path):
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("name", ["keyed_files"])
+def test_documents_without_a_text_are_rows_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    from quarry.plans.catalogue import ORACLE_SQL, QUERIES
+
+    folder = odd_documents(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL[name])
+    columns, key = [c[0] for c in want.description], lambda r: tuple(map(str, r))
+    assert sorted(map(key, QUERIES[name](spark, folder).select(*columns).collect())) == sorted(map(key, want.fetchall()))
+
+
 @pytest.mark.parametrize("name", ["keyed_files"])
 def test_the_driver_holds_no_listing(spark, tmp_path, name):
     from quarry.plans.catalogue import QUERIES
