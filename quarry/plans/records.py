@@ -31,9 +31,9 @@ def sidecar_round_trip(documents):
 
 @query("documents", sql="""SELECT doc_id, octet_length(encode(text)) AS length FROM documents WHERE lang NOT IN ('de', 'es') AND octet_length(encode(text)) > 0""")
 def listed_texts(documents):
-    """A listing of what holds text: sidecars and images beside it are left out."""
+    """A listing of what holds text: sidecars and images beside it are left out, and so are documents of no language, which are images too."""
     folder = scratch(documents.sparkSession, "listing")
-    ending = F.when(C("lang") == "de", ".md.metadata.json").when(C("lang") == "es", ".JPG").otherwise(".md")
+    ending = F.when(C("lang") == "de", ".md.metadata.json").when(C("lang") == "es", ".JPG").when(C("lang").isNull(), ".png").otherwise(".md")
     rows = documents.select(F.concat(C("doc_id").cast("string"), ending).alias("key"), "text")
     keyed.write_keyed(rows.repartition(keyed.folder(C("key"))).withColumn("key", keyed.spread(C("key"))), folder, "key")
     return files.listed(documents.sparkSession, folder).select(F.regexp_extract("path", r"/(-?\d+)\.md$", 1).cast("long").alias("doc_id"), "length")

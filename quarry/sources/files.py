@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
+from . import keyed
 
 MOST_TEXT, MOST_ZIP, MOST_ENTRY = 50 << 20, 500 << 20, 50 << 20
 IMAGES = ("png", "jpg", "jpeg", "gif", "webp")
@@ -19,7 +20,7 @@ SKIPPED = r"(\.metadata\.json|\.(jpg|jpeg|png|gif|webp|mp4|webm|mov|mp3|wav|m4a)
 
 
 def binary(spark: SparkSession, path: str, most: int | None = None, pattern: str | None = None) -> DataFrame:
-    """(path, modificationTime, length, content) of files up to `most` bytes: the guard is pushed into the listing, larger files are never opened."""
+    """(path, modificationTime, length, content) of files up to `most` bytes: the guard is pushed into the listing, larger files are never opened. Spark's own reader: any store, but the driver holds the listing."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
     return files if most is None else files.where(F.col("length") <= most)
@@ -31,8 +32,8 @@ def texts(spark: SparkSession, path: str, most: int = MOST_TEXT, pattern: str |
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of files that hold text: no sidecars, images or media. Contents are not read."""
-    return binary(spark, path).select("path", "length").where(~F.lower("path").rlike(SKIPPED))
+    """(path, length) of files that hold text: no empty files, sidecars, images or media. They are listed in tasks, contents are not read."""
+    return keyed.listing(spark, path).where((F.col("length") > 0) & ~F.lower("path").rlike(SKIPPED))
 
 
 def partial_files(spark: SparkSession, path: str) -> DataFrame:

@@ -72,7 +72,7 @@ def odd_documents(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["keyed_files"])
+@pytest.mark.parametrize("name", ["listed_texts", "keyed_files"])
 def test_documents_without_a_text_are_rows_as_in_sql(spark, tmp_path, name):
     import duckdb
 
@@ -86,7 +86,7 @@ def test_documents_without_a_text_are_rows_as_in_sql(spark, tmp_path, name):
     assert sorted(map(key, QUERIES[name](spark, folder).select(*columns).collect())) == sorted(map(key, want.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["keyed_files"])
+@pytest.mark.parametrize("name", ["listed_texts", "keyed_files"])
 def test_the_driver_holds_no_listing(spark, tmp_path, name):
     from quarry.plans.catalogue import QUERIES
 
