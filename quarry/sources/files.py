@@ -27,8 +27,8 @@ def binary(spark: SparkSession, path: str, most: int | None = None, pattern: str
 
 
 def texts(spark: SparkSession, path: str, most: int = MOST_TEXT, pattern: str | None = None) -> DataFrame:
-    """(path, text) of UTF-8 files."""
-    return binary(spark, path, most, pattern).select("path", F.col("content").cast("string").alias("text"))
+    """(path, text) of UTF-8 files that hold something. They are listed and read in tasks."""
+    return keyed.contents(spark, path, most, pattern).select("path", F.col("content").cast("string").alias("text"))
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:

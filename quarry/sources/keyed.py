@@ -2,7 +2,7 @@
 
 The writer puts each row's text under folder/key: beside its place first and then renamed, so that readers see the old or the new file and a task that is
 done again changes nothing. There are no folders or parts a key, and no shuffle. listing() finds the files in tasks and writes their names to the shared folder, so
-that the driver holds none of them. heads() reads the first bytes of the files; kinds() looks at the directory of archives besides, at their end.
+that the driver holds none of them. heads() reads the first bytes of the files, contents() all of them; kinds() looks at the directory of archives besides, at their end.
 
 Defined results: a null text is an empty file; listing() and heads() have empty files, kinds() leaves them out; rows that repeat a key leave one of their texts; keys with empty, upward or hidden parts are refused before
 anything is written of their task; folders may be in any store that pyarrow opens; files and folders whose names begin with . or _ are left out, as in Spark's listings.
@@ -26,8 +26,8 @@ from .store import created, listed, qualified, read, replaced
 
 #: Folders that spread() deals keys over, and tasks that list them.
 FOLDERS, LISTERS = 1024, 128
-#: Files whose heads a task holds at a time.
-HELD = 1000
+#: Files whose heads, and bytes of contents, that a task holds at a time.
+HELD, HELD_BYTES = 1000, 16 << 20
 
 
 def opened(uri: str):
@@ -184,6 +184,26 @@ def heads(spark: SparkSession, path: str, size: int = HEAD, pattern: str | None
     return listing(spark, path, pattern).mapInArrow(run, "path string, length long, head binary, packed string, confidence double, bytes_read long")
 
 
+def contents(spark: SparkSession, path: str, most: int, pattern: str | None = None) -> DataFrame:
+    """(path, content) of the files below path that hold something, and `most` bytes at most: larger ones are never opened."""
+    root = qualified(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = opened(root)
+        scheme = root.removesuffix(base)
+        for b in batches:
+            rows, size = [], 0
+            for i, where in enumerate(b.column("path").to_pylist(), 1):
+                with files.open_input_file(where.removeprefix(scheme)) as file:
+                    rows.append((where, file.read()))
+                size += len(rows[-1][1])
+                if size >= HELD_BYTES or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], names=["path", "content"])
+                    rows, size = [], 0
+
+    return listing(spark, path, pattern).where(F.col("length").between(1, most)).mapInArrow(run, "path string, content binary")
+
+
 def kinds(spark: SparkSession, path: str, size: int = HEAD, pattern: str | None = None) -> DataFrame:
     """(path, length, file_type, confidence, bytes_read) of the files below path that hold something, of which no more is read than their heads and the directories of archives."""
     rows = heads(spark, path, size, pattern, archives=True).where("length > 0")

@@ -72,7 +72,7 @@ def odd_documents(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["listed_texts", "keyed_files"])
+@pytest.mark.parametrize("name", ["listed_texts", "keyed_files", "sidecar_round_trip"])
 def test_documents_without_a_text_are_rows_as_in_sql(spark, tmp_path, name):
     import duckdb
 
@@ -86,7 +86,7 @@ def test_documents_without_a_text_are_rows_as_in_sql(spark, tmp_path, name):
     assert sorted(map(key, QUERIES[name](spark, folder).select(*columns).collect())) == sorted(map(key, want.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["listed_texts", "keyed_files"])
+@pytest.mark.parametrize("name", ["listed_texts", "keyed_files", "sidecar_round_trip"])
 def test_the_driver_holds_no_listing(spark, tmp_path, name):
     from quarry.plans.catalogue import QUERIES
 
@@ -103,5 +103,6 @@ def test_listing_of_a_tree(spark, tmp_path):
     of = lambda path, pattern=None: {(r.path.removeprefix(f"file:{tmp_path}/t/"), r.length) for r in keyed.listing(spark, path, pattern).collect()}
     assert of(f"{tmp_path}/t") == of(f"file://{tmp_path}/t") == {("a/b/c.txt", 9), ("d e%.txt", 8), ("a/n.md", 6), ("none.txt", 0)}
     assert of(f"{tmp_path}/t", "*.txt") == {("a/b/c.txt", 9), ("d e%.txt", 8), ("none.txt", 0)} and of(f"{tmp_path}/t/a/n.md") == {("a/n.md", 6)}
+    assert {r.text for r in files.texts(spark, f"{tmp_path}/t").collect()} == {"a/b/c.txt", "d e%.txt", "a/n.md"}
     with pytest.raises(Exception, match="FileNotFound"):
         keyed.listing(spark, f"{tmp_path}/none")
